@@ -21,5 +21,17 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files,)}
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compare_with_next
+
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_fingerprints, op6_quality)}
 ORACLE_SQL: dict[str, str] = {}
