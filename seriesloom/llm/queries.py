@@ -33,5 +33,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_fingerprints, op6_quality)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import shingle_classes
+
+    return shingle_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_fingerprints, op6_quality, op9_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
