@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one block of documents aims at in block-wise jobs.
@@ -37,14 +37,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_blocks(docs: DataFrame, key: str, column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Add `blk`, which deals rows into blocks of about block_bytes of text by a hash of the key.
-
-    The number of blocks follows the size of the input, so a block stays small at every scale; a null key has a block too.
-    """
+def block_count(docs: DataFrame, column: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
+    """How many blocks of about block_bytes of text the rows make; follows the size of the input, so a block stays small."""
     total = docs.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    return docs.withColumn("blk", F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int"))
+    return max(1, math.ceil(total / block_bytes))
+
+
+def block_of(key: str, blocks: int) -> Column:
+    """The block that a key's hash deals it to; a null key has a block too."""
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
