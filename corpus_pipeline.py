@@ -1,13 +1,63 @@
-"""Corpus pipeline: quality, near duplicates, decontamination, mixing, token files."""
+"""Corpus pipeline: quality, near duplicates, decontamination, mixing, token files.
 
-from seriesloom.llm import queries  # noqa: F401
+Each stage takes (spark, docs, sf_dir), works on all that the one before it kept and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents.
+"""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seriesloom.llm.common import durable, fresh_path, table
+from seriesloom.llm.decontamination import contaminated
+from seriesloom.llm.jaccard_join import shingle_classes
+from seriesloom.llm.mixing import mixture
+from seriesloom.llm.quality import quality_scores
+from seriesloom.llm.queries import tokenizer_path
+from seriesloom.llm.token_files import read_token_shards, write_token_shards
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for good ones (operator 6)."""
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"), keep=list(docs.columns))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of linked ones stays, that of the least doc_id (operator 9). Documents without words all stay."""
+    classes = shingle_classes(docs)
+    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go (operator 5)."""
+    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them (operator 1)."""
+    return mixture(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards of the mixture, read back (operator 2)."""
+    folder = fresh_path(spark, "tokens")
+    write_token_shards(docs, folder, tokenizer_path())
+    return read_token_shards(spark, folder).drop("shard")
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminate), ("mixing", mix), ("token output", write_tokens)]
+
+#: Covariances, permutations by hash and byte-level BPE can't be said in SQL: tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,7 +23,6 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!?[a-zA-Z/?!](?:[^<>\"']|\"[^\"]*\"|'[^'
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 MARKED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\shidden(?:[\s=>/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Elements by what HTML and readers take them for.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
@@ -117,7 +116,7 @@ def _blocks(top: list[Node | str], out: list[tuple[Node | None, str, int]]) -> N
 
     def flush() -> None:
         nonlocal linked
-        text = SPACE.sub(" ", html.unescape("".join(words))).strip()
+        text = " ".join(html.unescape("".join(words)).split())
         if text:
             out.append((owner, text, linked))
         words.clear()

@@ -13,6 +13,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_plan
+
+    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", "block", "place")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_shards, write_token_shards
 
@@ -35,6 +41,12 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
@@ -47,6 +59,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotations import reply_order
+
+    return reply_order(table(spark, sf_dir, "conversations"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import shingle_classes
 
@@ -61,5 +79,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_fingerprints, op4_lm_scores, op6_quality, op7_html_text, op9_jaccard_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_fingerprints, op4_lm_scores, op5_decontamination, op6_quality, op7_html_text, op8_quotations, op9_jaccard_join, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
