@@ -14,14 +14,23 @@ BLOCK_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir as the session was given it.
+
+    Where nobody set it, a run on one machine gets a folder of its own; on a cluster no local folder would do, so that is an error.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or _OWN.get(context.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="seriesloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="seriesloom-")
     return base.rstrip("/")
 
 
+#: Folders of local sessions, by application.
+_OWN: dict[str, str] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

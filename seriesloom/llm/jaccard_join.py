@@ -10,7 +10,7 @@ which suffices, as two sets that agree in empty parts only both have more than m
 
 Pairs of a signature are not all formed. First each node meets the least node (hub) of its signature; exact verification gives links
 and distances. Then nodes of one signature that are in different components meet, but for those that the triangle inequality of
-the Jaccard distance rules out through their distances to the hub. Components of all verified links are the same as those
+the Jaccard distance rules out through their distances to the hub, whose sizes are too far apart, or that share fewer signatures than linked sets must. Components of all verified links are the same as those
 of all links: a pair that is left out lies in one component already or is ruled out.
 
 Nulls and edge cases: a null text counts as empty; a text without words has an empty set (n_shingles 0) and links with nothing, not
@@ -75,6 +75,28 @@ def size_bands(largest: int, percent: int) -> np.ndarray:
         low = ends[-1] + 1
 
 
+def _parts(top: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(spare parts m, all parts k + 1 + m) for sets up to size `top`; m is more than even the smallest sets leave empty, but for one in hundreds."""
+    differ = 2 * top * (100 - percent) // (100 + percent)
+    spare = differ // 5 + 2
+    return spare, differ + 1 + spare
+
+
+def needed(elements: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many signatures a set shares at least with each linked set that isn't larger, in the join of its own band."""
+    sizes = np.diff(offsets)
+    if not len(elements):
+        return np.ones(len(sizes), np.int64)
+    ends = size_bands(int(sizes.max()), percent)
+    spare, parts = _parts(ends[np.searchsorted(ends, sizes)], percent)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    part = ((elements >> _U(32)) * parts[owner].astype(_U)) >> _U(32)
+    new = np.ones(len(elements), bool)
+    new[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
+    full = np.bincount(owner[new], minlength=len(sizes))
+    return np.maximum(1, spare + 1 - (parts - full))
+
+
 def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(signature, number of its set) over all sets: each set takes part in its own band's join and in the next band's."""
     sizes = np.diff(offsets)
@@ -86,19 +108,20 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int = PERCENT
     owner = np.repeat(np.arange(len(sizes)), sizes)
     for step in (0, 1):
         top = ends[np.minimum(band + step, len(ends) - 1)]
-        differ = 2 * top * (100 - percent) // (100 + percent)
-        spare = differ // 16 + (differ > 0)
-        parts = differ + 1 + spare
+        spare, parts = _parts(top, percent)
+        parts = np.where(parts > spare + 1, parts, 0)  # no difference is allowed: only equal sets link, and these are one node
         part = ((elements >> _U(32)) * parts[owner].astype(_U)) >> _U(32)  # ascending in each set, as its elements are
         new = np.ones(len(elements), bool)
         new[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
         heads = np.flatnonzero(new)
         total = np.add.reduceat(K.mix(elements + _U(0x9E3779B97F4A7C15)), heads)
+        some = parts[owner[heads]] > 0
+        heads, total = heads[some], total[some]
         salt = (((band + step)[owner[heads]]).astype(_U) << _U(32)) + part[heads]
         out.append(K.mix(total ^ K.mix(salt)))
         owners.append(owner[heads])
         lacking = parts - np.bincount(owner[heads], minlength=len(sizes))
-        for i in np.flatnonzero((lacking > spare) & (sizes > 0)):
+        for i in np.flatnonzero((lacking > spare) & (sizes > 0) & (parts > 0)):
             have = part[heads[owner[heads] == i]].astype(np.int64)
             empty = np.setdiff1d(np.arange(parts[i]), have).astype(_U)
             out.append(K.mix(K.mix((_U(band[i] + step) << _U(32)) + empty) ^ _U(1)))
@@ -146,7 +169,7 @@ def shingle_classes(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, perc
 
     def names(keys: pa.Array, text: pa.Array) -> pa.RecordBatch:
         elements, offsets = shingle_sets(text, gram)
-        return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(offsets)), pa.array(node_keys(elements, offsets))], names=[key, "n_shingles", "node"])
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(offsets)), pa.array(node_keys(elements, offsets)), pa.array(needed(elements, offsets, percent))], names=[key, "n_shingles", "node", "need"])
 
     def signed(keys: pa.Array, text: pa.Array) -> pa.RecordBatch:
         elements, offsets = shingle_sets(text, gram)
@@ -158,8 +181,8 @@ def shingle_classes(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, perc
         data = [elements[a:b].tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
         return pa.RecordBatch.from_arrays([pa.array(node_keys(elements, offsets)), pa.array(data, pa.binary())], names=["node", "elements"])
 
-    named = durable(_map_texts(docs, key, names, f"{key} long, n_shingles long, node long"), "nodes")
-    heads = named.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("least"))
+    named = durable(_map_texts(docs, key, names, f"{key} long, n_shingles long, node long, need long"), "nodes")
+    heads = named.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("least"), F.first("n_shingles").alias("n"), F.first("need").alias("need"))
 
     # nodes that share a signature, with the signature's least node
     by_sig = Window.partitionBy("sig")
@@ -170,6 +193,7 @@ def shingle_classes(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, perc
 
     # sets of the nodes that met any other, from one text of each
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(heads, "node")
+    wanted = durable(wanted, "wanted")
     owners = wanted.select(F.col("least").alias(key))
     sets = durable(_map_texts(docs.join(owners, key, "left_semi"), key, contents, "node long, elements binary").dropDuplicates(["node"]), "sets")
 
@@ -190,8 +214,12 @@ def shingle_classes(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, perc
     cell_pairs = cells.join(beside, ["sig", "cell"]).where("part < part2")
     one = cell_pairs.join(open_ones.select("sig", "part", "cell", F.col("node").alias("a"), F.col("d").alias("da")), ["sig", "part", "cell"])
     two = one.join(open_ones.select("sig", F.col("part").alias("part2"), F.col("cell").alias("cell2"), F.col("node").alias("b"), F.col("d").alias("db")), ["sig", "part2", "cell2"])
-    rest = two.where(F.abs(F.col("da") - F.col("db")) <= reach + 1e-9).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = durable(rest, "rest-pairs")
+    close = two.where(F.abs(F.col("da") - F.col("db")) <= reach + 1e-9).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sig").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    # linked sets share as many signatures as the larger one needs; pairs that share fewer aren't linked
+    size = lambda c: wanted.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("need").alias(f"need{c}"))
+    sized = close.join(size("a"), "a").join(size("b"), "b")
+    need = F.when(F.col("na") >= F.col("nb"), F.col("needa")).otherwise(F.col("needb"))
+    rest = durable(sized.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("shared") >= need)).select("a", "b"), "rest-pairs")
     more = verify(rest.join(measured.select("a", "b"), ["a", "b"], "left_anti"), sets).where(linked).select("a", "b")
     mend = durable(more, "rest-links")
     if mend.isEmpty():
