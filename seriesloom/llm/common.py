@@ -35,11 +35,42 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Drops a query's shuffle files as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and survives the loss of executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: cuts lineage, and survives the loss of executors.
+
+    What the write has shuffled is of no use after it, so those files go at once and not when the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few numbers up to which a counted table is broadcast (16 MB or so); beyond it the same join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if a count shows that it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+#: Bytes of an Arrow batch, so that long texts don't meet by the thousand in a Python worker.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a smaller bound already."""
+    if int(spark.conf.get(BATCH)) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -58,4 +89,5 @@ def block_of(key: str, blocks: int) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,20 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small
 
 GRAM, PERCENT, RADIUS, BITS = 5, 80, 20, 64
 
 
-#: Rows up to which a counted table is broadcast (16 MB or so); beyond it the same join shuffles.
-BROADCAST_ROWS = 500_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _with_shingles(df: DataFrame, keys: list[str], gram: int) -> DataFrame:
     """keys and grams, the hashes of the text's word shingles in order: A-Z is lower-cased, words are what ASCII white space separates."""
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -73,9 +64,9 @@ def contaminated(docs: DataFrame, items: DataFrame, gram: int = GRAM, percent: i
     item_rows = durable(_with_shingles(items.where("item_id is not null"), ["item_id"], gram).select("item_id", F.size("grams").alias("n"), F.posexplode_outer("grams").alias("j", "g")), "items")
     places = _with_shingles(texts, ["doc_id", "row"], gram).select("doc_id", "row", F.posexplode_outer("grams").alias("i", "g"))
     start = F.greatest(F.col("i") - F.col("j"), F.lit(0))
-    hits = durable(places.join(_small(item_rows), "g").select("doc_id", "row", "item_id", "n", start.alias("start")).distinct(), "hits")
+    hits = durable(places.join(small(item_rows), "g").select("doc_id", "row", "item_id", "n", start.alias("start")).distinct(), "hits")
     held = hits.select("doc_id", "row").distinct()
-    sources = _with_shingles(texts.join(_small(held), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]), ["doc_id", "row"], gram)
+    sources = _with_shingles(texts.join(small(held), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]), ["doc_id", "row"], gram)
     window = F.slice("grams", F.col("start") + 1, F.col("n"))
     windows = hits.join(sources, ["doc_id", "row"]).select("doc_id", "row", "item_id", "start", F.explode_outer(window).alias("g"))
     by = ["doc_id", "row", "item_id", "start"]

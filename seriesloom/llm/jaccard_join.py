@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import durable
+from .common import durable, small
 from .components import components
 
 _U = np.uint64
@@ -195,7 +195,7 @@ def shingle_classes(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, perc
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(heads, "node")
     wanted = durable(wanted, "wanted")
     owners = wanted.select(F.col("least").alias(key))
-    sets = durable(_map_texts(docs.join(owners, key, "left_semi"), key, contents, "node long, elements binary").dropDuplicates(["node"]), "sets")
+    sets = durable(_map_texts(docs.join(small(owners), key, "left_semi"), key, contents, "node long, elements binary").dropDuplicates(["node"]), "sets")
 
     linked = F.col("common") * 100 >= F.col("either") * percent
     measured = durable(verify(pairs, sets), "measured")
