@@ -69,7 +69,8 @@ BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, unless the session has a smaller bound already."""
-    if int(spark.conf.get(BATCH)) > BATCH_BYTES:
+    now = spark.conf.get(BATCH).lower().rstrip("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
