@@ -8,6 +8,9 @@ sets differ in at most k parts, so they agree in m + 1 parts or more. Empty part
 m of them agrees with each partner in a part that isn't empty and leaves its empty ones out. A set with more than m emits those too,
 which suffices, as two sets that agree in empty parts only both have more than m.
 
+A signature of many sets (a passage that many texts share) is heavy. A set whose heavy signatures and empty parts are at most m
+leaves its heavy ones too, by the same argument.
+
 Pairs of a signature are not all formed. First each node meets the least node (hub) of its signature; exact verification gives links
 and distances. Then nodes of one signature that are in different components meet, but for those that the triangle inequality of
 the Jaccard distance rules out through their distances to the hub, whose sizes are too far apart, or that share fewer signatures than linked sets must. Components of all verified links are the same as those
@@ -20,6 +23,7 @@ rows that share a doc_id count as one document each in n_shingles and share a co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,10 @@ from .components import components
 
 _U = np.uint64
 GRAM, PERCENT = 5, 80
+#: Rows from which on a signature is heavy; the choice moves work only, results are the same for each.
+HEAVY = 48
+#: Cell of distances that weren't measured; below all others and beside none.
+UNKNOWN = -2
 
 
 def shingle_sets(text: pa.Array, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -82,19 +90,30 @@ def _parts(top: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return spare, differ + 1 + spare
 
 
-def needed(elements: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """How many signatures a set shares at least with each linked set that isn't larger, in the join of its own band."""
+def slack(elements: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
+    """For the joins of a set's own band and of the next one: spare parts less empty parts; below 0 where empty parts count too.
+
+    A set shares more signatures than this with each linked set of that join (one at least).
+    """
     sizes = np.diff(offsets)
     if not len(elements):
-        return np.ones(len(sizes), np.int64)
+        return [np.zeros(len(sizes), np.int64)] * 2
     ends = size_bands(int(sizes.max()), percent)
-    spare, parts = _parts(ends[np.searchsorted(ends, sizes)], percent)
+    band = np.searchsorted(ends, sizes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    part = ((elements >> _U(32)) * parts[owner].astype(_U)) >> _U(32)
-    new = np.ones(len(elements), bool)
-    new[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
-    full = np.bincount(owner[new], minlength=len(sizes))
-    return np.maximum(1, spare + 1 - (parts - full))
+    out = []
+    for step in (0, 1):
+        spare, parts = _parts(ends[np.minimum(band + step, len(ends) - 1)], percent)
+        part = ((elements >> _U(32)) * parts[owner].astype(_U)) >> _U(32)
+        new = np.ones(len(elements), bool)
+        new[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
+        out.append(np.where(sizes > 0, spare - (parts - np.bincount(owner[new], minlength=len(sizes))), 0))
+    return out
+
+
+def own_parity(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The lowest bit of the number of each size's band: signatures carry it, as it tells the two joins of a set apart."""
+    return (np.searchsorted(size_bands(int(sizes.max(initial=1)), percent), sizes) & 1).astype(np.int64)
 
 
 def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +137,14 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int = PERCENT
         some = parts[owner[heads]] > 0
         heads, total = heads[some], total[some]
         salt = (((band + step)[owner[heads]]).astype(_U) << _U(32)) + part[heads]
-        out.append(K.mix(total ^ K.mix(salt)))
+        odd = ((band + step) & 1).astype(_U)
+        out.append((K.mix(total ^ K.mix(salt)) & ~_U(1)) | odd[owner[heads]])
         owners.append(owner[heads])
         lacking = parts - np.bincount(owner[heads], minlength=len(sizes))
         for i in np.flatnonzero((lacking > spare) & (sizes > 0) & (parts > 0)):
             have = part[heads[owner[heads] == i]].astype(np.int64)
             empty = np.setdiff1d(np.arange(parts[i]), have).astype(_U)
-            out.append(K.mix(K.mix((_U(band[i] + step) << _U(32)) + empty) ^ _U(1)))
+            out.append((K.mix(K.mix((_U(band[i] + step) << _U(32)) + empty) ^ _U(1)) & ~_U(1)) | odd[i])
             owners.append(np.full(len(empty), i))
     return np.concatenate(out).view(np.int64), np.concatenate(owners)
 
@@ -163,13 +183,15 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ea", "eb").mapInArrow(_verify, "a long, b long, common long, either long")
 
 
-def shingle_classes(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+def shingle_classes(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, percent: int = PERCENT, heavy_rows: int = HEAVY) -> DataFrame:
     """(key, n_shingles, component_id): component_id is the least key that links reach."""
     docs = docs.select(F.col(key).cast("long").alias(key), "text")
 
     def names(keys: pa.Array, text: pa.Array) -> pa.RecordBatch:
         elements, offsets = shingle_sets(text, gram)
-        return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(offsets)), pa.array(node_keys(elements, offsets)), pa.array(needed(elements, offsets, percent))], names=[key, "n_shingles", "node", "need"])
+        sizes = np.diff(offsets)
+        own, above = slack(elements, offsets, percent)
+        return pa.RecordBatch.from_arrays([keys, pa.array(sizes), pa.array(node_keys(elements, offsets)), pa.array(own), pa.array(above), pa.array(own_parity(sizes, percent))], names=[key, "n_shingles", "node", "own", "above", "odd"])
 
     def signed(keys: pa.Array, text: pa.Array) -> pa.RecordBatch:
         elements, offsets = shingle_sets(text, gram)
@@ -181,46 +203,62 @@ def shingle_classes(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, perc
         data = [elements[a:b].tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
         return pa.RecordBatch.from_arrays([pa.array(node_keys(elements, offsets)), pa.array(data, pa.binary())], names=["node", "elements"])
 
-    named = durable(_map_texts(docs, key, names, f"{key} long, n_shingles long, node long, need long"), "nodes")
-    heads = named.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("least"), F.first("n_shingles").alias("n"), F.first("need").alias("need"))
+    named = durable(_map_texts(docs, key, names, f"{key} long, n_shingles long, node long, own long, above long, odd long"), "nodes")
+    heads = named.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("least"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("own", "above", "odd")))
 
-    # nodes that share a signature, with the signature's least node
+    # nodes that share a signature; sizes of signatures count rows, copies too
     by_sig = Window.partitionBy("sig")
     signed_rows = _map_texts(docs, key, signed, "sig long, node long")
-    met = signed_rows.withColumn("hub", F.min("node").over(by_sig)).withColumn("top", F.max("node").over(by_sig)).where("top > hub").select("sig", "node", "hub").distinct()
-    met = durable(met, "signatures")
-    pairs = durable(met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "hub-pairs")
+    counted = signed_rows.withColumn("hub", F.min("node").over(by_sig)).withColumn("top", F.max("node").over(by_sig)).withColumn("rows", F.count(F.lit(1)).over(by_sig))
+    together = durable(counted.where("top > hub").select("sig", "node", "rows").distinct(), "signatures")
+
+    # a node that the heavy signatures and its empty parts don't outnumber the spare ones meets each partner in another signature too
+    heavy = together.where(F.col("rows") > heavy_rows).groupBy("node", F.col("sig").bitwiseAND(F.lit(1)).alias("odd")).agg(F.count(F.lit(1)).alias("heavy"))
+    mine = heavy.join(heads.select("node", "own", "above", F.col("odd").alias("own_odd")), "node")
+    over = F.when(F.col("odd") == F.col("own_odd"), F.col("own")).otherwise(F.col("above"))
+    mine = durable(mine.select("node", "odd", "heavy", (F.col("heavy") <= over).alias("free"), (F.col("odd") == F.col("own_odd")).alias("is_own")), "heavy")
+    free = mine.where("free").select("node", "odd")
+    marked = together.withColumn("odd", F.col("sig").bitwiseAND(F.lit(1)))
+    light = marked.where(F.col("rows") <= heavy_rows).unionByName(marked.where(F.col("rows") > heavy_rows).join(free, ["node", "odd"], "left_anti"))
+    met = light.select("sig", "node").withColumn("hub", F.min("node").over(by_sig)).withColumn("top", F.max("node").over(by_sig)).where("top > hub").select("sig", "node", "hub")
+    met = durable(met, "met")
+    pairs = durable(met.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "hub-pairs")
 
     # sets of the nodes that met any other, from one text of each
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(heads, "node")
-    wanted = durable(wanted, "wanted")
+    own_heavy = mine.where("is_own").select("node", "heavy")
+    need = F.greatest(F.lit(1), F.col("own") + 1 - F.coalesce("heavy", F.lit(0)))
+    wanted = durable(wanted.join(own_heavy, "node", "left").select("node", "least", "n", need.alias("need")), "wanted")
     owners = wanted.select(F.col("least").alias(key))
     sets = durable(_map_texts(docs.join(small(owners), key, "left_semi"), key, contents, "node long, elements binary").dropDuplicates(["node"]), "sets")
 
     linked = F.col("common") * 100 >= F.col("either") * percent
-    measured = durable(verify(pairs, sets), "measured")
+    size = lambda c: wanted.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("need").alias(f"need{c}"))
+    needed = F.when(F.col("na") >= F.col("nb"), F.col("needa")).otherwise(F.col("needb"))
+    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    # of hub pairs the likely ones are measured; the others wait for the count of all that they share
+    likely = pairs.join(size("a"), "a").join(size("b"), "b").where(alike & (F.col("shared") >= F.least(needed, F.lit(3)))).select("a", "b")
+    measured = durable(verify(durable(likely, "likely"), sets), "measured")
     links = measured.where(linked).select("a", "b")
     first = components(links)
 
     # what may still link: nodes of one signature in different components, unless their distances to its hub rule it out
     reach = 1 - percent / 100
     far = measured.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d"))
-    spread = met.where("node <> hub").join(far, ["hub", "node"]).join(first, "node", "left").select("sig", "node", "hub", "d", F.coalesce("component", "node").alias("part"), F.floor(F.col("d") / reach).alias("cell"))
+    spread = met.join(far, ["hub", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("d"))).join(first, "node", "left").select("sig", "node", "hub", "d", F.coalesce("component", "node").alias("part"), F.coalesce(F.floor(F.col("d") / reach), F.lit(UNKNOWN).cast("long")).alias("cell"))
     several = Window.partitionBy("sig")
     open_ones = spread.withColumn("lo", F.min("part").over(several)).withColumn("hi", F.max("part").over(several)).where("lo < hi").drop("lo", "hi")
     open_ones = durable(open_ones, "open")
     cells = open_ones.select("sig", "part", "cell").distinct()
-    beside = cells.select("sig", F.col("part").alias("part2"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("cell").alias("cell2"))
+    beside = cells.select("sig", F.col("part").alias("part2"), F.explode(F.when(F.col("cell") == UNKNOWN, F.sequence(F.lit(UNKNOWN).cast("long"), F.lit(math.ceil(1 / reach)).cast("long"))).otherwise(F.array(F.lit(UNKNOWN).cast("long"), F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).alias("cell"), F.col("cell").alias("cell2"))
     cell_pairs = cells.join(beside, ["sig", "cell"]).where("part < part2")
     one = cell_pairs.join(open_ones.select("sig", "part", "cell", F.col("node").alias("a"), F.col("d").alias("da")), ["sig", "part", "cell"])
     two = one.join(open_ones.select("sig", F.col("part").alias("part2"), F.col("cell").alias("cell2"), F.col("node").alias("b"), F.col("d").alias("db")), ["sig", "part2", "cell2"])
-    close = two.where(F.abs(F.col("da") - F.col("db")) <= reach + 1e-9).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sig").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    close = two.where(F.coalesce(F.abs(F.col("da") - F.col("db")) <= reach + 1e-9, F.lit(True))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sig").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     # linked sets share as many signatures as the larger one needs; pairs that share fewer aren't linked
-    size = lambda c: wanted.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("need").alias(f"need{c}"))
     sized = close.join(size("a"), "a").join(size("b"), "b")
-    need = F.when(F.col("na") >= F.col("nb"), F.col("needa")).otherwise(F.col("needb"))
-    rest = durable(sized.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("shared") >= need)).select("a", "b"), "rest-pairs")
-    more = verify(rest.join(measured.select("a", "b"), ["a", "b"], "left_anti"), sets).where(linked).select("a", "b")
+    rest = sized.where(alike & (F.col("shared") >= needed)).select("a", "b").join(measured.select("a", "b"), ["a", "b"], "left_anti")
+    more = verify(durable(rest, "rest-pairs"), sets).where(linked).select("a", "b")
     mend = durable(more, "rest-links")
     if mend.isEmpty():
         parts = first
