@@ -1,4 +1,306 @@
-"""Named queries over the provided tables, and the SQL that must give the same rows."""
+"""Named queries over the provided tables, and the SQL that must give the same rows.
 
+Results are rounded to 8 decimals on both sides, as sums of doubles depend on their order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import chains, portfolio, regimes, scores
+from .sources import tables
+
+DIGITS = 8
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _out(df: DataFrame, *columns: str) -> DataFrame:
+    kinds = dict(df.dtypes)
+    return df.select(*(F.round(c, DIGITS).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "boolean") else F.col(c) for c in columns))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+
+
+def r(expression: str, name: str | None = None) -> str:
+    return f"round(({expression})::DOUBLE, {DIGITS}) AS {name or expression}"
+
+
+CENTS = "cents AS (SELECT o_orderdate::DATE AS dt, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS c FROM orders GROUP BY 1)"
+RETURNS = f"""{CENTS}, changes AS (SELECT dt, row_number() OVER (ORDER BY dt) - 2 AS seq,
+ 0.02::DOUBLE * (c - lag(c) OVER (ORDER BY dt))::DOUBLE / (c + lag(c) OVER (ORDER BY dt))::DOUBLE AS r FROM cents),
+ base AS (SELECT seq, dt, r, pow(ln(1 + r), 2) AS x2 FROM changes WHERE seq >= 0)"""
+VOL = f"""{RETURNS}, e AS (SELECT seq, x2 AS v FROM base WHERE seq = 0 UNION ALL
+ SELECT b.seq, 0.94::DOUBLE * e.v + b.x2 * (1 - 0.94::DOUBLE) FROM e JOIN base b ON b.seq = e.seq + 1),
+ vols AS (SELECT b.*, round(sqrt(252 * e.v), 12) AS vol FROM base b JOIN e USING (seq))"""
+STATES = f"""{VOL}, q AS (SELECT *, count(*) OVER w AS n, round(quantile_cont(vol, 0.4) OVER w, 12) AS lo, round(quantile_cont(vol, 0.9) OVER w, 12) AS hi
+ FROM vols WINDOW w AS (ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+ st AS (SELECT seq, dt, r, x2, vol, CASE WHEN n >= 252 THEN lo END AS low, CASE WHEN n >= 252 THEN hi END AS high,
+ CASE WHEN n < 252 THEN NULL WHEN vol > hi THEN 2 WHEN vol <= lo THEN 0 ELSE 1 END::BIGINT AS state FROM q)"""
+_C = ", ".join(f"sum(CASE WHEN previous = {i} AND state = {j} THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS c{i}{j}" for i in range(3) for j in range(3))
+_P = ", ".join(f"(c{i}{j} + 1.0::DOUBLE) / (c{i}0 + c{i}1 + c{i}2 + 3)::DOUBLE AS p{i}{j}" for i in range(3) for j in range(3))
+MATRIX = f"""{STATES}, pr AS (SELECT *, lag(state) OVER (ORDER BY seq) AS previous FROM st), cn AS (SELECT *, {_C} FROM pr), mx AS (SELECT *, {_P} FROM cn)"""
+
+
+def _power_sql(name: str, rows: str, steps: int) -> str:
+    """CTEs name1..nameN with h0..h2 after each step."""
+    first = ", ".join(f"CASE state WHEN 0 THEN p0{j} WHEN 1 THEN p1{j} WHEN 2 THEN p2{j} END AS h{j}" for j in range(3))
+    parts = [f"{name}1 AS (SELECT *, {first} FROM {rows})"]
+    for k in range(2, steps + 1):
+        step = ", ".join(" + ".join(f"h{i} * p{i}{j}" for i in range(3)) + f" AS h{j}" for j in range(3))
+        parts.append(f"{name}{k} AS (SELECT * EXCLUDE (h0, h1, h2), {step} FROM {name}{k - 1})")
+    return ", ".join(parts)
+
+
+STRESS = f"{MATRIX}, {_power_sql('a', 'mx', 5)}, ps AS (SELECT *, h2 AS p_stress FROM a5)"
+OUTCOME = f"{STRESS}, oc AS (SELECT *, CASE WHEN lead(state, 5) OVER (ORDER BY seq) IS NOT NULL THEN (lead(state, 5) OVER (ORDER BY seq) = 2)::INT::DOUBLE END AS y, CASE WHEN state IS NOT NULL THEN (state = 2)::INT::DOUBLE END AS stays, avg(CASE WHEN state IS NOT NULL THEN (state = 2)::INT::DOUBLE END) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS freq FROM ps)"
+W5 = "OVER (ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"
+LOSSES = f"""{MATRIX}, cv AS (SELECT *, {", ".join(f"avg(CASE WHEN state = {j} THEN x2 END) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS v{j}" for j in range(3))},
+ avg(x2) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS fm, CASE WHEN count(x2) {W5} = 5 THEN avg(x2) {W5} END AS future_x2 FROM mx),
+ {_power_sql('b', 'cv', 5)}, fc AS (SELECT cv.*, {" + ".join(f"(b{k}.h0 * b{k}.v0 + b{k}.h1 * b{k}.v1 + b{k}.h2 * b{k}.v2)" for k in range(1, 6))} AS acc
+ FROM cv {" ".join(f"JOIN b{k} ON b{k}.seq = cv.seq" for k in range(1, 6))}),
+ ff AS (SELECT *, CASE WHEN acc IS NOT NULL THEN greatest(acc / 5, 1e-10::DOUBLE) END AS f_chain, greatest(fm, 1e-10::DOUBLE) AS f_mean FROM fc)"""
+
+
+def _regimes(spark, sf_dir):
+    return regimes.regimes(tables.market(spark, sf_dir))
+
+
+def _matrices(spark, sf_dir):
+    return regimes.transition_matrix(regimes.transition_counts(_regimes(spark, sf_dir)))
+
+
+def _forecasts(spark, sf_dir):
+    return regimes.mean_variance(regimes.future_variance(regimes.chain_variance(regimes.conditional_variance(_matrices(spark, sf_dir)))))
+
+
+@query(f"WITH {RETURNS} SELECT dt, {r('r')}, {r('x2')} FROM base")
+def market_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(regimes.volatility(tables.market(spark, sf_dir)), "dt", "r", "x2")
+
+
+@query(f"WITH RECURSIVE {VOL} SELECT dt, {r('vol')} FROM vols")
+def ewma_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(regimes.volatility(tables.market(spark, sf_dir)), "dt", "vol")
+
+
+@query(f"WITH RECURSIVE {STATES} SELECT dt, {r('vol')}, {r('low')}, {r('high')}, state FROM st")
+def regime_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(_regimes(spark, sf_dir), "dt", "vol", "low", "high", "state")
+
+
+_NAMES = [f"{i}{j}" for i in range(3) for j in range(3)]
+
+
+@query(f"WITH RECURSIVE {MATRIX} SELECT dt, state, {', '.join(f'c{k}' for k in _NAMES)}, {', '.join(r(f'p{k}') for k in _NAMES)} FROM mx")
+def transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(_matrices(spark, sf_dir), "dt", "state", *(f"c{k}" for k in _NAMES), *(f"p{k}" for k in _NAMES))
+
+
+@query(f"WITH RECURSIVE {STRESS} SELECT dt, {r('vol')}, state, {r('p_stress')} FROM ps")
+def stress_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(regimes.stress_probability(_matrices(spark, sf_dir)), "dt", "vol", "state", "p_stress")
+
+
+@query(f"WITH RECURSIVE {LOSSES} SELECT dt, {r('f_chain * 1e4', 'f_chain')}, {r('f_mean * 1e4', 'f_mean')}, {r('future_x2 * 1e4', 'future_x2')} FROM ff")
+def chain_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = _forecasts(spark, sf_dir)
+    return _out(scaled.withColumns({c: F.col(c) * 1e4 for c in ("f_chain", "f_mean", "future_x2")}), "dt", "f_chain", "f_mean", "future_x2")
+
+
+def _losses(spark, sf_dir):
+    f = _forecasts(spark, sf_dir)
+    return f.withColumns({"l_chain": scores.qlike(F.col("future_x2"), F.col("f_chain")), "l_mean": scores.qlike(F.col("future_x2"), F.col("f_mean"))}).dropna(subset=["l_chain", "l_mean"])
+
+
+_QL = ", ".join(f"future_x2 / f_{m} - ln(future_x2 / f_{m}) - 1 AS l_{m}" for m in ("chain", "mean"))
+QLIKE = f"{LOSSES}, ql AS (SELECT seq, {_QL} FROM ff WHERE f_chain IS NOT NULL AND future_x2 > 0)"
+
+
+@query(f"WITH RECURSIVE {QLIKE} SELECT count(*) AS n, {r('avg(l_chain)', 'chain')}, {r('avg(l_mean)', 'mean')} FROM ql")
+def qlike_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(_losses(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.avg("l_chain").alias("chain"), F.avg("l_mean").alias("mean")), "n", "chain", "mean")
+
+
+_DM = " + ".join(f"2 * {1 - k / 11}::DOUBLE * sum(u * u{k}) / count(*)" for k in range(1, 11))
+
+
+@query(f"""WITH RECURSIVE {QLIKE}, d AS (SELECT seq, l_chain - l_mean AS d FROM ql), u AS (SELECT seq, d - (SELECT avg(d) FROM d) AS u FROM d),
+ g AS (SELECT *, {", ".join(f"lag(u, {k}) OVER (ORDER BY seq) AS u{k}" for k in range(1, 11))} FROM u),
+ s AS (SELECT sum(u * u) / count(*) + {_DM} AS s, count(*) AS n FROM g)
+ SELECT {r('(SELECT avg(d) FROM d)', 'mean_difference')}, CASE WHEN s > 0 THEN round((SELECT avg(d) FROM d) / sqrt(s / n), 6) END AS t FROM s""")
+def diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = scores.diebold_mariano(_losses(spark, sf_dir), "l_chain", "l_mean", 10)
+    return got.select(F.round("mean_difference", DIGITS).alias("mean_difference"), F.round("t", 6).alias("t"))
+
+
+_SC = lambda p: f"pow({p} - y, 2) AS b_{p}, -(y * ln(greatest(least({p}, 0.99::DOUBLE), 0.01::DOUBLE)) + (1 - y) * ln(1 - greatest(least({p}, 0.99::DOUBLE), 0.01::DOUBLE))) AS g_{p}"
+
+
+@query(f"""WITH RECURSIVE {OUTCOME}, sc AS (SELECT {", ".join(_SC(p) for p in ("p_stress", "stays", "freq"))} FROM oc WHERE y IS NOT NULL AND p_stress IS NOT NULL)
+ SELECT {", ".join(r(f"avg({k}_{p})", f"{k}_{p}") for p in ("p_stress", "stays", "freq") for k in "bg")} FROM sc""")
+def brier_log_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = regimes.stress_frequency(regimes.stress_probability(_matrices(spark, sf_dir)))
+    from .functions.windows import by_series
+
+    ahead = F.lead("state", 5).over(by_series())
+    p = p.withColumns({"y": (ahead == 2).cast("double"), "stays": (F.col("state") == 2).cast("double")}).where("y is not null and p_stress is not null")
+    names = ("p_stress", "stays", "freq")
+    got = p.agg(*(f(F.avg(g(F.col(n), F.col("y")))).alias(f"{k}_{n}") for n in names for k, g, f in (("b", scores.brier, lambda x: x), ("g", scores.log_score, lambda x: x))))
+    return _out(got, *got.columns)
+
+
+EVENTS = """ev AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
+ CASE WHEN event_type IN ('view', 'click') THEN 0 WHEN event_type IN ('signup', 'purchase') THEN 1 ELSE 2 END AS state FROM events)"""
+LAGS = f"{EVENTS}, lg AS (SELECT *, lag(state) OVER w AS s1, lag(state, 2) OVER w AS s2 FROM ev WINDOW w AS (PARTITION BY series_id ORDER BY seq))"
+_Z = " + ".join(["1"] + [f"pow(lr / 2, {i}) / {__import__('math').factorial(i)}" for i in range(1, 6)])
+
+
+@query(f"""WITH {LAGS}, n2 AS (SELECT series_id, s2, s1, state, count(*) AS n FROM lg WHERE s2 IS NOT NULL GROUP BY ALL),
+ n1 AS (SELECT series_id, s1, state, sum(n) AS n FROM n2 GROUP BY ALL),
+ t2 AS (SELECT series_id, sum(n * ln(n / w)) AS ll2 FROM (SELECT *, (sum(n) OVER (PARTITION BY series_id, s2, s1))::DOUBLE AS w FROM n2) GROUP BY 1),
+ t1 AS (SELECT series_id, sum(n * ln(n / w)) AS ll1 FROM (SELECT *, (sum(n) OVER (PARTITION BY series_id, s1))::DOUBLE AS w FROM n1) GROUP BY 1),
+ l AS (SELECT series_id, 2 * (ll2 - ll1) AS lr FROM t2 JOIN t1 USING (series_id))
+ SELECT series_id, {r('lr')}, 12::BIGINT AS freedom, {r(f"CASE WHEN lr <= 0 THEN 1 ELSE exp(-lr / 2) * ({_Z}) END", 'p_value')} FROM l""")
+def order_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(chains.order_test(tables.event_states(spark, sf_dir)), "series_id", "lr", "freedom", "p_value")
+
+
+ISLANDS = f"""{LAGS}, il AS (SELECT *, sum(CASE WHEN s1 IS NOT DISTINCT FROM state AND seq > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM lg)"""
+
+
+@query(f"WITH {ISLANDS} SELECT series_id, seq::BIGINT AS seq, state::BIGINT AS state, row_number() OVER (PARTITION BY series_id, island ORDER BY seq) AS run FROM il")
+def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(regimes.persistence(tables.event_states(spark, sf_dir)), "series_id", "seq", "state", "run")
+
+
+@query(f"""WITH {ISLANDS}, rs AS (SELECT series_id, island, state, count(*) AS days FROM il GROUP BY ALL), dn AS (SELECT *, max(island) OVER (PARTITION BY series_id) AS last FROM rs)
+ SELECT state::BIGINT AS state, k::BIGINT AS k, {r("avg((days >= k)::INT)", "share")} FROM dn, (VALUES (2), (5), (10)) v(k) WHERE island < last GROUP BY 1, 2""")
+def run_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(chains.run_survival(tables.event_states(spark, sf_dir)), "state", "k", "share")
+
+
+@query(f"WITH {LAGS}, n AS (SELECT s1, count(*) AS n, sum((state = s1)::INT) AS stay FROM lg WHERE s1 IS NOT NULL GROUP BY 1) SELECT s1::BIGINT AS state, k::BIGINT AS k, {r('pow(stay / n, k - 1)', 'share')} FROM n, (VALUES (2), (5), (10)) v(k)")
+def geometric_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(chains.geometric_survival(tables.event_states(spark, sf_dir)), "state", "k", "share")
+
+
+@query(f"WITH {RETURNS} SELECT dt, {', '.join(f'coalesce(date_trunc({u!r}, dt) <> lead(date_trunc({u!r}, dt)) OVER (ORDER BY seq), false)::INT::BIGINT AS {u}_end' for u in ('week', 'month'))} FROM base")
+def decision_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = portfolio.period_ends(tables.market(spark, sf_dir), "week").withColumnRenamed("is_end", "week_end")
+    return _out(portfolio.period_ends(days, "month").withColumnRenamed("is_end", "month_end"), "dt", "week_end", "month_end")
+
+
+@query(f"""WITH {RETURNS}, pc AS (SELECT *, product(1 + r) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS price FROM base),
+ mn AS (SELECT *, CASE WHEN count(*) OVER w = 200 THEN avg(price) OVER w END AS mean FROM pc WINDOW w AS (ORDER BY seq ROWS 199 PRECEDING))
+ SELECT dt, {r('price')}, CASE WHEN price > mean THEN 1 WHEN mean IS NOT NULL THEN 0 END::BIGINT AS above FROM mn""")
+def trend_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(portfolio.trend(tables.market(spark, sf_dir)), "dt", "price", "above")
+
+
+PANEL_CENTS = """own AS (SELECT left(o_orderpriority, 1) AS instrument, o_orderdate::DATE AS dt, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS c FROM orders GROUP BY 1, 2),
+ grid AS (SELECT dt, instrument FROM (SELECT DISTINCT o_orderdate::DATE AS dt FROM orders), (SELECT DISTINCT instrument FROM own)),
+ pcents AS (SELECT g.instrument, g.dt, o.c FROM grid g ASOF LEFT JOIN own o ON g.instrument = o.instrument AND g.dt >= o.dt)"""
+PANEL = f"""{PANEL_CENTS}, pch AS (SELECT *, 0.02::DOUBLE * (c - lag(c) OVER w)::DOUBLE / (c + lag(c) OVER w)::DOUBLE AS r FROM pcents WINDOW w AS (PARTITION BY instrument ORDER BY dt)),
+ start AS (SELECT min(dt) AS s FROM (SELECT dt FROM pch GROUP BY dt HAVING count(r) = count(*))),
+ panel AS (SELECT instrument, dt, r, row_number() OVER (PARTITION BY instrument ORDER BY dt) - 1 AS seq FROM pch WHERE dt >= (SELECT s FROM start))"""
+WEIGHTS = f"""{PANEL}, iv AS (SELECT *, CASE WHEN count(r) OVER w = 60 AND stddev_samp(r) OVER w > 0 THEN 1 / stddev_samp(r) OVER w END AS inv FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY seq ROWS 59 PRECEDING)),
+ wt AS (SELECT instrument, seq, dt, r, inv / sum(inv) OVER (PARTITION BY seq) AS w FROM iv)"""
+
+
+@query(f"WITH {PANEL_CENTS} SELECT instrument, dt, c FROM pcents")
+def asof_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.panel_cents(spark, sf_dir).select("instrument", "dt", "c")
+
+
+@query(f"WITH {PANEL_CENTS} SELECT g.instrument, count(*) AS missing, min(g.dt) AS first_missing FROM grid g ANTI JOIN own o ON g.instrument = o.instrument AND g.dt = o.dt GROUP BY 1")
+def calendar_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.substring("o_orderpriority", 1, 1).alias("instrument"), F.to_date("o_orderdate").alias("dt")).distinct()
+    grid = orders.select("dt").distinct().crossJoin(F.broadcast(orders.select("instrument").distinct()))
+    return grid.join(orders, ["instrument", "dt"], "left_anti").groupBy("instrument").agg(F.count(F.lit(1)).alias("missing"), F.min("dt").alias("first_missing"))
+
+
+@query(f"WITH {WEIGHTS} SELECT instrument, dt, {r('w')} FROM wt")
+def core_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(portfolio.core_weights(tables.panel(spark, sf_dir)), "instrument", "dt", "w")
+
+
+CORE_VOL = f"""{WEIGHTS}, cp AS (SELECT a.seq, a.dt, a.w AS wi, b.w AS wj, CASE WHEN count(a.r) OVER w = 60 THEN covar_samp(a.r, b.r) OVER w END AS c
+ FROM wt a JOIN wt b ON a.seq = b.seq WINDOW w AS (PARTITION BY a.instrument, b.instrument ORDER BY a.seq ROWS 59 PRECEDING)),
+ core AS (SELECT seq, dt, CASE WHEN count(wi) = count(*) THEN sqrt(252 * sum(wi * wj * c)) END AS core_vol FROM cp GROUP BY seq, dt)"""
+
+
+@query(f"WITH {CORE_VOL} SELECT dt, {r('core_vol')} FROM core")
+def core_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(portfolio.core_volatility(portfolio.core_weights(tables.panel(spark, sf_dir))), "dt", "core_vol")
+
+
+@query(f"WITH {PANEL} SELECT a.instrument AS i, b.instrument AS j, {r('corr(a.r, b.r)', 'corr')} FROM panel a JOIN panel b USING (seq) GROUP BY 1, 2")
+def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables.panel(spark, sf_dir)
+    two = p.select("seq", F.col("instrument").alias("j"), F.col("r").alias("rj"))
+    return _out(p.join(two, "seq").groupBy(F.col("instrument").alias("i"), "j").agg(F.corr("r", "rj").alias("corr")), "i", "j", "corr")
+
+
+def _sim_sql() -> str:
+    """The simulator as a recursion over days, with one holding for each instrument: independent of the windows that it checks."""
+    k = range(1, 6)
+    wide = ", ".join(f"max(r) FILTER (instrument = '{i}') AS r{i}, max(w) FILTER (instrument = '{i}') AS w{i}" for i in k)
+    gross = " + ".join(f"s.h{i} * p.r{i}" for i in k)
+    total = " + ".join(f"s.h{i}" for i in k)
+    drift = {i: f"(s.h{i} * (1 + p.r{i}) / (1 + ({gross} + (1 - ({total})) * 0.00005::DOUBLE)))" for i in k}
+    turn = " + ".join(f"abs(s.t{i} - {drift[i]})" for i in k)
+    return f"""{WEIGHTS}, pv AS (SELECT seq, any_value(dt) AS dt, {wide}, coalesce(date_trunc('week', any_value(dt)) <> lead(date_trunc('week', any_value(dt))) OVER (ORDER BY seq), false) AND count(w) = 5 AS ord FROM wt GROUP BY seq),
+ sim AS (SELECT -1::BIGINT AS seq, false AS pending, 0::DOUBLE AS ret, 0::DOUBLE AS turnover, 0::DOUBLE AS exposure, {", ".join(f"0::DOUBLE AS h{i}, 0::DOUBLE AS t{i}" for i in k)}
+ UNION ALL SELECT p.seq, p.ord, ({gross} + (1 - ({total})) * 0.00005::DOUBLE) - CASE WHEN s.pending THEN 0.0005::DOUBLE * ({turn}) ELSE 0 END,
+ CASE WHEN s.pending THEN {turn} ELSE 0 END, {total}, {", ".join(f"CASE WHEN s.pending THEN s.t{i} ELSE {drift[i]} END, coalesce(p.w{i}, 0)" for i in k)} FROM sim s JOIN pv p ON p.seq = s.seq + 1)"""
+
+
+def _core_run(spark, sf_dir):
+    weighted = portfolio.core_weights(tables.panel(spark, sf_dir))
+    days = portfolio.period_ends(weighted.select("seq", "dt").distinct().withColumn("series_id", F.lit("core")), "week").select("seq", F.col("is_end").alias("decide"))
+    return portfolio.simulate(weighted.join(days, "seq").withColumn("run_id", F.lit("core")))
+
+
+@query(f"WITH RECURSIVE {_sim_sql()} SELECT seq, {r('ret')}, {r('turnover')}, {r('exposure')} FROM sim WHERE seq >= 0")
+def simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(_core_run(spark, sf_dir).withColumn("seq", F.col("seq").cast("long")), "seq", "ret", "turnover", "exposure")
+
+
+@query(f"""WITH RECURSIVE {_sim_sql()}, cap AS (SELECT *, product(1 + ret) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS capital FROM sim WHERE seq >= 0),
+ fl AS (SELECT *, capital / greatest(1, max(capital) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING)) - 1 AS fall FROM cap)
+ SELECT {r("avg(ret - 0.00005::DOUBLE) / stddev_samp(ret - 0.00005::DOUBLE) * sqrt(252)", "sharpe")}, {r("pow(product(1 + ret), 252 / count(*)) - 1", "growth")}, {r("stddev_samp(ret) * sqrt(252)", "vol")},
+ {r("min(fall)", "drawdown")}, {r("sum(turnover) / (count(*) / 252)", "turnover")}, {r("avg(exposure)", "exposure")} FROM fl""")
+def strategy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = portfolio.metrics(_core_run(spark, sf_dir))
+    return _out(got, *(c for c in got.columns if c != "run_id"))
+
+
+@query(f"WITH {RETURNS} SELECT count(*) AS n, count(*) FILTER (abs(r) > 0.015) AS outliers, min(dt) AS first_day, {r('avg(r) * 252', 'mean')}, {r('stddev_samp(r) * sqrt(252)', 'deviation')}, {r('min(r)', 'least')}, {r('max(r)', 'greatest')} FROM base")
+def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tables.market(spark, sf_dir).agg(F.count("r").alias("n"), F.count_if(F.abs("r") > 0.015).alias("outliers"), F.min("dt").alias("first_day"), (F.avg("r") * 252).alias("mean"), (F.stddev_samp("r") * F.sqrt(F.lit(252))).alias("deviation"), F.min("r").alias("least"), F.max("r").alias("greatest"))
+    return _out(got, *got.columns)
+
+
+@query(f"""WITH RECURSIVE {STATES}, pv AS (SELECT *, lag(state) OVER (ORDER BY seq) AS before FROM st)
+ SELECT before::BIGINT AS state, {r("count(*) / (SELECT count(before) FROM pv)", "share")}, {r("avg(r - 0.00005::DOUBLE) * 252", "mean_excess")}, {r("stddev_samp(r - 0.00005::DOUBLE) * sqrt(252)", "deviation")} FROM pv WHERE before IS NOT NULL GROUP BY 1""")
+def regime_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    from .functions.windows import by_series
+
+    s = _regimes(spark, sf_dir).withColumn("before", F.lag("state").over(by_series())).where("before is not null")
+    got = s.groupBy(F.col("before").alias("state")).agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col("r") - 0.00005) * 252).alias("mean_excess"), (F.stddev_samp(F.col("r") - 0.00005) * F.sqrt(F.lit(252))).alias("deviation"))
+    # three rows
+    return _out(got.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())), "state", "share", "mean_excess", "deviation")
