@@ -42,7 +42,7 @@ def test_matrix_by_hand(spark):
 
 
 def test_future_variance_by_hand(spark):
-    got = column(regimes.future_variance(regimes.volatility(series(spark, [0, 0.1, 0, 0.2, 0, 0.0])), 2), "future_x2")
+    got = column(regimes.future_variance(regimes.volatility(series(spark, [0.0, 0.1, 0.0, 0.2, 0.0, 0.0])), 2), "future_x2")
     assert got[0] == pytest.approx(math.log(1.1) ** 2 / 2) and got[-2:] == [None, None]
 
 
