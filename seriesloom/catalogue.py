@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chains, portfolio, regimes, scores
+from .functions import bonds
+from .operators import chains, inference, models, multiscale, portfolio, regimes, scores, strategies
 from .sources import tables
 
 DIGITS = 8
@@ -261,7 +262,7 @@ def _sim_sql() -> str:
     total = " + ".join(f"s.h{i}" for i in k)
     drift = {i: f"(s.h{i} * (1 + p.r{i}) / (1 + ({gross} + (1 - ({total})) * 0.00005::DOUBLE)))" for i in k}
     turn = " + ".join(f"abs(s.t{i} - {drift[i]})" for i in k)
-    return f"""{WEIGHTS}, pv AS (SELECT seq, any_value(dt) AS dt, {wide}, coalesce(date_trunc('week', any_value(dt)) <> lead(date_trunc('week', any_value(dt))) OVER (ORDER BY seq), false) AND count(w) = 5 AS ord FROM wt GROUP BY seq),
+    return f"""{WEIGHTS}, pv AS MATERIALIZED (SELECT seq, any_value(dt) AS dt, {wide}, coalesce(date_trunc('week', any_value(dt)) <> lead(date_trunc('week', any_value(dt))) OVER (ORDER BY seq), false) AND count(w) = 5 AS ord FROM wt GROUP BY seq),
  sim AS (SELECT -1::BIGINT AS seq, false AS pending, 0::DOUBLE AS ret, 0::DOUBLE AS turnover, 0::DOUBLE AS exposure, {", ".join(f"0::DOUBLE AS h{i}, 0::DOUBLE AS t{i}" for i in k)}
  UNION ALL SELECT p.seq, p.ord, ({gross} + (1 - ({total})) * 0.00005::DOUBLE) - CASE WHEN s.pending THEN 0.0005::DOUBLE * ({turn}) ELSE 0 END,
  CASE WHEN s.pending THEN {turn} ELSE 0 END, {total}, {", ".join(f"CASE WHEN s.pending THEN s.t{i} ELSE {drift[i]} END, coalesce(p.w{i}, 0)" for i in k)} FROM sim s JOIN pv p ON p.seq = s.seq + 1)"""
@@ -304,3 +305,180 @@ def regime_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = s.groupBy(F.col("before").alias("state")).agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col("r") - 0.00005) * 252).alias("mean_excess"), (F.stddev_samp(F.col("r") - 0.00005) * F.sqrt(F.lit(252))).alias("deviation"))
     # three rows
     return _out(got.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())), "state", "share", "mean_excess", "deviation")
+
+
+# ---- grids, costs and placebo runs
+
+_CELLS = ", ".join(f"('c{i}', {m}::DOUBLE, {react}::DOUBLE)" for i, (m, react) in enumerate((m, react) for m in strategies.MULTIPLIERS for react in strategies.REACTIONS))
+
+
+def _grid_sql() -> str:
+    """All cells' simulations as one recursion over days."""
+    k = range(1, 6)
+    wide = ", ".join(f"max(r) FILTER (instrument = '{i}') AS r{i}, max(w) FILTER (instrument = '{i}') AS w{i}" for i in k)
+    gross = " + ".join(f"s.h{i} * p.r{i}" for i in k)
+    total = " + ".join(f"s.h{i}" for i in k)
+    drift = {i: f"(s.h{i} * (1 + p.r{i}) / (1 + ({gross} + (1 - ({total})) * 0.00005::DOUBLE)))" for i in k}
+    turn = " + ".join(f"abs(s.t{i} - {drift[i]})" for i in k)
+    return f"""{STRESS}, {CORE_VOL}, reference AS (SELECT median(core_vol) AS reference FROM core WHERE seq BETWEEN 59 AND 503),
+ cells(run_id, m, react) AS (VALUES {_CELLS}),
+ pv AS (SELECT seq, any_value(dt) AS dt, {wide}, count(w) = 5 AS whole FROM wt GROUP BY seq),
+ od AS (SELECT *, coalesce(date_trunc('week', dt) <> lead(date_trunc('week', dt)) OVER (ORDER BY seq), false) AND seq >= 504 AS week_end FROM pv),
+ raw AS (SELECT run_id, od.*, m * reference * (1 - (1 - react) * p_stress) / core_vol AS x FROM od JOIN core USING (seq) LEFT JOIN ps ON ps.dt = od.dt, reference, cells),
+ runs AS MATERIALIZED (SELECT * EXCLUDE ({", ".join(f"w{i}" for i in k)}), {", ".join(f"CASE WHEN x IS NOT NULL THEN w{i} * least(x, 1) END AS w{i}" for i in k)} FROM raw),
+ sim AS (SELECT run_id, -1::BIGINT AS seq, false AS pending, 0::DOUBLE AS ret, 0::DOUBLE AS turnover, 0::DOUBLE AS exposure, {", ".join(f"0::DOUBLE AS h{i}, 0::DOUBLE AS t{i}" for i in k)} FROM cells
+ UNION ALL SELECT p.run_id, p.seq, p.week_end AND p.whole AND p.x IS NOT NULL, ({gross} + (1 - ({total})) * 0.00005::DOUBLE) - CASE WHEN s.pending THEN 0.0005::DOUBLE * ({turn}) ELSE 0 END,
+ CASE WHEN s.pending THEN {turn} ELSE 0 END, {total}, {", ".join(f"CASE WHEN s.pending THEN s.t{i} ELSE {drift[i]} END, coalesce(p.w{i}, 0)" for i in k)} FROM sim s JOIN runs p ON p.seq = s.seq + 1 AND p.run_id = s.run_id)"""
+
+
+def _metrics_sql(source: str, key: str) -> str:
+    return f"""cap AS (SELECT *, product(1 + ret) OVER (PARTITION BY {key} ORDER BY seq ROWS UNBOUNDED PRECEDING) AS capital FROM {source} WHERE seq >= 0),
+ fl AS (SELECT *, capital / greatest(1, max(capital) OVER (PARTITION BY {key} ORDER BY seq ROWS UNBOUNDED PRECEDING)) - 1 AS fall FROM cap),
+ me AS (SELECT {key}, avg(ret - 0.00005::DOUBLE) / stddev_samp(ret - 0.00005::DOUBLE) * sqrt(252) AS sharpe, pow(product(1 + ret), 252 / count(*)) - 1 AS growth,
+ stddev_samp(ret) * sqrt(252) AS vol, min(fall) AS drawdown, sum(turnover) / (count(*) / 252) AS turnover, avg(exposure) AS exposure FROM fl GROUP BY 1)"""
+
+
+_MEASURES = ("sharpe", "growth", "vol", "drawdown", "turnover", "exposure")
+
+
+def _grid_runs(spark, sf_dir):
+    weighted = portfolio.core_weights(tables.panel(spark, sf_dir))
+    days = strategies.signal_days(portfolio.core_volatility(weighted), regimes.stress_probability(_matrices(spark, sf_dir)))
+    return weighted, days
+
+
+@query(f"WITH RECURSIVE {_grid_sql()}, {_metrics_sql('sim', 'run_id')} SELECT run_id, {', '.join(r(c) for c in _MEASURES)} FROM me")
+def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(portfolio.metrics(portfolio.simulate(strategies.run_targets(*_grid_runs(spark, sf_dir), strategies.grid(spark)))), "run_id", *_MEASURES)
+
+
+@query(f"WITH RECURSIVE {_grid_sql()}, {_metrics_sql('sim', 'run_id')} SELECT run_id, {r('sharpe')}, {r('turnover')} FROM (SELECT * FROM me WHERE sharpe >= (SELECT max(sharpe) FROM me) - 0.02) QUALIFY row_number() OVER (ORDER BY turnover, run_id) = 1")
+def chosen_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = portfolio.metrics(portfolio.simulate(strategies.run_targets(*_grid_runs(spark, sf_dir), strategies.grid(spark))))
+    return _out(strategies.choose(table), "run_id", "sharpe", "turnover")
+
+
+@query(f"""WITH RECURSIVE {_sim_sql()}, priced AS (SELECT cost, seq, ret + (0.0005::DOUBLE - cost) * turnover AS ret, turnover, exposure FROM sim, (VALUES (0::DOUBLE), (0.001::DOUBLE), (0.0025::DOUBLE)) c(cost)),
+ {_metrics_sql('priced', 'cost')} SELECT cost, {', '.join(r(c) for c in _MEASURES)} FROM me""")
+def cost_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(portfolio.metrics(strategies.at_costs(_core_run(spark, sf_dir), (0.0, 0.001, 0.0025)), keys=("cost",)), "cost", *_MEASURES)
+
+
+#: Placebo runs; each is a partition of the simulation.
+PLACEBOS = 100
+
+
+@query()
+def placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal's Sharpe ratio, and the share of its cyclic shifts that do as well."""
+    weighted, days = _grid_runs(spark, sf_dir)
+    runs = spark.range(PLACEBOS + 1).select(F.concat(F.lit("s"), "id").alias("run_id"), F.lit(0.8).alias("m"), F.lit(0.25).alias("react"))
+    got = portfolio.metrics(portfolio.simulate(strategies.run_targets(weighted, strategies.cyclic_shifts(days, PLACEBOS), runs)))
+    own = got.where("run_id = 's0'").select(F.col("sharpe").alias("own"))
+    each = got.where("run_id <> 's0'").crossJoin(F.broadcast(own))
+    return _out(each.agg(F.first("own").alias("sharpe"), F.avg((F.col("sharpe") >= F.col("own")).cast("double")).alias("share_as_good")), "sharpe", "share_as_good")
+
+
+# ---- inference
+
+PAIR = f"{PANEL}, two AS (SELECT a.seq, a.r AS a, b.r AS b FROM panel a JOIN panel b ON a.seq = b.seq WHERE a.instrument = '1' AND b.instrument = '2')"
+
+
+def _pair(spark, sf_dir):
+    p = tables.panel(spark, sf_dir)
+    return p.where("instrument = '1'").select("seq", F.col("r").alias("a")).join(p.where("instrument = '2'").select("seq", F.col("r").alias("b")), "seq")
+
+
+_LAGS = 20
+_NW = {(i, j): f"sum({i} * {j})" + "".join(f" + {1 - k / (_LAGS + 1)}::DOUBLE * (sum({i} * {j}_{k}) + sum({j} * {i}_{k}))" for k in range(1, _LAGS + 1)) for i, j in (("g0", "g0"), ("g0", "g1"), ("g1", "g1"))}
+
+
+@query(f"""WITH {PAIR}, fit AS (SELECT regr_slope(a, b) AS beta, regr_intercept(a, b) AS alpha, count(*) AS n, sum(b) AS sx, sum(b * b) AS sxx FROM two),
+ g AS (SELECT seq, a - alpha - beta * b AS g0, (a - alpha - beta * b) * b AS g1 FROM two, fit),
+ gl AS (SELECT *, {", ".join(f"lag({c}, {k}) OVER (ORDER BY seq) AS {c}_{k}" for c in ("g0", "g1") for k in range(1, _LAGS + 1))} FROM g),
+ s AS (SELECT {_NW["g0", "g0"]} AS s00, {_NW["g0", "g1"]} AS s01, {_NW["g1", "g1"]} AS s11 FROM gl),
+ v AS (SELECT *, sqrt((sxx * sxx * s00 - 2 * sxx * sx * s01 + sx * sx * s11) / pow(n * sxx - sx * sx, 2)) AS se FROM fit, s)
+ SELECT {r('alpha * 252', 'alpha')}, {r('beta')}, round(alpha / se, 6) AS t_alpha FROM v""")
+def newey_west(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = inference.newey_west(_pair(spark, sf_dir).select(F.lit("pair").alias("series_id"), "seq", F.col("a").alias("y"), F.col("b").alias("x")), _LAGS)
+    return got.select(F.round(F.col("alpha") * 252, DIGITS).alias("alpha"), F.round("beta", DIGITS).alias("beta"), F.round("t_alpha", 6).alias("t_alpha"))
+
+
+_K = 5 / 12
+
+
+@query(f"""WITH {PAIR}, m AS (SELECT avg(1 + a) AS mean, avg(1 + a - {_K}::DOUBLE * pow(1 + a, 2)) AS ua, avg(1 + b - {_K}::DOUBLE * pow(1 + b, 2)) AS ub FROM two),
+ q AS (SELECT 1 - 2 * {_K}::DOUBLE * mean AS slope, pow(1 - 2 * {_K}::DOUBLE * mean, 2) - 4 * {_K}::DOUBLE * (ub - ua) AS disc FROM m)
+ SELECT CASE WHEN disc >= 0 THEN round((sqrt(disc) - slope) / (2 * {_K}::DOUBLE) * 252, {DIGITS}) END AS fee FROM q""")
+def performance_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(inference.performance_fee(_pair(spark, sf_dir), 5.0), "fee")
+
+
+#: Replicates of the bootstrap query.
+REPLICATES = 200
+
+
+def _draw_sql(salt: int) -> str:
+    x = f"((rep * {inference.STEP_REP} + pos * {inference.STEP_POS} + {salt * inference.STEP_SALT + 1}) % {inference.MODULUS})"
+    for _ in range(2):
+        x = f"((({x} * {x}) % {inference.MODULUS} * {inference.MULTIPLIER} + 11) % {inference.MODULUS})"
+    return x
+
+
+@query(f"""WITH {PAIR}, sz AS (SELECT count(*)::BIGINT AS n FROM two), cells AS (SELECT rep::BIGINT AS rep, pos::BIGINT AS pos, n FROM sz, range({REPLICATES}) t(rep), range((SELECT n FROM sz)) p(pos)),
+ begun AS (SELECT rep, pos, n, CASE WHEN pos = 0 OR {_draw_sql(1)} * 20 < {inference.MODULUS} THEN pos END AS head, {_draw_sql(2)} % n AS spot FROM cells),
+ filled AS (SELECT rep, pos, n, last_value(head IGNORE NULLS) OVER w AS head, last_value(CASE WHEN head IS NOT NULL THEN spot END IGNORE NULLS) OVER w AS spot FROM begun WINDOW w AS (PARTITION BY rep ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ drawn AS (SELECT rep, pos, a, b FROM filled JOIN two ON two.seq = (spot + pos - head) % n UNION ALL SELECT -1, seq, a, b FROM two),
+ val AS (SELECT *, product(1 + a) OVER w AS va, product(1 + b) OVER w AS vb FROM drawn WINDOW w AS (PARTITION BY rep ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ low AS (SELECT *, va / greatest(1, max(va) OVER w) - 1 AS fa, vb / greatest(1, max(vb) OVER w) - 1 AS fb FROM val WINDOW w AS (PARTITION BY rep ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ each AS (SELECT rep, (avg(a - 0.00005::DOUBLE) / stddev_samp(a - 0.00005::DOUBLE) - avg(b - 0.00005::DOUBLE) / stddev_samp(b - 0.00005::DOUBLE)) * sqrt(252) AS sharpe, min(fa) - min(fb) AS drawdown FROM low GROUP BY 1),
+ long AS (SELECT rep, 'sharpe' AS measure, sharpe AS value FROM each UNION ALL SELECT rep, 'drawdown', drawdown FROM each)
+ SELECT measure, {r("max(value) FILTER (rep < 0)", "point")}, {r("quantile_cont(value, 0.025) FILTER (rep >= 0)", "low")}, {r("quantile_cont(value, 0.975) FILTER (rep >= 0)", "high")},
+ {r("avg((value <= 0)::INT) FILTER (rep >= 0)", "share_below")} FROM long GROUP BY 1""")
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(inference.paired_bootstrap(_pair(spark, sf_dir), REPLICATES), "measure", "point", "low", "high", "share_below")
+
+
+# ---- further forecasts; recursions and fits that SQL doesn't express are held against plain versions in tests
+
+
+@query()
+def multiscale_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(multiscale.stress_probability(tables.market(spark, sf_dir)), "dt", "p_stress", "w5", "w15", "w42")
+
+
+@query()
+def multiscale_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(multiscale.variance(tables.market(spark, sf_dir)).withColumn("f_multi", F.col("f_multi") * 1e4), "dt", "f_multi", "w5", "w15", "w42")
+
+
+@query()
+def har_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(multiscale.har(regimes.volatility(tables.market(spark, sf_dir))).withColumn("f_har", F.col("f_har") * 1e4), "dt", "f_har")
+
+
+@query()
+def logistic_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(models.walk_forward_logistic(_regimes(spark, sf_dir)), "seq", "p_logistic")
+
+
+@query()
+def hidden_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(models.walk_forward_hidden(tables.market(spark, sf_dir)), "dt", "p_hidden")
+
+
+def _price_sql(y: str) -> str:
+    return f"(y0 / ({y}) * (1 - pow(1 / (1 + ({y}) / 2), 14)) + pow(1 / (1 + ({y}) / 2), 14))"
+
+
+_UP, _DOWN = _price_sql("y0 + 0.0001::DOUBLE"), _price_sql("y0 - 0.0001::DOUBLE")
+
+
+@query(f"""WITH {CENTS}, yd AS (SELECT dt, 0.02::DOUBLE + 0.03::DOUBLE * (c % 1000) / 1000 AS y FROM cents),
+ yl AS (SELECT dt, y, lag(y) OVER (ORDER BY dt) AS y0, date_diff('day', lag(dt) OVER (ORDER BY dt), dt) AS days FROM yd)
+ SELECT dt, round(y0 * days / 365 - ({_DOWN} - {_UP}) / 0.0002::DOUBLE * (y - y0) + ({_UP} - 2 + {_DOWN}) / 0.00000001::DOUBLE / 2 * (y - y0) * (y - y0), 7) AS r FROM yl WHERE y0 IS NOT NULL""")
+def bond_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    y = tables.market_cents(spark, sf_dir).select("series_id", F.row_number().over(Window.partitionBy("series_id").orderBy("dt")).alias("seq"), "dt", (F.lit(0.02) + F.lit(0.03) * (F.col("c") % 1000) / 1000).alias("y"))
+    return bonds.bond_returns(y).select("dt", F.round("r", 7).alias("r"))
