@@ -5,7 +5,7 @@ Results are rounded to 8 decimals on both sides, as sums of doubles depend on th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import bonds
@@ -297,8 +297,6 @@ def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {STATES}, pv AS (SELECT *, lag(state) OVER (ORDER BY seq) AS before FROM st)
  SELECT before::BIGINT AS state, {r("count(*) / (SELECT count(before) FROM pv)", "share")}, {r("avg(r - 0.00005::DOUBLE) * 252", "mean_excess")}, {r("stddev_samp(r - 0.00005::DOUBLE) * sqrt(252)", "deviation")} FROM pv WHERE before IS NOT NULL GROUP BY 1""")
 def regime_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     from .functions.windows import by_series
 
     s = _regimes(spark, sf_dir).withColumn("before", F.lag("state").over(by_series())).where("before is not null")
@@ -374,8 +372,9 @@ def placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted, days = _grid_runs(spark, sf_dir)
     runs = spark.range(PLACEBOS + 1).select(F.concat(F.lit("s"), "id").alias("run_id"), F.lit(0.8).alias("m"), F.lit(0.25).alias("react"))
     got = portfolio.metrics(portfolio.simulate(strategies.run_targets(weighted, strategies.cyclic_shifts(days, PLACEBOS), runs)))
-    own = got.where("run_id = 's0'").select(F.col("sharpe").alias("own"))
-    each = got.where("run_id <> 's0'").crossJoin(F.broadcast(own))
+    # a row for each run
+    own = F.max(F.when(F.col("run_id") == "s0", F.col("sharpe"))).over(Window.partitionBy())
+    each = got.withColumn("own", own).where("run_id <> 's0'")
     return _out(each.agg(F.first("own").alias("sharpe"), F.avg((F.col("sharpe") >= F.col("own")).cast("double")).alias("share_as_good")), "sharpe", "share_as_good")
 
 
@@ -478,7 +477,5 @@ _UP, _DOWN = _price_sql("y0 + 0.0001::DOUBLE"), _price_sql("y0 - 0.0001::DOUBLE"
  yl AS (SELECT dt, y, lag(y) OVER (ORDER BY dt) AS y0, date_diff('day', lag(dt) OVER (ORDER BY dt), dt) AS days FROM yd)
  SELECT dt, round(y0 * days / 365 - ({_DOWN} - {_UP}) / 0.0002::DOUBLE * (y - y0) + ({_UP} - 2 + {_DOWN}) / 0.00000001::DOUBLE / 2 * (y - y0) * (y - y0), 7) AS r FROM yl WHERE y0 IS NOT NULL""")
 def bond_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     y = tables.market_cents(spark, sf_dir).select("series_id", F.row_number().over(Window.partitionBy("series_id").orderBy("dt")).alias("seq"), "dt", (F.lit(0.02) + F.lit(0.03) * (F.col("c") % 1000) / 1000).alias("y"))
     return bonds.bond_returns(y).select("dt", F.round("r", 7).alias("r"))
