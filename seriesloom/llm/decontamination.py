@@ -1,7 +1,11 @@
 """Operator 5, benchmark decontamination by SimHash of item-sized windows. DataFrame functions only.
 
-Texts become arrays of word-shingle hashes. A window that shares no shingle with an item has similarity 0 to it, so windows are laid
-where a document's shingle is also an item's: the window of the item's length that brings the two shingles to the same place. Each
+Texts become arrays of word-shingle hashes. Where a document's shingle is also an item's, one window of the item's length brings the
+two to the same place: an aligned start. A window all of whose shared shingles align to its right (left) has a foreign shingle at its
+left (right) end, so moving it there never lowers its similarity; the best window thus lies between two aligned starts of its own
+shingles, which are less than twice its length apart, and windows are laid at every start between such neighbours. Windows that the
+document's end cuts short lose nothing by moving left, so those after the last aligned start are laid too. A text with fewer than
+percent of the item's shingles holds no such window and is left out before. Each
 window and each item gets a 64-bit SimHash of its weighted shingles (weight: how often a shingle occurs). Fingerprints are cut into
 RADIUS + 1 blocks of bits; two that differ in at most RADIUS bits agree in one block or more, so a join on (item, block, value) finds
 all windows within RADIUS. Candidates are verified by the exact weighted Jaccard similarity of the two multisets of shingles.
@@ -16,7 +20,7 @@ best window of any of them; equal items match each on its own. Empty tables give
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, small
@@ -56,7 +60,7 @@ def _in_blocks(df: DataFrame, name: str, radius: int) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, gram: int = GRAM, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, start, similarity): each item that a document holds, with its best window (the first of the best).
+    """(doc_id, item_id, start, similarity): each item that a document holds, with its best window (the first of the best laid).
 
     start: number of the window's first word; similarity: exact weighted Jaccard of shingles, percent / 100 or more.
     """
@@ -64,11 +68,18 @@ def contaminated(docs: DataFrame, items: DataFrame, gram: int = GRAM, percent: i
     item_rows = durable(_with_shingles(items.where("item_id is not null"), ["item_id"], gram).select("item_id", F.size("grams").alias("n"), F.posexplode_outer("grams").alias("j", "g")), "items")
     places = _with_shingles(texts, ["doc_id", "row"], gram).select("doc_id", "row", F.posexplode_outer("grams").alias("i", "g"))
     start = F.greatest(F.col("i") - F.col("j"), F.lit(0))
-    hits = durable(places.join(small(item_rows), "g").select("doc_id", "row", "item_id", "n", start.alias("start")).distinct(), "hits")
+    aligned = places.join(small(item_rows), "g").groupBy("doc_id", "row", "item_id", "n", start.alias("start")).agg(F.count(F.lit(1)).alias("shared"))
+    pair = Window.partitionBy("doc_id", "row", "item_id", "n")
+    hits = aligned.withColumns({"after": F.lead("start").over(pair.orderBy("start")), "shared": F.sum("shared").over(pair)})
+    hits = durable(hits.where(F.col("shared") * 100 >= F.col("n") * percent).drop("shared"), "hits")
     held = hits.select("doc_id", "row").distinct()
     sources = _with_shingles(texts.join(small(held), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]), ["doc_id", "row"], gram)
-    window = F.slice("grams", F.col("start") + 1, F.col("n"))
-    windows = hits.join(sources, ["doc_id", "row"]).select("doc_id", "row", "item_id", "start", F.explode_outer(window).alias("g"))
+    begin, after, n, length = F.col("start"), F.col("after"), F.col("n"), F.size("grams")
+    between = F.when(after - begin < 2 * n, F.sequence(begin, after - 1)).otherwise(F.array(begin))
+    cut = F.filter(F.sequence(begin + 1, begin + n), lambda s: (s > length - n) & ((length - s) * 100 >= n * percent))
+    laid = F.when(after.isNull(), F.concat(F.array(begin), cut)).otherwise(between)
+    windows = hits.join(sources, ["doc_id", "row"]).select("doc_id", "row", "item_id", "n", "grams", F.explode_outer(laid).alias("start"))
+    windows = windows.select("doc_id", "row", "item_id", "start", F.explode_outer(F.slice("grams", F.col("start") + 1, n)).alias("g"))
     by = ["doc_id", "row", "item_id", "start"]
     weighted = durable(windows.groupBy(*by, "g").agg(F.count(F.lit(1)).alias("w")), "windows")
     weighted_items = item_rows.groupBy("item_id", "g").agg(F.count(F.lit(1)).alias("w"))

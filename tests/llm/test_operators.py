@@ -140,6 +140,37 @@ def test_decontamination_equals_brute_force(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_decontamination_slides_over_all_starts(spark):
+    rng = random.Random(16)
+    item = [f"q{i}" for i in range(59)]
+    around = [f"z{i}" for i in range(80)]
+    swapped = item[29:] + item[:29]
+    edited = ["x1", *item[1:30], "x2", "x3", *item[30:-1], "x4"]
+    texts = [around[:40] + swapped + around[40:], around[:40] + edited + around[40:], around + item[11:], item[11:] + around, around + item[:-11], item[:20] + around + item[20:]]
+    for _ in range(30):
+        copy = list(item)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randint(0, 1)] = rng.choices(around, k=rng.randint(0, 2))
+        at = rng.randrange(len(copy))
+        texts.append(around[: rng.randint(0, 80)] + (copy[at:] + copy[:at] if rng.random() < 0.4 else copy) + around[: rng.choice([0, 1, 30])])
+    texts, own, want = [" ".join(t) for t in texts], collections.Counter(grams(" ".join(item))), {}
+    n = sum(own.values())
+
+    def similarity(part, start):
+        b = collections.Counter(part[start : start + n])
+        return sum((own & b).values()) / sum((own | b).values())
+
+    for d, text in enumerate(texts):
+        best = max(similarity(grams(text), start) for start in range(len(grams(text))))
+        if best >= 0.8:
+            want[d] = best
+    assert {0, 1, 2} <= want.keys() and 5 not in want
+    got = {r["doc_id"]: r for r in contaminated(table(spark, texts), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d]["similarity"] == pytest.approx(want[d]) == similarity(grams(texts[d]), got[d]["start"]) for d in want)
+
+
 def test_quality_separates_and_takes_odd_rows(spark):
     rng = random.Random(7)
     good = [" ".join(rng.choices(["the", "river", "runs", "past", "old", "mills"], k=rng.randint(20, 80))) + "." for _ in range(120)]
