@@ -1,8 +1,10 @@
 """Operator 7, HTML extraction by tree scoring.
 
 A page becomes a tree of elements. Each text block passes points for its length and commas to its ancestors, in full to its parent and
-by half at each step further up, and an element's points are discounted by its link density. The element with the most points is the main container;
-siblings that have a good share of its points are kept with it. Menus, headers, footers, sidebars, notices, adverts, forms,
+by half at each step further up, and an element's points are discounted by its link density. The element with the most points marks the place;
+the main container is the outermost article around it, else the outermost main, else what is reached by climbing while the parent is marked as
+content or adds text that isn't link-dense (to the body only from pieces of running text, such as lists or tables). The container's text is kept
+whole, with siblings that have a good share of the best element's points. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are cut off as whole subtrees, by tag, role or words of class and id.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by one line break
@@ -34,7 +36,9 @@ ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 UNWANTED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 GOOD = {"article", "main", "content", "post", "entry", "story", "body", "text"}
-KEEP_SHARE, BONUS = 0.2, 25.0
+#: Pieces of running text: none of them is a page's main container while others stand beside it.
+FLOW = {"blockquote", "pre", "p", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "figure", "figcaption", "details", "section"}
+KEEP_SHARE, BONUS, LINKED = 0.2, 25.0, 0.5
 
 
 class Node:
@@ -146,6 +150,25 @@ def _blocks(top: list[Node | str], out: list[tuple[Node | None, str, int]]) -> N
     flush()
 
 
+def _container(best: Node) -> Node:
+    """The element around best whose text belongs together."""
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    for tag in ("article", "main"):
+        found = [x for x in above if x.tag == tag]
+        if found:
+            return found[-1]
+    top = best
+    for up in above[1:]:
+        if up.tag in ("", "html") or up.tag == "body" and top.tag not in FLOW:
+            break
+        if not up.good and up.linked - top.linked >= LINKED * max(1, up.chars - top.chars):
+            break
+        top = up
+    return top
+
+
 def main_text(page: str | None) -> str:
     """The page's main text."""
     if not page:
@@ -171,12 +194,13 @@ def main_text(page: str | None) -> str:
         return ""
     score = lambda n: (n.points + BONUS * n.good) * (1 - min(1.0, n.linked / n.chars if n.chars else 0.0))
     best = max(found, key=lambda n: (score(n), -n.order))
-    kept: list[Node | str] = [best]
-    if best.parent is not None and best.tag not in ("body", "html"):
+    top = _container(best)
+    kept: list[Node | str] = [top]
+    if top.parent is not None and top.tag not in ("body", "html"):
         least = KEEP_SHARE * score(best)
         kept = []
-        for x in best.parent.children:
-            if x is best:
+        for x in top.parent.children:
+            if x is top:
                 kept.append(x)
             elif isinstance(x, Node) and not x.dropped and x.chars:
                 density = x.linked / x.chars

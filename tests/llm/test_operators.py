@@ -192,6 +192,20 @@ def test_html_by_hand():
     assert [html_text.main_text(x) for x in (None, "", "plain  text", "<p>", "<", "<!-- a")] == ["", "", "plain text", "", "<", ""]
 
 
+def test_html_keeps_short_parts_beside_a_long_one():
+    paragraph = lambda name: f"{name} " + "word, " * 4 + "w" * 270
+    p = lambda names: "".join(f"<p>{paragraph(x)}</p>" for x in names)
+    long, one, two = [f"a{i}" for i in range(60)], ["b0", "b1"], ["c0", "c1"]
+    want = "\n".join(["Title", *(paragraph(x) for x in [*long, "note", *one, *two])])
+    around = lambda x: f"<html><body><nav><a href=x>menu</a></nav>{x}<div><a href=y>other</a></div><footer>foot</footer></body></html>"
+    parts = f"<h1>Title</h1><section>{p(long)}</section><h2>{paragraph('note')}</h2><section>{p(one)}</section><section>{p(two)}</section>"
+    for page in (f"<article>{parts}<div class=ad>Buy</div></article>", f"<main><div>{parts}</div></main>", f"<div class=page>{parts}</div>"):
+        assert html_text.main_text(around(page)) == want
+    for tag, item in (("blockquote", "p"), ("ul", "li")):
+        rows = "".join(f"<{item}>{paragraph(x)}</{item}>" for x in long)
+        assert html_text.main_text(around(f"<article><h1>Title</h1><{tag}>{rows}</{tag}><h2>Short</h2><p>End.</p></article>")) == "\n".join(["Title", *(paragraph(x) for x in long), "Short", "End."])
+
+
 def test_replies_and_quotes(spark):
     rows = [(1, 0, "user", "Hello  there\nHow are you?"), (1, 1, "assistant", "Fine."), (1, 2, "user", "> hello there\n> How are you?\nStill asking."), (1, 3, "assistant", "> > HELLO there\n> Still asking.\nOk\n> unknown"), (2, 0, None, None), (None, 0, "user", "x")]
     got = {(r["conv_id"], r["turn"]): r for r in reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
