@@ -1,13 +1,14 @@
 """Operator 8, chat formatting by quotation linking. DataFrame functions only.
 
 Lines of a message are parsed for their quote level (the number of '>' before the text). Lines of one level that follow one another
-are a passage. Quoted passages are normalised (ASCII lower case, white space to one space, ends trimmed), hashed and joined to the
-passages and whole bodies of the conversation's earlier messages that nobody quotes there; a passage belongs to the last such
-message. A message replies to the origin of its outermost quote that has one (the first of them), else to the turn before it. Its text is
+are a passage. Quoted passages are normalised (ASCII lower case, white space to one space, ends trimmed), hashed and matched with what
+the conversation's earlier messages say themselves: whole bodies, passages, paragraphs, and every run of as many lines as some quote of the
+conversation has. A passage belongs to the last such message; failing that, to the last one that holds all of its lines in order,
+with others between them; failing that, its paragraphs are looked up one by one. A message replies to the origin of its outermost quote that has one (the first of them), else to the turn before it. Its text is
 what it doesn't quote. Conversations are ordered by depth in the reply tree, then by turn, so a message follows what it replies to.
 
 The origin is found by a window over each (conversation, hash), not by a join of all quotes with all originals, so a passage that is
-said and quoted often costs one sort. Depths are found by pointer doubling: rounds grow with the logarithm of the longest chain.
+said and quoted often costs one sort; only quotes of several lines that no run equals are joined to originals line by line. Depths are found by pointer doubling: rounds grow with the logarithm of the longest chain.
 
 Nulls and edge cases: a null text counts as empty; a null role stays null; rows without conv_id or turn give no row; of rows that
 share both, the one with the least role and text counts; messages with nothing but quotes have an empty text; quotes without an origin
@@ -27,6 +28,27 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(folded, "[\\x20\\x09-\\x0D]+", " "))
 
 
+def _lines(text: Column) -> Column:
+    """The normalised lines of a text that aren't blank."""
+    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+
+
+def _paragraphs(text: Column) -> Column:
+    return F.split(text, "\n(?:[\\x20\\x09-\\x0D]*\n)+")
+
+
+def _in_order(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(conv_id, turn, nth, level, origin): the last earlier message that holds all lines of a quote, in order."""
+    wanted = quotes.select("conv_id", "turn", "nth", "level", F.size("lines").alias("k"), F.posexplode("lines").alias("at", "line"))
+    said = bodies.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.col("turn").alias("origin"), F.posexplode(_lines(F.col("text"))).alias("place", "line"))
+    said = said.groupBy("conv_id", "origin", "line").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    met = wanted.join(said, ["conv_id", "line"]).where("origin < turn")
+    each = met.groupBy("conv_id", "turn", "nth", "level", "k", "origin").agg(F.sort_array(F.collect_list(F.struct("at", "places"))).alias("all")).where(F.size("all") == F.col("k"))
+    # the least place after the one before; null once there is none
+    last = F.aggregate("all", F.lit(-1), lambda before, x: F.array_min(F.filter(x["places"], lambda p: p > before)))
+    return each.where(last.isNotNull()).groupBy("conv_id", "turn", "nth", "level").agg(F.max("origin").alias("origin"))
+
+
 def _passages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, nth, level, text): passages in order."""
     lines = messages.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
@@ -49,11 +71,22 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     hashed = lambda df: df.withColumn("h", F.md5(normalised(F.col("text")))).where(normalised(F.col("text")) != "")
     parts = passages.where("level = 0").select("conv_id", "turn", "text")
     lines = parts.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("text"))
-    originals = hashed(bodies.unionByName(parts).unionByName(lines)).select("conv_id", "turn", "h", F.lit(None).cast("int").alias("nth"), F.lit(None).cast("int").alias("level")).distinct()
-    quotes = hashed(passages.where("level > 0")).select("conv_id", "turn", "h", F.col("nth").cast("int"), F.col("level").cast("int"))
+    paragraphs = bodies.select("conv_id", "turn", F.explode(_paragraphs(F.col("text"))).alias("text"))
+    quoted = passages.where("level > 0").select("conv_id", "turn", F.col("nth").cast("int").alias("nth"), F.col("level").cast("int").alias("level"), "text", _lines(F.col("text")).alias("lines"))
+    lengths = quoted.select("conv_id", F.size("lines").alias("k")).where("k > 1").distinct()
+    runs = bodies.select("conv_id", "turn", _lines(F.col("text")).alias("lines")).join(lengths, "conv_id").where(F.size("lines") >= F.col("k"))
+    runs = runs.select("conv_id", "turn", "lines", "k", F.explode(F.sequence(F.lit(1), F.size("lines") - F.col("k") + 1)).alias("at")).select("conv_id", "turn", F.array_join(F.slice("lines", F.col("at"), F.col("k")), " ").alias("text"))
+    originals = hashed(bodies.unionByName(parts).unionByName(lines).unionByName(paragraphs).unionByName(runs)).select("conv_id", "turn", "h", *(F.lit(None).cast("int").alias(c) for c in ("nth", "level", "part"))).distinct()
+    # part: 0 for a whole passage, 2 and more for its paragraphs, where it has several
+    pieces = quoted.select("*", _paragraphs(F.col("text")).alias("pieces"))
+    pieces = pieces.where(F.size("pieces") > 1).select("conv_id", "turn", "nth", "level", F.posexplode("pieces").alias("part", "text")).withColumn("part", F.col("part") + 2)
+    quotes = hashed(quoted.drop("lines").withColumn("part", F.lit(0)).unionByName(pieces)).select("conv_id", "turn", "h", "nth", "level", "part")
     before = Window.partitionBy("conv_id", "h").orderBy(F.col("turn").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
-    found = originals.unionByName(quotes).withColumn("origin", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(before)).where("level is not null")
-    origin = found.where("origin is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("level", "nth", "origin")).alias("o"))
+    found = originals.unionByName(quotes).withColumn("origin", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(before)).where("level is not null and origin is not null")
+    found = durable(found.select("conv_id", "turn", "nth", "level", "part", "origin"), "origins")
+    rest = quoted.where(F.size("lines") > 1).join(found.where("part = 0"), ["conv_id", "turn", "nth", "level"], "left_anti")
+    found = found.unionByName(_in_order(rest, bodies).withColumn("part", F.lit(1)))
+    origin = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "nth", "part", "origin")).alias("o"))
     count = passages.where("level > 0").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("quoted"))
     by_turn = Window.partitionBy("conv_id").orderBy("turn")
     linked = messages.select("conv_id", "turn", "role").withColumn("previous", F.lag("turn").over(by_turn))

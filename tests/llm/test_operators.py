@@ -206,6 +206,17 @@ def test_html_keeps_short_parts_beside_a_long_one():
         assert html_text.main_text(around(f"<article><h1>Title</h1><{tag}>{rows}</{tag}><h2>Short</h2><p>End.</p></article>")) == "\n".join(["Title", *(paragraph(x) for x in long), "Short", "End."])
 
 
+def test_quotes_of_parts(spark):
+    said = {0: "a\nb\nc\nd", 1: "P1 is\nwrapped\n\nP2 too\n\nP3", 2: "other\n\nwords"}
+    replies = ["> a\n> b\nanswer", "> b\n> c\nanswer", "> a\n> d\nanswer", "> P2 too\n>\n> P3\nanswer", "> P1 is wrapped\n>\n> unknown\nanswer", "> d\n> a\nanswer", "> P1\n> is wrapped\nanswer"]
+    want = [0, 0, 0, 1, 1, 2, 1]
+    rows = [(c, t, "user", said[t]) for c in range(len(replies)) for t in said] + [(c, 3, "user", x) for c, x in enumerate(replies)]
+    got = {(r["conv_id"], r["turn"]): r for r in reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows)
+    assert [got[c, 3]["reply_to"] for c in range(len(replies))] == want
+    assert all(got[c, 3]["text"] == "answer" and got[c, 3]["quoted"] == 1 for c in range(len(replies)))
+
+
 def test_replies_and_quotes(spark):
     rows = [(1, 0, "user", "Hello  there\nHow are you?"), (1, 1, "assistant", "Fine."), (1, 2, "user", "> hello there\n> How are you?\nStill asking."), (1, 3, "assistant", "> > HELLO there\n> Still asking.\nOk\n> unknown"), (2, 0, None, None), (None, 0, "user", "x")]
     got = {(r["conv_id"], r["turn"]): r for r in reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
