@@ -93,11 +93,12 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     linked = linked.join(origin, ["conv_id", "turn"], "left").join(count, ["conv_id", "turn"], "left").join(bodies, ["conv_id", "turn"], "left")
     linked = durable(linked.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("o.origin", "previous").alias("reply_to"), F.coalesce("quoted", F.lit(0)).cast("long").alias("quoted")), "replies")
 
-    # pointer doubling: up is the ancestor `steps` replies above, null once the first message is passed
+    # pointer doubling: up is the ancestor `steps` replies above, null once the first message is passed; such rows rest from then on
     hops = linked.select("conv_id", "turn", F.col("reply_to").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("steps"))
     while True:
         above = hops.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"))
-        hops = durable(hops.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.col("further").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "hops")
+        moved = hops.where("up is not null").join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.col("further").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        hops = durable(hops.where("up is null").unionByName(moved), "hops")
         if hops.where("up is not null").isEmpty():
             break
     placed = linked.join(hops.select("conv_id", "turn", F.col("steps").alias("depth")), ["conv_id", "turn"])

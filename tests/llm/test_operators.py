@@ -217,6 +217,12 @@ def test_quotes_of_parts(spark):
     assert all(got[c, 3]["text"] == "answer" and got[c, 3]["quoted"] == 1 for c in range(len(replies)))
 
 
+def test_depths_of_long_and_short_chains(spark):
+    rows = [(1, t, "user", f"x{t}") for t in range(37)] + [(2, 0, "user", "y"), (3, 0, "user", "z"), (3, 4, "user", "z")]
+    got = {(r["conv_id"], r["turn"]): r["depth"] for r in reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {**{(1, t): t for t in range(37)}, (2, 0): 0, (3, 0): 0, (3, 4): 1}
+
+
 def test_replies_and_quotes(spark):
     rows = [(1, 0, "user", "Hello  there\nHow are you?"), (1, 1, "assistant", "Fine."), (1, 2, "user", "> hello there\n> How are you?\nStill asking."), (1, 3, "assistant", "> > HELLO there\n> Still asking.\nOk\n> unknown"), (2, 0, None, None), (None, 0, "user", "x")]
     got = {(r["conv_id"], r["turn"]): r for r in reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
