@@ -39,13 +39,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives the loss of executors.
 
     What the write has shuffled is of no use after it, so those files go at once and not when the driver collects its garbage.
     """
     spark = df.sparkSession
-    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP)
+    path, before = path or fresh_path(spark, name), spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
@@ -54,6 +54,30 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Tables:
+    """Durable tables of one job under a folder of its own; each goes after its last use, so that they don't add up on the disk."""
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.base, self.made, self.paths = spark, fresh_path(spark, job), 0, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        path = f"{self.base}/{name}-{self.made}"
+        kept = durable(df, name, path)
+        self.paths[id(kept)] = kept, path
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            delete(self.spark, self.paths.pop(id(t))[1])
+
+
 #: Rows of a few numbers up to which a counted table is broadcast (16 MB or so); beyond it the same join shuffles.
 BROADCAST_ROWS = 500_000
 

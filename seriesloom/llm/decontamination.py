@@ -20,7 +20,7 @@ best window of any of them; equal items match each on its own. Empty tables give
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, small
@@ -59,28 +59,41 @@ def _in_blocks(df: DataFrame, name: str, radius: int) -> DataFrame:
     return df.select("*", F.posexplode(values).alias("block", "value"))
 
 
+def text_key() -> Column:
+    """The name of a row's text: all that a window depends on."""
+    return F.md5(F.col("text").cast("binary"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, gram: int = GRAM, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start, similarity): each item that a document holds, with its best window (the first of the best laid).
 
     start: number of the window's first word; similarity: exact weighted Jaccard of shingles, percent / 100 or more.
     """
-    texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("row"))
+    found = contaminated_texts(docs, items, gram, percent, radius)
+    held = docs.where("doc_id is not null").select("doc_id", text_key().alias("row")).join(small(found), "row")
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")
+    return held.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity"))
+
+
+def contaminated_texts(docs: DataFrame, items: DataFrame, gram: int = GRAM, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
+    """(row, item_id, start, similarity) by text: row is text_key() of each text that holds an item."""
+    texts = docs.select("text", text_key().alias("row"))
     item_rows = durable(_with_shingles(items.where("item_id is not null"), ["item_id"], gram).select("item_id", F.size("grams").alias("n"), F.posexplode_outer("grams").alias("j", "g")), "items")
-    places = _with_shingles(texts, ["doc_id", "row"], gram).select("doc_id", "row", F.posexplode_outer("grams").alias("i", "g"))
+    places = _with_shingles(texts, ["row"], gram).select("row", F.posexplode_outer("grams").alias("i", "g"))
     start = F.greatest(F.col("i") - F.col("j"), F.lit(0))
-    aligned = places.join(small(item_rows), "g").groupBy("doc_id", "row", "item_id", "n", start.alias("start")).agg(F.count(F.lit(1)).alias("shared"))
-    pair = Window.partitionBy("doc_id", "row", "item_id", "n")
+    aligned = places.join(small(item_rows), "g").groupBy("row", "item_id", "n", start.alias("start")).agg(F.count(F.lit(1)).alias("shared"))
+    pair = Window.partitionBy("row", "item_id", "n")
     hits = aligned.withColumns({"after": F.lead("start").over(pair.orderBy("start")), "shared": F.sum("shared").over(pair)})
     hits = durable(hits.where(F.col("shared") * 100 >= F.col("n") * percent).drop("shared"), "hits")
-    held = hits.select("doc_id", "row").distinct()
-    sources = _with_shingles(texts.join(small(held), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]), ["doc_id", "row"], gram)
+    held = hits.select("row").distinct()
+    sources = _with_shingles(texts.join(small(held), ["row"], "left_semi").dropDuplicates(["row"]), ["row"], gram)
     begin, after, n, length = F.col("start"), F.col("after"), F.col("n"), F.size("grams")
     between = F.when(after - begin < 2 * n, F.sequence(begin, after - 1)).otherwise(F.array(begin))
     cut = F.filter(F.sequence(begin + 1, begin + n), lambda s: (s > length - n) & ((length - s) * 100 >= n * percent))
     laid = F.when(after.isNull(), F.concat(F.array(begin), cut)).otherwise(between)
-    windows = hits.join(sources, ["doc_id", "row"]).select("doc_id", "row", "item_id", "n", "grams", F.explode_outer(laid).alias("start"))
-    windows = windows.select("doc_id", "row", "item_id", "start", F.explode_outer(F.slice("grams", F.col("start") + 1, n)).alias("g"))
-    by = ["doc_id", "row", "item_id", "start"]
+    windows = hits.join(sources, ["row"]).select("row", "item_id", "n", "grams", F.explode_outer(laid).alias("start"))
+    windows = windows.select("row", "item_id", "start", F.explode_outer(F.slice("grams", F.col("start") + 1, n)).alias("g"))
+    by = ["row", "item_id", "start"]
     weighted = durable(windows.groupBy(*by, "g").agg(F.count(F.lit(1)).alias("w")), "windows")
     weighted_items = item_rows.groupBy("item_id", "g").agg(F.count(F.lit(1)).alias("w"))
     prints = _in_blocks(_simhash(weighted, by), "print", radius)
@@ -92,4 +105,4 @@ def contaminated(docs: DataFrame, items: DataFrame, gram: int = GRAM, percent: i
     either = F.col("size") + F.col("whole") - F.col("common")
     found = common.join(sizes, "item_id").where(F.col("common") * 100 >= either * percent).withColumn("similarity", F.col("common") / either)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity"))
+    return found.groupBy("row", "item_id").agg(best).select("row", "item_id", (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity"))

@@ -1,29 +1,35 @@
 """Operator 9, n-gram Jaccard join by PartEnum signatures.
 
-Two sets link when 100 * intersection >= percent * union. Equal sets are one node. Set sizes are cut into bands, each at most
-1 / similarity wide, so linked sets lie in one band or in neighbouring ones; for each pair of neighbouring bands the links' symmetric
-difference is at most k = floor((s1 + s2) * (1 - t) / (1 + t)). The domain of hashes is cut into k + 1 + m equal parts, and a set has
-one signature per part: the hash of its elements there (subsets of parts of size one, which needs the fewest signatures). Two linked
-sets differ in at most k parts, so they agree in m + 1 parts or more. Empty parts would put unlike sets together; a set with at most
-m of them agrees with each partner in a part that isn't empty and leaves its empty ones out. A set with more than m emits those too,
-which suffices, as two sets that agree in empty parts only both have more than m.
-
-A signature of many sets (a passage that many texts share) is heavy. A set whose heavy signatures and empty parts are at most m
-leaves its heavy ones too, by the same argument.
-
-Pairs of a signature are not all formed. First each node meets the least node (hub) of its signature; exact verification gives links
-and distances. Then nodes of one signature that are in different components meet, but for those that the triangle inequality of
-the Jaccard distance rules out through their distances to the hub, whose sizes are too far apart, or that share fewer signatures than linked sets must. Components of all verified links are the same as those
-of all links: a pair that is left out lies in one component already or is ruled out.
+Two sets link when 100 * intersection >= percent * union. Equal sets are one node, and only one document of each node is signed. Set
+sizes are cut into bands, each at most 1 / similarity wide, so linked sets lie in one band or in neighbouring ones; for each pair of
+neighbouring bands the links' symmetric difference is at most k = floor((s1 + s2) * (1 - t) / (1 + t)). The domain of hashes is cut into
+k + 1 + m equal parts, and a set has one signature per part: the hash of its elements there. Two linked sets differ in at most k parts,
+so they agree in m + 1 parts or more. Empty parts would put unlike sets together; a set with at most m of them leaves them out, as it
+agrees with each partner in m + 1 - (its empty parts) others or more. A set with more than m emits those too, which suffices, as two
+sets that agree in empty parts only both have more than m.
+
+Frequent signatures (a passage that many texts share) are left out as far as these spare agreements go: all sets order their
+signatures by one global order, rarest first, and each leaves out as many of its last ones as it has agreements to spare; of the
+signatures that two linked sets share, the rarest is then kept by both.
+
+Pairs of a signature are not all formed. Each node meets the least node (hub) of its signature; exact verification gives links and
+components. Signatures whose nodes are all in one component are done. Nodes of the others are partitioned anew as finely as can be, with
+one element to a part, and subsets of one part enumerated in the order of a global rank, rarest element first. A linked pair's first
+common element then has so low a rank in both sets that each has as many elements after it as the overlap needs: a bound that
+ties each row to the sizes of partners that it still admits. In each element's group every node meets the node that has the fewest
+elements before it (the nearest to what the group has in common), which joins nearly all that is linked; after that, components of a
+group meet as wholes, by the bounds of their members, and only members of pairs that pass are compared. Components of all verified
+links are those of all links: a pair that isn't compared lies in one component already or is ruled out by a bound.
 
 Nulls and edge cases: a null text counts as empty; a text without words has an empty set (n_shingles 0) and links with nothing, not
-even another empty one; fewer words than n make one shingle of the whole sequence; a row with a null doc_id has no component (null);
-rows that share a doc_id count as one document each in n_shingles and share a component. Extra columns are dropped.
+even another empty one; fewer words than n make one shingle of the whole sequence; a row with a null doc_id has no component_id (null),
+but its text links others; rows that share a doc_id are each a document of their own, with the size and the class of its own text;
+repeated rows are repeated in the result; an empty table gives no rows. Extra columns are dropped but for those named in `carry`,
+which may have any name but those of the result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +38,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import durable, small
+from .common import Tables, small
 from .components import components
 
 _U = np.uint64
 GRAM, PERCENT = 5, 80
-#: Rows from which on a signature is heavy; the choice moves work only, results are the same for each.
-HEAVY = 48
-#: Cell of distances that weren't measured; below all others and beside none.
-UNKNOWN = -2
 
 
 def shingle_sets(text: pa.Array, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -149,127 +151,162 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int = PERCENT
     return np.concatenate(out).view(np.int64), np.concatenate(owners)
 
 
-def _map_texts(docs: DataFrame, key: str, make, schema: str) -> DataFrame:
+def _map_texts(docs: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
+    """make(rows, texts without nulls) over slices of a few MB; the text is the last column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, text in K.slices(batch, "text"):
-                yield make(rows.column(0), text)
-
-    return docs.select(key, "text").mapInArrow(run, schema)
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column(0), batch.column(1)
-        common, last, left = np.empty(len(batch), np.int64), None, None
-        of_a, of_b = batch.column(2), batch.column(3)
-        size_a, size_b = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
-        for i in range(len(batch)):
-            key = a[i].as_py()
-            if key != last:
-                last, left = key, np.frombuffer(of_a[i].as_buffer(), _U)
-            right = np.frombuffer(of_b[i].as_buffer(), _U)
-            size_a[i], size_b[i] = len(left), len(right)
-            small, large = (left, right) if len(left) < len(right) else (right, left)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            common[i] = np.count_nonzero(large[at] == small)
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(common), pa.array(size_a + size_b - common)], names=["a", "b", "common", "either"])
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, either) for pairs (a, b) of nodes: sizes of intersection and union, from the sets of (node, elements)."""
+                yield make(rows, text)
+
+    return docs.select(*columns, "text").mapInArrow(run, schema)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that link, by their sets of (node, elements)."""
     right = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
     both = right.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
-    return both.select("a", "b", "ea", "eb").mapInArrow(_verify, "a long, b long, common long, either long")
+    sized = both.select("a", "b", F.size(F.array_intersect("ea", "eb")).alias("common"), (F.size("ea") + F.size("eb")).alias("sum"))
+    return sized.where(F.col("common") * (100 + percent) >= F.col("sum") * percent).select("a", "b")
 
 
-def shingle_classes(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, percent: int = PERCENT, heavy_rows: int = HEAVY) -> DataFrame:
-    """(key, n_shingles, component_id): component_id is the least key that links reach."""
-    docs = docs.select(F.col(key).cast("long").alias(key), "text")
+def _partitioned(docs: DataFrame, named: DataFrame, heads: DataFrame, key: str, gram: int, percent: int) -> DataFrame:
+    """(sig, node, hub, rows) of signatures that several nodes have. hub: the least of them, rows: how many."""
 
-    def names(keys: pa.Array, text: pa.Array) -> pa.RecordBatch:
-        elements, offsets = shingle_sets(text, gram)
-        sizes = np.diff(offsets)
-        own, above = slack(elements, offsets, percent)
-        return pa.RecordBatch.from_arrays([keys, pa.array(sizes), pa.array(node_keys(elements, offsets)), pa.array(own), pa.array(above), pa.array(own_parity(sizes, percent))], names=[key, "n_shingles", "node", "own", "above", "odd"])
-
-    def signed(keys: pa.Array, text: pa.Array) -> pa.RecordBatch:
+    def signed(rows: pa.RecordBatch, text: pa.Array) -> pa.RecordBatch:
         elements, offsets = shingle_sets(text, gram)
         sig, owner = signatures(elements, offsets, percent)
         return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node_keys(elements, offsets)[owner])], names=["sig", "node"])
 
-    def contents(keys: pa.Array, text: pa.Array) -> pa.RecordBatch:
-        elements, offsets = shingle_sets(text, gram)
-        data = [elements[a:b].tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
-        return pa.RecordBatch.from_arrays([pa.array(node_keys(elements, offsets)), pa.array(data, pa.binary())], names=["node", "elements"])
+    # keys whose texts are all copies of others' texts aren't signed
+    marked = named.where(F.col(key).isNotNull()).join(heads.select("node", "least"), "node", "left")
+    copies = marked.groupBy(key).agg(F.max(F.coalesce(F.col(key) == F.col("least"), F.lit(False))).alias("head")).where("not head").select(key)
+    by_sig = Window.partitionBy("sig")
+    first = _map_texts(docs.join(small(copies), key, "left_anti"), [], signed, "sig long, node long")
+    counted = first.withColumn("hub", F.min("node").over(by_sig)).withColumn("top", F.max("node").over(by_sig)).withColumn("rows", F.count(F.lit(1)).over(by_sig))
+    return counted.where("top > hub").select("sig", "node", "hub", "rows")
+
+
+def _without_spare(shared: DataFrame, heads: DataFrame) -> DataFrame:
+    """Of each node and join of bands, the signatures but for as many of the most frequent ones as there are agreements to spare."""
+    odd = F.col("sig").bitwiseAND(F.lit(1))
+    spare = F.when(odd == F.col("odd"), F.col("own")).otherwise(F.col("above"))
+    order = Window.partitionBy("node", "parity").orderBy(F.desc("rows"), "sig")
+    with_spare = shared.join(heads.select("node", "own", "above", "odd"), "node").select("sig", "node", "hub", odd.alias("parity"), "rows", spare.alias("spare"))
+    return with_spare.withColumn("from_last", F.row_number().over(order)).where("from_last > spare").select("sig", "node", "hub", "spare")
+
+
+def _of_several(rows: DataFrame, by: str) -> DataFrame:
+    """Rows whose group has nodes of more than one component."""
+    spread = rows.groupBy(by).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(by)
+    return rows.join(spread, by)
+
+
+def _joined(labels: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
+    """Labels (node, component) of all nodes, after links between nodes of different components."""
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias("of_" + c))
+    edges = links.join(end("a"), "a").join(end("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+    merged = components(edges, tables)
+    whole = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    out = tables.keep(labels.join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "joined")
+    tables.drop(labels, merged)
+    return out
 
-    named = durable(_map_texts(docs, key, names, f"{key} long, n_shingles long, node long, own long, above long, odd long"), "nodes")
-    heads = named.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("least"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("own", "above", "odd")))
 
-    # nodes that share a signature; sizes of signatures count rows, copies too
-    by_sig = Window.partitionBy("sig")
-    signed_rows = _map_texts(docs, key, signed, "sig long, node long")
-    counted = signed_rows.withColumn("hub", F.min("node").over(by_sig)).withColumn("top", F.max("node").over(by_sig)).withColumn("rows", F.count(F.lit(1)).over(by_sig))
-    together = durable(counted.where("top > hub").select("sig", "node", "rows").distinct(), "signatures")
-
-    # a node that the heavy signatures and its empty parts don't outnumber the spare ones meets each partner in another signature too
-    heavy = together.where(F.col("rows") > heavy_rows).groupBy("node", F.col("sig").bitwiseAND(F.lit(1)).alias("odd")).agg(F.count(F.lit(1)).alias("heavy"))
-    mine = heavy.join(heads.select("node", "own", "above", F.col("odd").alias("own_odd")), "node")
-    over = F.when(F.col("odd") == F.col("own_odd"), F.col("own")).otherwise(F.col("above"))
-    mine = durable(mine.select("node", "odd", "heavy", (F.col("heavy") <= over).alias("free"), (F.col("odd") == F.col("own_odd")).alias("is_own")), "heavy")
-    free = mine.where("free").select("node", "odd")
-    marked = together.withColumn("odd", F.col("sig").bitwiseAND(F.lit(1)))
-    light = marked.where(F.col("rows") <= heavy_rows).unionByName(marked.where(F.col("rows") > heavy_rows).join(free, ["node", "odd"], "left_anti"))
-    met = light.select("sig", "node").withColumn("hub", F.min("node").over(by_sig)).withColumn("top", F.max("node").over(by_sig)).where("top > hub").select("sig", "node", "hub")
-    met = durable(met, "met")
-    pairs = durable(met.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "hub-pairs")
-
-    # sets of the nodes that met any other, from one text of each
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(heads, "node")
-    own_heavy = mine.where("is_own").select("node", "heavy")
-    need = F.greatest(F.lit(1), F.col("own") + 1 - F.coalesce("heavy", F.lit(0)))
-    wanted = durable(wanted.join(own_heavy, "node", "left").select("node", "least", "n", need.alias("need")), "wanted")
-    owners = wanted.select(F.col("least").alias(key))
-    sets = durable(_map_texts(docs.join(small(owners), key, "left_semi"), key, contents, "node long, elements binary").dropDuplicates(["node"]), "sets")
-
-    linked = F.col("common") * 100 >= F.col("either") * percent
-    size = lambda c: wanted.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("need").alias(f"need{c}"))
-    needed = F.when(F.col("na") >= F.col("nb"), F.col("needa")).otherwise(F.col("needb"))
-    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    # of hub pairs the likely ones are measured; the others wait for the count of all that they share
-    likely = pairs.join(size("a"), "a").join(size("b"), "b").where(alike & (F.col("shared") >= F.least(needed, F.lit(3)))).select("a", "b")
-    measured = durable(verify(durable(likely, "likely"), sets), "measured")
-    links = measured.where(linked).select("a", "b")
-    first = components(links)
-
-    # what may still link: nodes of one signature in different components, unless their distances to its hub rule it out
-    reach = 1 - percent / 100
-    far = measured.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d"))
-    spread = met.join(far, ["hub", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("d"))).join(first, "node", "left").select("sig", "node", "hub", "d", F.coalesce("component", "node").alias("part"), F.coalesce(F.floor(F.col("d") / reach), F.lit(UNKNOWN).cast("long")).alias("cell"))
-    several = Window.partitionBy("sig")
-    open_ones = spread.withColumn("lo", F.min("part").over(several)).withColumn("hi", F.max("part").over(several)).where("lo < hi").drop("lo", "hi")
-    open_ones = durable(open_ones, "open")
-    cells = open_ones.select("sig", "part", "cell").distinct()
-    beside = cells.select("sig", F.col("part").alias("part2"), F.explode(F.when(F.col("cell") == UNKNOWN, F.sequence(F.lit(UNKNOWN).cast("long"), F.lit(math.ceil(1 / reach)).cast("long"))).otherwise(F.array(F.lit(UNKNOWN).cast("long"), F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).alias("cell"), F.col("cell").alias("cell2"))
-    cell_pairs = cells.join(beside, ["sig", "cell"]).where("part < part2")
-    one = cell_pairs.join(open_ones.select("sig", "part", "cell", F.col("node").alias("a"), F.col("d").alias("da")), ["sig", "part", "cell"])
-    two = one.join(open_ones.select("sig", F.col("part").alias("part2"), F.col("cell").alias("cell2"), F.col("node").alias("b"), F.col("d").alias("db")), ["sig", "part2", "cell2"])
-    close = two.where(F.coalesce(F.abs(F.col("da") - F.col("db")) <= reach + 1e-9, F.lit(True))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sig").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    # linked sets share as many signatures as the larger one needs; pairs that share fewer aren't linked
-    sized = close.join(size("a"), "a").join(size("b"), "b")
-    rest = sized.where(alike & (F.col("shared") >= needed)).select("a", "b").join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    more = verify(durable(rest, "rest-pairs"), sets).where(linked).select("a", "b")
-    mend = durable(more, "rest-links")
-    if mend.isEmpty():
-        parts = first
-    else:
-        renamed = mend.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        bridged = components(renamed.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        every = first.unionByName(bridged.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-        parts = every.join(bridged.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-    grouped = heads.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _ranked(sets: DataFrame, open_nodes: DataFrame, percent: int) -> DataFrame:
+    """(element, node, n, rank, most): one row per element that links of the node may have as their first common one.
+
+    rank: elements of the set that come before it in the global order; most: the largest partner that it admits.
+    """
+    each = sets.join(open_nodes, "node").select("node", F.size("elements").cast("long").alias("n"), F.explode("elements").alias("element"))
+    often = each.groupBy("element").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    met = each.join(often, "element")
+    own = Window.partitionBy("node")
+    place = F.row_number().over(own.orderBy("nodes", "element")) - 1
+    ranked = met.withColumn("place", place).withColumn("met", F.count(F.lit(1)).over(own)).select("element", "node", "n", (F.col("n") - F.col("met") + F.col("place")).alias("rank"))
+    most = F.floor(((F.col("n") - F.col("rank")) * (100 + percent) - F.col("n") * percent) / percent)
+    return ranked.withColumn("most", most).where(F.col("most") * 100 >= F.col("n") * percent)
+
+
+def shingle_components(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *carry, n_shingles, node, component, component_id) per row. node names the row's set and component the least node that
+    its links reach (both 0 for an empty set); component_id is the least key that they reach."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col(key).cast("long").alias(key), *carry, "text")
+    tables = Tables(spark, "jaccard")
+
+    def names(rows: pa.RecordBatch, text: pa.Array) -> pa.RecordBatch:
+        elements, offsets = shingle_sets(text, gram)
+        sizes = np.diff(offsets)
+        own, above = slack(elements, offsets, percent)
+        made = {"n_shingles": sizes, "node": node_keys(elements, offsets), "own": own, "above": above, "odd": own_parity(sizes, percent)}
+        return pa.RecordBatch.from_arrays([*rows.columns[:-1], *map(pa.array, made.values())], names=[key, *carry, *made])
+
+    def contents(rows: pa.RecordBatch, text: pa.Array) -> pa.RecordBatch:
+        elements, offsets = shingle_sets(text, gram)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(elements.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(node_keys(elements, offsets)), lists], names=["node", "elements"])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *carry)) + ", n_shingles long, node long, own long, above long, odd long"
+    named = tables.keep(_map_texts(docs, [key, *carry], names, schema), "nodes")
+    heads = tables.keep(named.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "own", "above", "odd"))), "heads")
+    shared = tables.keep(_partitioned(docs, named, heads, key, gram, percent), "shared")
+    kept = tables.keep(_without_spare(shared, heads), "kept")
+    tables.drop(shared)
+
+    met = tables.keep(kept.select("node").unionByName(kept.select(F.col("hub").alias("node"))).distinct().join(heads.select("node", "least", "n_shingles"), "node"), "met")
+    owned = met.select(F.col("least").alias(key)).where(F.col(key).isNotNull()).distinct()
+    wanted = docs.where(F.col(key).isNotNull()).join(small(owned), key, "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    sets = _map_texts(wanted, [], contents, "node long, elements array<long>").join(small(met.select("node")), "node", "left_semi")
+    sets = tables.keep(sets.dropDuplicates(["node"]), "sets")
+
+    # links to hubs; a pair that shares few signatures with its hub waits for the finer partition
+    size = lambda c: met.select(F.col("node").alias(c), F.col("n_shingles").alias("n_" + c))
+    alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    to_hub = kept.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max("spare").alias("spare"))
+    likely = to_hub.where("shared * 2 > spare").join(size("a"), "a").join(size("b"), "b").where(alike).select("a", "b")
+    links = tables.keep(verify(likely, sets, percent), "links")
+    found = components(links, tables)
+    labels = tables.keep(met.select("node").join(found.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
+    tables.drop(links, found)
+
+    # what may still link: nodes of one signature in different components, by single elements
+    open_nodes = tables.keep(_of_several(kept.select("sig", "node").join(labels, "node"), "sig").select("node").distinct(), "open")
+    tables.drop(kept)
+    fine = tables.keep(_ranked(sets, open_nodes, percent), "fine")
+    tables.drop(open_nodes, met)
+    parted = _of_several(fine.join(labels, "node"), "element")
+    hubs = parted.groupBy("element").agg(F.min(F.struct("rank", "node", "n", "most", "component")).alias("h"))
+    near = parted.join(hubs, "element").where("component <> h.component and n <= h.most and h.n <= most")
+    near = near.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+    links = tables.keep(verify(near, sets, percent), "near-links")
+    labels = _joined(labels, links, tables)
+    tables.drop(links)
+
+    # components of an element meet by the bounds of their members; one of a pair must admit partners of its own size
+    parted = tables.keep(_of_several(fine.join(labels, "node"), "element"), "parted")
+    cells = parted.groupBy("element", "component").agg(F.min("n").alias("n"), F.max("most").alias("most"), F.max(F.col("most") >= F.col("n")).alias("core"))
+    side = lambda df, x, names: df.select("element", *(F.col(c).alias(f"{c}_{x}") for c in names))
+    admit = F.expr("n_x <= most_y and n_y <= most_x")
+    pairs = side(cells, "x", cells.columns[1:]).join(side(cells, "y", cells.columns[1:]), "element").where(admit & F.expr("component_x < component_y and (core_x or core_y)"))
+    pairs = pairs.select("element", "component_x", "component_y")
+    members = lambda x: side(parted, x, ["component", "node", "n", "most"])
+    rest = pairs.join(members("x"), ["element", "component_x"]).join(members("y"), ["element", "component_y"]).where(admit)
+    rest = rest.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    links = tables.keep(verify(rest, sets, percent), "rest-links")
+    labels = _joined(labels, links, tables)
+    tables.drop(links, parted, fine, sets)
+
+    grouped = heads.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = grouped.join(least, "component").select("node", "component_id")
-    # many copies share a node: its class is looked up once per node and key range, not in one task
-    return named.join(classes, "node", "left").select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
+    classes = tables.keep(grouped.join(least, "component").select("node", "component", "component_id"), "classes")
+    tables.drop(labels, heads)
+    # many copies share a node, so its class goes to the rows where it is small enough
+    return named.select(key, *carry, "n_shingles", "node").join(small(classes), "node", "left").withColumn("component", F.coalesce("component", F.lit(0).cast("long")))
 
+
+def shingle_classes(docs: DataFrame, key: str = "doc_id", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id): component_id is the least key that links reach."""
+    rows = shingle_components(docs, key, gram, percent)
+    return rows.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"))

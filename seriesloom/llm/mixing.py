@@ -10,11 +10,13 @@ rest of the budget are taken whole, the last one up to its budget: a document is
 so a source is over its budget by less than a document. `place` in [0, 1) is the share of its source's budget that comes before the
 row; ordering by it interleaves all sources evenly.
 
-Only one row per source comes to the driver. A hot source has many blocks, so its rows are dealt over many tasks; the number of
-blocks of a source is at most MOST_BLOCKS, so that ordering them stays a small step.
+The driver gets one row per source and no more than MOST_SOURCES of them (an error beyond that). A hot source has many blocks, so its
+rows are dealt over many tasks; its blocks are ordered in BUCKETS ranges of their hash, each by itself, and the ranges by their sums.
 
 Nulls and edge cases: a null source is a source of its own; null, empty and blank texts have no tokens and are left out, as they fill
-no budget; rows that share a doc_id are mixed as rows; ties of the hash are broken by doc_id and text; an empty table gives no rows.
+no budget; rows that share a doc_id are mixed as rows, repeated rows are taken each by itself; ties of the hash are broken by doc_id and
+row; an empty table gives no rows. Extra columns may have any name: the plan drops them, mixture() gives them back as they are.
+Tokens are words between ASCII white space.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_TOKENS, MOST_BLOCKS = 50_000, 20_000
+BLOCK_TOKENS, BUCKETS, MOST_SOURCES = 50_000, 4096, 10_000_000
 
 
 def weights_of(shares: np.ndarray, exponent: float) -> np.ndarray:
@@ -68,43 +70,58 @@ def budgets(tokens: np.ndarray, budget: int, exponent: float) -> np.ndarray:
     return whole
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of whole rows: rows that differ anywhere differ in it."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns))
+
+
 def mix_plan(docs: DataFrame, budget: int | None = None, target_entropy: float = 0.95, repeat_limit: float = 4.0, seed: int = 17, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, row, source, n_tokens, epoch, block, place): a row for each time that a document is taken.
 
-    row: hash of the text, which tells rows of one doc_id apart. budget: tokens of the mixture, by default those of the input.
+    row: row_hash(), which tells rows of one doc_id apart. budget: tokens of the mixture, by default those of the input.
     """
     spark = docs.sparkSession
-    counted = docs.select("doc_id", F.xxhash64("text").alias("row"), "source", F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("n_tokens")).where("n_tokens > 0")
-    totals = sorted(counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: (r["source"] is not None, r["source"]))
-    schema = "source string, blocks int, own long, budget long"
+    counted = docs.select("doc_id", row_hash(docs).alias("row"), "source", F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("n_tokens")).where("n_tokens > 0")
+    totals = sorted(counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).limit(MOST_SOURCES + 1).collect(), key=lambda r: (r["source"] is not None, r["source"]))
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    schema = "s string, blocks long, own long, budget long"
+    plan = []
     if totals:
         tokens = np.array([r["n"] for r in totals], float)
         total = int(tokens.sum()) if budget is None else budget
         shares = budgets(tokens, total, temperature(tokens, total, target_entropy, repeat_limit))
-        plan = [(r["source"], int(min(MOST_BLOCKS, max(1, -(-r["n"] // block_tokens)))), int(r["n"]), int(b)) for r, b in zip(totals, shares, strict=True)]
-    else:
-        plan = []
+        plan = [(r["source"], max(1, -(-r["n"] // block_tokens)), r["n"], int(b)) for r, b in zip(totals, shares, strict=True)]
     sources = spark.createDataFrame(plan, schema)  # one row per source
+    sources = F.broadcast(sources) if len(plan) <= 100_000 else sources
     same = F.col("source").eqNullSafe(F.col("s"))
-    with_plan = lambda df: df.join(F.broadcast(sources.withColumnRenamed("source", "s")) if len(plan) <= 100_000 else sources.withColumnRenamed("source", "s"), same).drop("s")
-    dealt = with_plan(counted).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row"), F.col("blocks")).cast("int"))
+    dealt = counted.join(sources, same).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row"), F.col("blocks")))
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "row"), "doc_id", "row")
-    rows = dealt.select("doc_id", "row", "source", "block", "n_tokens").withColumn("before", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
+    rows = dealt.select("doc_id", "row", "source", "block", "n_tokens").withColumn("before", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
     # each epoch's permutation of blocks, with the tokens that come before each block
     sized = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("own").alias("own"), F.first("budget").alias("budget"))
     epochs = sized.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("budget") / F.col("own")).cast("long")))).where("epoch * own < budget")
-    permuted = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed + 2), "source", "epoch", "block"), "block")
-    begins = epochs.withColumn("begin", F.col("epoch") * F.col("own") + F.sum("tokens").over(permuted) - F.col("tokens"))
+    lot = F.xxhash64(F.lit(seed + 2), "source", "epoch", "block")
+    drawn = epochs.withColumn("lot", lot).withColumn("bucket", F.floor(F.col("lot") / (2.0**64 / BUCKETS)))
+    permuted = Window.partitionBy("source", "epoch", "bucket").orderBy("lot", "block")
+    ordered = drawn.withColumn("begin", F.sum("tokens").over(permuted) - F.col("tokens"))
+    ranges = Window.partitionBy("source", "epoch").orderBy("bucket")
+    offsets = drawn.groupBy("source", "epoch", "bucket").agg(F.sum("tokens").alias("sum")).select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("bucket").alias("b"), (F.sum("sum").over(ranges) - F.col("sum")).alias("offset"))
+    begins = ordered.join(offsets, same & (F.col("epoch") == F.col("e")) & (F.col("bucket") == F.col("b"))).withColumn("begin", F.col("epoch") * F.col("own") + F.col("offset") + F.col("begin"))
     taken = begins.where("begin < budget").select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "begin", "budget")
     met = rows.join(taken, same & (F.col("block") == F.col("b"))).where(F.col("begin") + F.col("before") < F.col("budget"))
     return met.select("doc_id", "row", "source", "n_tokens", "epoch", "block", ((F.col("begin") + F.col("before")) / F.col("budget")).alias("place"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows as the plan takes them, each as often as it is taken, with docs' columns."""
-    options = {k: v for k, v in options.items()}
-    times = mix_plan(docs, **options).groupBy("doc_id", "row").agg(F.countDistinct("epoch").alias("times"), F.count(F.lit(1)).alias("rows"))
-    key = docs.withColumn("row__", F.xxhash64("text")).alias("d")
-    t = times.withColumnsRenamed({"doc_id": "doc_id__", "row": "r__"})
-    joined = key.join(t, F.col("d.doc_id").eqNullSafe(F.col("doc_id__")) & F.col("row__").eqNullSafe(F.col("r__")))
-    return joined.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*docs.columns)
+    """docs' rows as the plan takes them, each as often as it is taken, with docs' columns.
+
+    Rows that are the same in every column are one class: the plan's rows for it are made from one of them.
+    """
+    row = row_hash(docs)
+    times = mix_plan(docs, **options).groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+    copies = docs.select(row.alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    plan = times.join(copies, "row").select(F.col("row").alias("plan.row"), F.col("times").alias("plan.times"), F.col("copies").alias("plan.copies"))
+    met = docs.withColumn("row of docs", row).join(plan, F.col("row of docs") == F.col("`plan.row`"))
+    whole = met.where("`plan.copies` = 1").unionByName(met.where("`plan.copies` > 1").dropDuplicates(["row of docs"]))
+    return whole.withColumn("copy of docs", F.explode(F.sequence(F.lit(1).cast("long"), F.col("`plan.times`")))).select(*(F.col(f"`{c}`") for c in docs.columns))

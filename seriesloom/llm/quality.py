@@ -5,7 +5,7 @@ all labelled training rows, so no rows reach the driver; it gets one row of mome
 towards the pooled one and then towards a scaled identity, and its Cholesky factor is computed once and used for every score.
 
 Nulls and edge cases: a null text counts as empty; empty texts are scored too. Rows of the input with a null key, repeated rows and
-extra columns are kept as they are. A label that is null is not learned from; several labels of one key all count. With no
+extra columns are kept as they are by with_score(), whatever their names; quality_scores() drops them. A label that is null is not learned from; several labels of one key all count. With no
 labelled rows, or with one class only, the score is the share of label 1 among them (0.5 without any).
 """
 
@@ -98,6 +98,14 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solve factor @ z = b for a lower triangular factor, row by row over all columns of b at once."""
+    z = np.empty_like(b)
+    for i in range(len(factor)):
+        z[i] = (b[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class Model:
     """Means, Cholesky factors and log-density constants by class; share: of label 1 in training."""
@@ -112,7 +120,7 @@ class Model:
             return np.full(len(x), self.share)
         density = np.empty((2, len(x)))
         for k in (0, 1):
-            z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
+            z = forward(self.factors[k], (x - self.means[k]).T)
             density[k] = self.constants[k] - 0.5 * (z * z).sum(axis=0)
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
@@ -152,19 +160,29 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """docs' columns in keep (doc_id), held_out, score (probability of label 1) and predicted (score >= threshold)."""
-    keep = keep or ["doc_id"]
+def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """The discriminant, learned from all labelled rows that aren't held out."""
     marks = labels.select(F.col("doc_id").alias("__key"), F.col(label).alias("label")).where("label is not null")
     # moments need only short rows of statistics: texts are read where they lie and never shuffled
-    train = with_statistics(docs.where(~held_out(F.col("doc_id"))), ["doc_id"])
-    model = fit(train.join(marks, F.col("doc_id") == F.col("__key")))
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
+    train = with_statistics(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))), ["doc_id"])
+    return fit(train.join(marks, F.col("doc_id") == F.col("__key")))
+
+
+def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs' columns as they are, whatever their names, and one more: the model's score of text."""
+    columns, inside = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    text = columns.index("text")
+    schema = T.StructType([*(T.StructField(i, f.dataType) for i, f in zip(inside, docs.schema, strict=True)), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, text in K.slices(batch, "__text"):
-                yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(len(keep))] + [pa.array(model.score(statistics(text)))], names=[*keep, "score"])
+            for rows, texts in K.slices(batch, inside[text]):
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(model.score(statistics(texts)))], names=schema.names)
+
+    return docs.toDF(*inside).mapInArrow(run, schema).toDF(*columns, name)
+
 
-    scored = docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
-    return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score (probability of label 1) and predicted (score >= threshold) for each row of docs."""
+    scored = with_score(docs.select("doc_id", "text"), quality_model(docs, labels, label))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -13,7 +13,6 @@ SLICE_BYTES = 2 << 20
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15
 _P = 0xD6E8FEB86659FD93
-_P_INV = pow(_P, -1, 1 << 64)
 
 
 def text_column(column: pa.Array) -> pa.Array:
@@ -50,24 +49,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.cache
-def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.full(1 << bits, base, _U)
-    out[0] = 1
-    return np.cumprod(out, dtype=_U)
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of values[s:e] for each span of spans that don't overlap; equal spans have equal hashes wherever they lie.
+
+    Each value is mixed with its place in the span before all are added up. A polynomial modulo 2^64 wouldn't do: spans
+    that repeat by the Thue-Morse rule collide in it whatever the base.
+    """
+    size = ends - starts
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(cuts[-1]) - np.repeat(cuts[:-1], size)
+    gapless = len(starts) > 0 and cuts[-1] == ends[-1] - starts[0]
+    mixed = mix((values[starts[0] : ends[-1]] if gapless else values[place + np.repeat(starts, size)]) + places(int(size.max(initial=0)))[place])
+    total = np.zeros(len(mixed) + 1, _U)
+    np.cumsum(mixed, dtype=_U, out=total[1:])
+    return mix(total[cuts[1:]] - total[cuts[:-1]] + size.astype(_U) * _U(_PRIME))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(16, int(n).bit_length()))
+@functools.cache
+def _places(bits: int) -> np.ndarray:
+    return mix(np.arange(1 << bits, dtype=_U) * _U(_P) + _U(1))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[s:e] for each span; values are 64-bit and equal spans have equal hashes wherever they lie."""
-    n = len(values)
-    total = np.zeros(n + 1, _U)
-    np.cumsum(values * powers(_P, n)[:n], dtype=_U, out=total[1:])
-    out = (total[ends] - total[starts]) * powers(_P_INV, n)[starts]
-    return mix(out + (ends - starts).astype(_U) * _U(_PRIME))
+def places(n: int) -> np.ndarray:
+    """A 64-bit value for each place in a span of at most n."""
+    return _places(max(10, n.bit_length()))
 
 
 @functools.cache

@@ -105,6 +105,16 @@ def test_jaccard_classes_equal_brute_force(spark):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             texts.append(" ".join(copy))
     texts += [passage + " " + " ".join(rng.choices(vocabulary, k=rng.randint(5, 60))) for _ in range(40)]
+    # near copies at the threshold: far from one another, but some links run through others
+    base = rng.choices(vocabulary, k=90)
+    for _ in range(80):
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        texts.append(" ".join(copy[: rng.randint(80, 90)]))
+    # words that a polynomial modulo 2^64 can't tell apart
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    texts += [f"x y {morse} z w", f"x y {morse.translate(str.maketrans('ab', 'ba'))} z w"]
     sets = [set(grams(t)) for t in texts]
     parent = list(range(len(texts)))
 
@@ -117,9 +127,17 @@ def test_jaccard_classes_equal_brute_force(spark):
         if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
             a, b = sorted((find(i), find(j)))
             parent[b] = a
-    for heavy in (48, 2):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_classes(table(spark, texts), heavy_rows=heavy).collect()}
-        assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_classes(table(spark, texts)).collect()}
+    assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+def test_jaccard_classes_of_odd_rows(spark):
+    text, other = "a b c d e f g h", "q r s t u v"
+    rows = [(None, text), (None, text), (5, text), (5, text), (5, other), (9, other), (3, None), (3, text), (7, "")]
+    docs = spark.createDataFrame([(k, t, 1, 2, 3, 4) for k, t in rows], "doc_id long, text string, node long, component long, rows long, sig long")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in shingle_classes(docs).collect()), key=str)
+    assert got == sorted([(None, 4, None), (None, 4, None), (5, 4, 3), (5, 4, 3), (5, 2, 5), (9, 2, 5), (3, 0, 3), (3, 4, 3), (7, 0, 7)], key=str)
+    assert shingle_classes(docs.limit(0)).count() == 0
 
 
 def test_decontamination_equals_brute_force(spark):
@@ -258,6 +276,15 @@ def test_mixing(spark):
     assert mixing.mixture(docs, block_tokens=20).count() == len(rows) and mixing.mix_plan(table(spark, [])).count() == 0
 
 
+def test_mixture_is_the_plan_row_for_row(spark):
+    rows = [(1, "a b c", "s", 7), (1, "a b c", "t", 7), (1, "a b c", "t", 7), (1, "a b c", "t", 8), (None, "d e", None, 9), (2, None, "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `times` int").withColumnsRenamed({}).selectExpr("*", "1 as rows", "2 as copies", "3 as row", "4 as s", "5 as block")
+    plan = collections.Counter((r["doc_id"], r["source"]) for r in mixing.mix_plan(docs, budget=40).collect())
+    got = mixing.mixture(docs, budget=40)
+    assert got.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["source"]) for r in got.collect()) == plan and plan
+
+
 def test_language_models_and_counts(spark):
     docs = table(spark, [*ODD, "some other text", "some other text"])
     got = {r["doc_id"]: r for r in cross_entropy_difference(docs, docs.where("doc_id in (5, 9)").select("doc_id")).collect()}
