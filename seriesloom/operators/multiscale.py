@@ -62,12 +62,12 @@ def _solved(sums: pd.Series, now: pd.Series) -> pd.Series:
     """Fitted value of each row from its 4 x 4 normal equations (16 sums, then 4); null where they are singular."""
     out = np.full(len(sums), np.nan)
     known = np.flatnonzero((sums.notna() & now.notna()).to_numpy())
-    for i in known:
-        s = np.asarray(sums.iloc[i], float)
-        try:
-            out[i] = np.linalg.solve(s[:16].reshape(4, 4), s[16:]) @ np.asarray(now.iloc[i], float)
-        except np.linalg.LinAlgError:
-            continue
+    if len(known):
+        flat = np.stack(sums.iloc[known].to_list()).astype(float)
+        left, right, here = flat[:, :16].reshape(-1, 4, 4), flat[:, 16:], np.stack(now.iloc[known].to_list()).astype(float)
+        # singular by its scale: the product of the diagonal bounds the determinant
+        whole = np.abs(np.linalg.det(left)) > 1e-14 * np.prod(np.diagonal(left, axis1=1, axis2=2), axis=1)
+        out[known[whole]] = (np.linalg.solve(left[whole], right[whole][:, :, None])[:, :, 0] * here[whole]).sum(axis=1)
     return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
 

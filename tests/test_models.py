@@ -83,3 +83,36 @@ def test_shifts_keep_the_signal_and_selection_breaks_ties(spark):
     assert own[2:] == [2.0, 3.0, 4.0, 5.0, 6.0, 7.0] and (moved.groupby("run_id").p_stress.sum() == 27).all() and len(moved) == 24
     table = spark.createDataFrame([("b", 1.0, 2.0), ("a", 0.99, 1.0), ("c", 0.5, 0.1)], "run_id string, sharpe double, turnover double")
     assert strategies.choose(table).select(F.col("run_id")).first()["run_id"] == "a"
+
+
+def test_hidden_chain_equals_a_plain_recursion():
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, np.where(np.arange(80) // 20 % 2, 0.02, 0.005))
+    chain = models.Chain.guess(x)
+    density = np.exp(-((x[:, None] - chain.mean) ** 2) / (2 * chain.var)) / np.sqrt(2 * np.pi * chain.var)
+    ahead, back = [chain.first * density[0]], [np.ones(3)]
+    for d in density[1:]:
+        ahead.append(ahead[-1] @ chain.moves * d)
+    for d in density[:0:-1]:
+        back.append(chain.moves @ (d * back[-1]))
+    ahead, back = np.array(ahead), np.array(back[::-1])
+    whole = ahead[-1].sum()
+    moved = sum(np.outer(ahead[t], density[t + 1] * back[t + 1]) * chain.moves / whole for t in range(len(x) - 1)) + 1e-6
+    state = ahead * back / whole
+    got, level = chain.improved(x)
+    assert level == pytest.approx(np.log(whole)) and np.allclose(got.moves, moved / moved.sum(axis=1, keepdims=True))
+    assert np.allclose(got.mean, x @ state / state.sum(axis=0)) and np.allclose(chain.filtered(x), ahead / ahead.sum(axis=1, keepdims=True))
+
+
+def test_folds_fit_as_each_alone():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 2)) * [1, 5] + [0, 3]
+    y = (rng.uniform(size=400) < 1 / (1 + np.exp(0.5 - x[:, 0]))).astype(float)
+    got = models.fold_coefficients(x, y, np.array([150, 400]))
+    for n, beta in zip((150, 400), got, strict=True):
+        z = np.column_stack([np.ones(n), (x[:n] - x[:n].mean(axis=0)) / x[:n].std(axis=0)])
+        b = np.zeros(3)
+        for _ in range(20000):  # plain ascent on the penalised likelihood
+            b += 0.01 * (z.T @ (y[:n] - 1 / (1 + np.exp(-z @ b))) - [0, *b[1:]])
+        slopes = b[1:] / x[:n].std(axis=0)
+        assert np.allclose(beta[1:], slopes, atol=1e-5) and beta[0] == pytest.approx(b[0] - slopes @ x[:n].mean(axis=0), abs=1e-4)
