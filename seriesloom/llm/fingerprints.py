@@ -14,16 +14,17 @@ and another one by 0. Equal texts have equal fingerprints. Short texts are known
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import durable, shuffle_partitions
+from .common import shuffle_partitions
 
 _U = np.uint64
 #: Rounds whose names make up the set, and the hashes that a fingerprint keeps.
@@ -138,8 +139,7 @@ FIELDS = [
     ("doc_id", T.LongType(), pa.int64()), ("n_chars", T.LongType(), pa.int64()), ("edited_sha256", T.StringType(), pa.string()), ("fingerprint", T.StringType(), pa.string()),
     ("edited_fingerprint", T.StringType(), pa.string()), ("near_edited", T.DoubleType(), pa.float64()), ("near_next", T.DoubleType(), pa.float64()),
 ]
-BORDER = [("part", T.IntegerType(), pa.int32()), ("border", T.StringType(), pa.string()), ("text", T.StringType(), pa.string())]
-ROW, OPEN_ROW = (T.StructType([T.StructField(n, t) for n, t, _ in f]) for f in (FIELDS, FIELDS + BORDER))
+ROW = T.StructType([T.StructField(n, t) for n, t, _ in FIELDS])
 
 
 def compare_run(rows: list[tuple[int | None, str]]) -> list[tuple]:
@@ -154,50 +154,56 @@ def compare_run(rows: list[tuple[int | None, str]]) -> list[tuple]:
     return out
 
 
-def _batch(rows: list[tuple], fields: list) -> pa.RecordBatch:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, (_, _, kind) in zip(columns, fields, strict=True)], names=[n for n, _, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, (_, _, kind) in zip(columns, FIELDS, strict=True)], names=ROW.names)
 
 
-def _compare_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare a range's rows in order; its first and last row go out with their texts too, to meet their neighbours later."""
-    from pyspark import TaskContext
-
-    part, run, size, blank = TaskContext.get().partitionId(), [], 0, (None,) * (len(FIELDS) - 1)
+def _compare_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compare rows in order. A border row ends its range: it is the next one of the row before it and no document itself."""
+    run, size = [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not run:
-                yield _batch([(key, *blank, part, "head", text)], FIELDS + BORDER)
+        for key, text, border in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             run.append((key, text))
             size += len(text)
-            if size > K.SLICE_BYTES and len(run) > 1:
-                yield _batch([(*r, part, None, None) for r in compare_run(run)], FIELDS + BORDER)
-                run, size = run[-1:], len(text)
-    if len(run) > 1:
-        yield _batch([(*r, part, None, None) for r in compare_run(run)], FIELDS + BORDER)
-    if run:
-        yield _batch([(run[-1][0], *blank, part, "tail", run[-1][1])], FIELDS + BORDER)
+            if border or size > K.SLICE_BYTES and len(run) > 1:
+                if len(run) > 1:
+                    yield _batch(compare_run(run))
+                run, size = ([], 0) if border else (run[-1:], len(text))
 
 
-def _compare_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for key, text, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield _batch(compare_run([(key, text), (None, after)]), FIELDS)
+def _range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds lie below key, by way of every w-th of them: two short scans, not one of all."""
+    w = math.isqrt(len(bounds)) + 1
+    chunks = [bounds[i : i + w] for i in range(0, len(bounds), w)]
+    below = lambda values: F.size(F.filter(values, lambda b: b < key))
+    if not chunks:
+        return F.lit(0)
+    longs = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
+    chunk = below(longs(c[-1] for c in chunks))
+    return chunk * w + F.coalesce(below(F.get(F.array(*map(longs, chunks)), chunk)), F.lit(0))
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document, of its text edited with the next one's start, and of the next one, by descending doc_id.
 
-    Spark deals documents into ranges of doc_id; a task runs through its range in order. The last row of a range needs the first
-    one of the range after it: these two rows of each range are kept with their texts and paired afterwards, by one row per range.
-    Rows that share a doc_id follow one another in descending order of their texts; a null doc_id comes last.
+    Documents are dealt into ranges of doc_id by quantiles; a task runs through its ranges in order. The last row of a range needs the
+    first one of the range after it, so this one's text is sent to both: one text for each range, found by ids alone. Texts move once.
+    Rows that share a doc_id follow one another in descending order of their texts; a null doc_id comes last. Rows of one doc_id
+    (or of none) lie in one range, as their order is that of their texts.
     """
-    order = F.col("doc_id").desc_nulls_last()
+    spark = docs.sparkSession
+    n = shuffle_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), order).sortWithinPartitions(order, F.col("text").desc())
-    rows = durable(ranged.mapInArrow(_compare_part, OPEN_ROW), "fingerprints")
-    nth, over = F.row_number().over(Window.orderBy("part")), Window.partitionBy()
-    tails = rows.where("border = 'tail'").select("doc_id", "text", nth.alias("nth"))
-    heads = rows.where("border = 'head'").select(F.col("text").alias("after"), nth.alias("k")).withColumn("k", F.when(F.col("k") == 1, F.count(F.lit(1)).over(over)).otherwise(F.col("k") - 1))
-    met = tails.join(heads, F.col("nth") == F.col("k")).select("doc_id", "text", "after").mapInArrow(_compare_borders, ROW)
-    return rows.where("border is null").select(*ROW.names).unionByName(met)
+    # several ranges a task, so that tasks are even
+    cuts = [i / (4 * n) for i in range(1, 4 * n)]
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 40 * n)).alias("q")).first()["q"] or []))
+    ranged = docs.withColumn("part", F.coalesce(_range_of(F.col("doc_id"), bounds), F.lit(-1)))
+    # parts alone are numbered: a row each
+    firsts = ranged.groupBy("part").agg(F.max("doc_id").alias("first"))
+    before, whole = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = firsts.select("first", F.coalesce(F.lead("part").over(before), F.first("part").over(whole)).alias("of"))
+    heads = ranged.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("of").agg(F.max("text").alias("text"))
+    rows = ranged.withColumn("border", F.lit(False)).unionByName(heads.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("of").alias("part"), F.lit(True).alias("border")))
+    ordered = rows.repartitionByRange(n, F.desc("part")).sortWithinPartitions(F.desc("part"), "border", F.desc_nulls_last("doc_id"), F.desc("text"))
+    return ordered.select("doc_id", "text", "border").mapInArrow(_compare_ranges, ROW)
