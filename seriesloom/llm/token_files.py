@@ -26,6 +26,8 @@ from .common import shuffle_partitions
 from .elias_fano import EliasFano, encode
 from .tokens import encode_slice, tokenizer
 
+#: Bytes of text encoded at once: the larger, the fewer times a pre-token is looked up.
+SLICE_BYTES = 3 << 20
 MAGIC = b"SLTK0001"
 FOOT = "<QQQQBxxx8s"
 FOOT_SIZE = struct.calcsize(FOOT)
@@ -60,7 +62,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
         part = f"{path}.{task.taskAttemptId()}.part"
         lengths, keys, nulls, out = [], [], [], None
         for batch in batches:
-            for rows, text in K.slices(batch):
+            for rows, text in K.slices(batch, limit=SLICE_BYTES):
                 if out is None:
                     out = system.open_output_stream(part)
                     out.write(MAGIC)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ REMEMBERED = 600_000
 
 @functools.cache
 def tokenizer(path: str):
+    # a task has one core: threads of the tokenizer would only wait for one another
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -47,8 +51,8 @@ def encode_slice(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     spans = [whole[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
     new = [s for s in spans if s not in memory]
     for e, s in zip(tokenizer(path).encode_batch_fast(new, add_special_tokens=False), new, strict=True):
-        memory[s] = np.array(e.ids, np.uint32).tobytes()
-    found = [memory[s] for s in spans]
+        memory[s] = array("I", e.ids).tobytes()
+    found = list(map(memory.__getitem__, spans))
     size = np.fromiter(map(len, found), np.int64, len(found)) // 4
     flat = np.frombuffer(b"".join(found), np.uint32)
     begin = np.cumsum(size) - size
