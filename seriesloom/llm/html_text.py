@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,9 +55,18 @@ def _marks(tag: str) -> set[str]:
     return {w.lower() for m in MARKED.finditer(tag) for w in WORD.findall(m[1] or m[2] or m[3] or "")}
 
 
-def parse(page: str) -> Node:
+def parse(page: str) -> list[Node]:
+    """All elements in the order of their start tags; the first is the root. Time follows the page's length: open tags are counted, so that only walks that close something are made."""
     root = node = Node("", None, False, False, 0)
+    nodes, opened = [root], Counter()
     at, order = 0, 0
+
+    def leave(to: Node) -> None:
+        nonlocal node
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+
     while at < len(page):
         m = TOKEN.search(page, at)
         if not m:
@@ -70,32 +80,32 @@ def parse(page: str) -> Node:
             continue
         tag = name[1].lower()
         if token[1] == "/":
-            up = node
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
-                node = up.parent
+            if opened[tag]:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                leave(up.parent)
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and opened["p"]:
             up = node
             while up.parent is not None and up.tag in INLINE:
                 up = up.parent
             if up.tag == "p":
-                node = up.parent
-        if tag in ENDS_SAME:
+                leave(up.parent)
+        if tag in ENDS_SAME and any(opened[x] for x in ENDS_SAME[tag]):
             up = node
             while up.parent is not None and up.tag not in ENDS_SAME[tag] and up.tag not in WITHIN[tag]:
                 up = up.parent
             if up.tag in ENDS_SAME[tag]:
-                node = up.parent
+                leave(up.parent)
                 if tag == "tr" and up.tag != "tr" and node.tag == "tr":
-                    node = node.parent
+                    leave(node.parent)
         if tag == "body" and node.tag == "head":
-            node = node.parent
+            leave(node.parent)
         order += 1
         dropped, good = tag in DROPPED, tag in ("article", "main")
         if not dropped and "=" in token and tag not in ("html", "body", "a", "img"):
@@ -104,11 +114,13 @@ def parse(page: str) -> Node:
             dropped = bool(marks & UNWANTED) and tag not in ("article", "main") or bool(HIDDEN.search(token))
         child = Node(tag, node, dropped, good, order)
         node.children.append(child)
+        nodes.append(child)
         if tag not in VOID and not token.endswith("/>"):
             node = child
+            opened[tag] += 1
     if at < len(page):
         node.children.append(page[at:])
-    return root
+    return nodes
 
 
 def _blocks(top: list[Node | str], out: list[tuple[Node | None, str, int]]) -> None:
@@ -173,22 +185,24 @@ def main_text(page: str | None) -> str:
     """The page's main text."""
     if not page:
         return ""
-    root = parse(page)
+    nodes = parse(page)
+    root = nodes[0]
     blocks: list[tuple[Node | None, str, int]] = []
     _blocks(root.children, blocks)
     touched: dict[int, Node] = {}
     for owner, text, linked in blocks:
         points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
         node, share = (owner.parent or owner) if owner is not None and owner.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "dd", "dt", "th") else (owner or root), 1.0
-        up = owner or root
-        while up is not None:
-            up.chars += len(text)
-            up.linked += linked
-            up = up.parent
+        here = owner or root
+        here.chars += len(text)
+        here.linked += linked
         while node is not None and share > 0.05:
             node.points += points * share
             touched[id(node)] = node
             node, share = node.parent, share / 2
+    for n in reversed(nodes[1:]):  # an element stands after those around it
+        n.parent.chars += n.chars
+        n.parent.linked += n.linked
     found = [n for n in touched.values() if n.tag not in ("", "html")] or list(touched.values())
     if not found:
         return ""
