@@ -10,8 +10,8 @@ what it doesn't quote. Conversations are ordered by depth in the reply tree, the
 The origin is found by a window over each (conversation, hash), not by a join of all quotes with all originals, so a passage that is
 said and quoted often costs one sort; only quotes of several lines that no run equals are joined to originals line by line. Depths are found by pointer doubling: rounds grow with the logarithm of the longest chain.
 
-Nulls and edge cases: a null text counts as empty; a null role stays null; rows without conv_id or turn give no row; of rows that
-share both, the one with the least role and text counts; messages with nothing but quotes have an empty text; quotes without an origin
+Nulls and edge cases: a null text counts as empty; a null role stays null; rows without conv_id or turn give no row; rows that share
+both are messages of their own, in the order of role (null first) and text, each before the next; messages with nothing but quotes have an empty text; quotes without an origin
 are left out of the text all the same. An empty table gives no rows; extra columns are dropped.
 """
 
@@ -63,8 +63,10 @@ def _passages(messages: DataFrame) -> DataFrame:
 
 def reply_order(conversations: DataFrame) -> DataFrame:
     """(conv_id, position, turn, role, text, reply_to, depth, quoted): one row per message."""
-    rows = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("k"), F.coalesce("text", F.lit("")).alias("text"), "role")).alias("m"))
-    messages = rows.select("conv_id", "turn", "m.role", "m.text")
+    by = Window.partitionBy("conv_id").orderBy("turn", F.asc_nulls_first("role"), "text")
+    rows = conversations.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").alias("own_turn"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    # from here on turn is the place in the conversation, so that messages of one turn are told apart
+    messages = rows.withColumn("turn", F.row_number().over(by).cast("long"))
     passages = durable(_passages(messages), "passages")
     said = passages.where("level = 0").groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("nth", "text"))).alias("all"))
     bodies = said.select("conv_id", "turn", F.trim(F.array_join(F.col("all.text"), "\n")).alias("text"))
@@ -89,9 +91,9 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     origin = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "nth", "part", "origin")).alias("o"))
     count = passages.where("level > 0").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("quoted"))
     by_turn = Window.partitionBy("conv_id").orderBy("turn")
-    linked = messages.select("conv_id", "turn", "role").withColumn("previous", F.lag("turn").over(by_turn))
+    linked = messages.select("conv_id", "turn", "role", "own_turn").withColumn("previous", F.lag("turn").over(by_turn))
     linked = linked.join(origin, ["conv_id", "turn"], "left").join(count, ["conv_id", "turn"], "left").join(bodies, ["conv_id", "turn"], "left")
-    linked = durable(linked.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("o.origin", "previous").alias("reply_to"), F.coalesce("quoted", F.lit(0)).cast("long").alias("quoted")), "replies")
+    linked = durable(linked.select("conv_id", "turn", "own_turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("o.origin", "previous").alias("reply_to"), F.coalesce("quoted", F.lit(0)).cast("long").alias("quoted")), "replies")
 
     # pointer doubling: up is the ancestor `steps` replies above, null once the first message is passed; such rows rest from then on
     hops = linked.select("conv_id", "turn", F.col("reply_to").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("steps"))
@@ -103,4 +105,6 @@ def reply_order(conversations: DataFrame) -> DataFrame:
             break
     placed = linked.join(hops.select("conv_id", "turn", F.col("steps").alias("depth")), ["conv_id", "turn"])
     order = Window.partitionBy("conv_id").orderBy("depth", "turn")
-    return placed.select("conv_id", F.row_number().over(order).cast("long").alias("position"), "turn", "role", "text", "reply_to", "depth", "quoted")
+    placed = placed.withColumn("position", F.row_number().over(order).cast("long"))
+    turns = linked.select("conv_id", F.col("turn").alias("reply_to"), F.col("own_turn").alias("replied"))
+    return placed.join(turns, ["conv_id", "reply_to"], "left").select("conv_id", "position", F.col("own_turn").alias("turn"), "role", "text", F.col("replied").alias("reply_to"), "depth", "quoted")

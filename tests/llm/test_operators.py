@@ -60,7 +60,8 @@ def test_elias_fano_round_trip(n):
 def test_token_files_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    texts = [*ODD, "a <|endoftext|> b"]
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(2048))  # runs that a polynomial modulo 2^64 can't tell apart
+    texts = [*ODD, "a <|endoftext|> b", morse, morse.translate(str.maketrans("ab", "ba"))]
     folder = f"file://{tmp_path}/out"
     write_token_shards(table(spark, texts), folder, queries.tokenizer_path(), shards=3)
     got = sorted(read_token_shards(spark, folder).collect())
@@ -241,6 +242,26 @@ def test_depths_of_long_and_short_chains(spark):
     assert got == {**{(1, t): t for t in range(37)}, (2, 0): 0, (3, 0): 0, (3, 4): 1}
 
 
+def test_messages_of_one_turn_all_stay(spark):
+    rows = [(1, 0, "a", "q one"), (2, 0, "u", "first"), (2, 0, "u", "second"), (2, 1, "u", "> first\nso"), (2, 1, "u", "> first\nso"), (2, 2, None, "> second")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, own_turn int, replied int")
+    got = sorted(((r["conv_id"], r["turn"], r["text"], r["reply_to"]) for r in reply_order(docs).collect()), key=str)
+    assert got == sorted([(1, 0, "q one", None), (2, 0, "first", None), (2, 0, "second", 0), (2, 1, "so", 0), (2, 1, "so", 0), (2, 2, "", 0)], key=str)
+    assert reply_order(docs.limit(0)).count() == 0
+
+
+def test_deep_and_stray_tags_take_linear_time():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    for make in (lambda n: "<div>" * n + "word, " * 40 + "</div>" * n, lambda n: "<div>" * n + "<p>some words, here</p></q>" * n, lambda n: "<b>" * n + "x<hr>" * n):
+        assert took(make(12000)) < 8 * took(make(3000)) + 0.2
+
+
 def test_replies_and_quotes(spark):
     rows = [(1, 0, "user", "Hello  there\nHow are you?"), (1, 1, "assistant", "Fine."), (1, 2, "user", "> hello there\n> How are you?\nStill asking."), (1, 3, "assistant", "> > HELLO there\n> Still asking.\nOk\n> unknown"), (2, 0, None, None), (None, 0, "user", "x")]
     got = {(r["conv_id"], r["turn"]): r for r in reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -249,6 +270,29 @@ def test_replies_and_quotes(spark):
     assert got[1, 2]["text"] == "Still asking." and got[1, 3]["text"] == "Ok" and got[2, 0]["text"] == ""
 
 
+def test_token_counts_equal_plain_segmentation(spark):
+    import public_tokenizers
+
+    from seriesloom.llm.token_counts import pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    scores, longest, byte = pieces(path)
+
+    def plain(word):
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            n = len(word[end - 1].encode())
+            options = [(best[end - 1][0] + n * byte, -best[end - 1][1] - n)]
+            options += [(best[s][0] + scores[word[s:end]], -best[s][1] - 1) for s in range(max(0, end - longest), end) if word[s:end] in scores]
+            top = max(options)
+            best.append((top[0], -top[1]))
+        return best[-1][1]
+
+    texts = ["understanding", "unbelievable", "日本é", "zzzqqq", "aaaaaaaaaaaa", "the"]
+    got = [r["n_tokens"] for r in sorted(token_counts(table(spark, texts), path).collect())]
+    assert got == [plain(t) for t in texts]
+
+
 def test_mixing(spark):
     tokens = np.array([1000.0, 100.0, 10.0])
     a = mixing.temperature(tokens, 1110, 0.95, 100.0)
