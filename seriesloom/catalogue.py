@@ -362,16 +362,21 @@ def cost_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(portfolio.metrics(strategies.at_costs(_core_run(spark, sf_dir), (0.0, 0.001, 0.0025)), keys=("cost",)), "cost", *_MEASURES)
 
 
-#: Placebo runs; each is a partition of the simulation.
-PLACEBOS = 100
+#: Placebo runs.
+PLACEBOS = 1000
 
 
 @query()
 def placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The signal's Sharpe ratio, and the share of its cyclic shifts that do as well."""
+    """The signal's Sharpe ratio in the evaluation, and the share of its cyclic shifts that do as well."""
+    from .operators import study
+
     weighted, days = _grid_runs(spark, sf_dir)
-    runs = spark.range(PLACEBOS + 1).select(F.concat(F.lit("s"), "id").alias("run_id"), F.lit(0.8).alias("m"), F.lit(0.25).alias("react"))
-    got = portfolio.metrics(portfolio.simulate(strategies.run_targets(weighted, strategies.cyclic_shifts(days, PLACEBOS), runs)))
+    known = days.where("p_stress is not null").count()
+    drawn = [("s0", 0)] + [(f"s{i + 1}", step) for i, step in enumerate(study.placebo_steps(known, PLACEBOS))]
+    shifted = strategies.cyclic_shifts(days, spark.createDataFrame(drawn, "run_id string, step long"))
+    levels = portfolio.exposure(shifted.withColumns({"m": F.lit(0.8), "react": F.lit(0.25)}))
+    got = study.window(portfolio.simulate_levels(weighted, levels)).groupBy("run_id").agg(study.sharpe(F.col("ret") - portfolio.CASH).alias("sharpe"))
     # a row for each run
     own = F.max(F.when(F.col("run_id") == "s0", F.col("sharpe"))).over(Window.partitionBy())
     each = got.withColumn("own", own).where("run_id <> 's0'")
@@ -413,7 +418,7 @@ def performance_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(inference.performance_fee(_pair(spark, sf_dir), 5.0), "fee")
 
 
-#: Replicates of the bootstrap query.
+#: Replicates of the bootstrap query that SQL repeats; bootstrap_study draws all 10,000, for all rivals.
 REPLICATES = 200
 
 

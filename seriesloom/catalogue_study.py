@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import CORE_VOL, DIGITS, PANEL, STRESS, WEIGHTS, _MEASURES, _metrics_sql, _out, query, r
-from .operators import multiscale, portfolio, regimes, strategies, study
+from .operators import inference, multiscale, portfolio, regimes, strategies, study
 from .sources import tables
 
 HIGHS, VOL_MULTIPLIERS = (0.80, 0.90), (0.8, 1.0, 1.2)
@@ -207,3 +207,25 @@ def equal_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = _base_exposure(spark, sf_dir)
     m = study.equal_exposure(weighted, days, target)
     return _out(spark.createDataFrame([(m, target)], "m double, exposure double"), "m", "exposure")
+
+
+def _returns_side_by_side(spark, sf_dir):
+    """(names, df): a column of returns for each strategy."""
+    days = _all_days(spark, sf_dir)
+    names = ["base", "state", "vol_target", "constant", "static", "trend", "market", "60_40"]
+    return names, days.groupBy("seq").agg(*(F.max(F.when(F.col("run_id") == n, F.col("ret"))).alias(n) for n in names))
+
+
+@query()
+def bootstrap_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base strategy against each other one, 10,000 replicates that all pairs share."""
+    names, df = _returns_side_by_side(spark, sf_dir)
+    return _out(inference.bootstrap_against(df, names[0], names[1:], 10_000), "rival", "measure", "point", "low", "high", "share_below")
+
+
+@query()
+def power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six true differences, 300 repetitions of each, 400 inner replicates, at the evaluation's length."""
+    _, df = _returns_side_by_side(spark, sf_dir)
+    pair = df.select("seq", (F.col("base") - portfolio.CASH).alias("a"), (F.col("vol_target") - portfolio.CASH).alias("b"))
+    return _out(inference.power_study(pair, (0.0, 0.05, 0.10, 0.15, 0.20, 0.30), 300, 400, pair.count()), "delta", "power", "share_positive")

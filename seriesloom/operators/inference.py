@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +85,92 @@ def paired_bootstrap(df: DataFrame, replicates: int, block: int = 20, cash: floa
     tail = (1 - level) / 2
     got = long.groupBy("measure").agg(F.max(F.when(F.col("rep") < 0, F.col("value"))).alias("point"), F.percentile(drawn, F.array(F.lit(tail), F.lit(1 - tail))).alias("q"), F.avg((drawn <= 0).cast("double")).alias("share_below"))
     return got.select("measure", "point", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "share_below")
+
+
+#: Replicates that one row of the block-wise bootstrap stands for.
+TOGETHER = 100
+
+
+def _draws(rep: np.ndarray, pos: np.ndarray, salt: int) -> np.ndarray:
+    """draw() for arrays."""
+    x = (rep[:, None] * STEP_REP + pos[None, :] * STEP_POS + salt * STEP_SALT + 1) % MODULUS
+    for _ in range(2):
+        x = ((x * x) % MODULUS * MULTIPLIER + 11) % MODULUS
+    return x
+
+
+def index_blocks(rep: np.ndarray, n: int, block: int, modulo: int) -> np.ndarray:
+    """Indices of replicates, a row each: the same as bootstrap_indices() draws."""
+    pos = np.arange(n)
+    new = (_draws(rep, pos, 1) * block < MODULUS) | (pos == 0)
+    head = np.maximum.accumulate(np.where(new, pos, 0), axis=1)
+    spot = np.take_along_axis(_draws(rep, pos, 2) % modulo, head, axis=1)
+    return (spot + pos - head) % modulo
+
+
+def ratio_and_fall(x: np.ndarray, cash: float) -> tuple[np.ndarray, np.ndarray]:
+    """Yearly Sharpe ratio and deepest fall along the last axis; the starting capital counts."""
+    value = np.cumprod(1 + x, axis=-1)
+    fall = (value / np.maximum(np.maximum.accumulate(value, axis=-1), 1) - 1).min(axis=-1)
+    return (x - cash).mean(axis=-1) / (x - cash).std(axis=-1, ddof=1) * np.sqrt(DAYS), fall
+
+
+def bootstrap_against(df: DataFrame, own: str, rivals: list[str], replicates: int, block: int = 20, cash: float = 0.00005, level: float = 0.95) -> DataFrame:
+    """(rival, measure, point, low, high, share_below) for column `own` of df (seq, one column a strategy) against each rival.
+
+    All pairs share the draws, so a replicate gathers every column once. The series travel as one row of arrays (the calendar's
+    length), to tasks that each take some hundreds of replicates; only differences come back.
+    """
+    names = [own, *rivals]
+    series = df.agg(*(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.col(c).alias("x")))), lambda v: v["x"]).alias(f"c{i}") for i, c in enumerate(names)))
+    blocks = df.sparkSession.range(0, replicates, TOGETHER, max(1, replicates // TOGETHER // 4)).crossJoin(F.broadcast(series))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                x = np.stack([np.asarray(c, float) for c in row[1:]])
+                rep = np.arange(row[0], min(row[0] + TOGETHER, replicates))
+                drawn = [(rep, index_blocks(rep, x.shape[1], block, x.shape[1]))]
+                if row[0] == 0:
+                    drawn.append((np.array([-1]), np.arange(x.shape[1])[None, :]))
+                for reps, index in drawn:
+                    ratios, falls = zip(*(ratio_and_fall(c[index], cash) for c in x), strict=True)
+                    for i, rival in enumerate(rivals, 1):
+                        yield pd.DataFrame({"rep": reps, "rival": rival, "sharpe": ratios[0] - ratios[i], "drawdown": falls[0] - falls[i]})
+
+    each = blocks.mapInPandas(run, "rep long, rival string, sharpe double, drawdown double").unpivot(["rep", "rival"], ["sharpe", "drawdown"], "measure", "value")
+    drawn = F.when(F.col("rep") >= 0, F.col("value"))
+    tail = (1 - level) / 2
+    got = each.groupBy("rival", "measure").agg(F.max(F.when(F.col("rep") < 0, F.col("value"))).alias("point"), F.percentile(drawn, F.array(F.lit(tail), F.lit(1 - tail))).alias("q"), F.avg((drawn <= 0).cast("double")).alias("share_below"))
+    return got.select("rival", "measure", "point", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "share_below")
+
+
+def power_study(df: DataFrame, deltas: tuple[float, ...], repetitions: int, inner: int, length: int, block: int = 20, level: float = 0.95) -> DataFrame:
+    """(delta, power, share_positive): how often the interval of the bootstrap lies above 0 where the true difference of ratios is delta.
+
+    df: (seq, a, b), excess returns. a is moved so that its ratio is b's plus delta, both are resampled to `length` on the same draws,
+    and each sample gets a bootstrap of its own. (delta, repetition) are rows dealt over tasks; no sample leaves its task.
+    """
+    spark = df.sparkSession
+    pair = df.agg(*(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.col(c).alias("x")))), lambda v: v["x"]).alias(c) for c in "ab"))
+    grid = spark.range(len(deltas) * repetitions).select((F.col("id") % repetitions).alias("rep"), F.get(F.array(*map(F.lit, deltas)), (F.col("id") / repetitions).cast("int")).alias("delta"))
+    tail = (1 - level) / 2
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                a, b = np.asarray(row.a, float), np.asarray(row.b, float)
+                moved = a + (b.mean() / b.std(ddof=1) * np.sqrt(DAYS) + row.delta) * a.std(ddof=1) / np.sqrt(DAYS) - a.mean()
+                index = index_blocks(np.array([row.rep]), length, block, len(a))[0]
+                x, y = moved[index], b[index]
+                differences = []
+                for first in range(0, inner, TOGETHER):
+                    at = index_blocks((row.rep + 1) * inner + np.arange(first, min(first + TOGETHER, inner)), length, block, length)
+                    differences.append(ratio_and_fall(x[at], 0.0)[0] - ratio_and_fall(y[at], 0.0)[0])
+                point = ratio_and_fall(x, 0.0)[0] - ratio_and_fall(y, 0.0)[0]
+                out.append((row.delta, float(np.quantile(np.concatenate(differences), tail) > 0), float(point > 0)))
+            yield pd.DataFrame(out, columns=["delta", "above", "positive"])
+
+    tried = grid.repartition(max(1, len(deltas) * repetitions // 16), "rep").crossJoin(F.broadcast(pair)).mapInPandas(run, "delta double, above double, positive double")
+    return tried.groupBy("delta").agg(F.avg("above").alias("power"), F.avg("positive").alias("share_positive"))

@@ -48,13 +48,12 @@ def at_costs(days: DataFrame, costs: tuple[float, ...], paid: float = portfolio.
     return each.withColumn("ret", F.col("ret") + (F.lit(paid) - F.col("cost")) * F.col("turnover"))
 
 
-def cyclic_shifts(days: DataFrame, shifts: int) -> DataFrame:
-    """days for runs s0 (as they are) to s<shifts>: p_stress moved round its known rows, by steps dealt evenly over their number."""
+def cyclic_shifts(days: DataFrame, steps: DataFrame) -> DataFrame:
+    """days once for each of steps (run_id, step), with p_stress moved round its known rows by that many."""
     known = days.where("p_stress is not null").withColumn("ord", F.row_number().over(Window.orderBy("seq")) - 1)
     size = known.agg(F.count(F.lit(1)).alias("n"))
-    each = known.crossJoin(F.broadcast(size)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(shifts))))
-    by = F.floor(F.col("i") * F.col("n") / (shifts + 1))
-    moved = each.select("i", F.pmod(F.col("ord") + by, "n").alias("ord"), "p_stress")
+    each = known.select("ord", "p_stress").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(steps))
+    moved = each.select("run_id", F.pmod(F.col("ord") + F.col("step"), "n").alias("ord"), "p_stress")
     placed = known.drop("p_stress").join(moved, "ord").drop("ord")
-    rest = days.where("p_stress is null").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(shifts))))
-    return placed.unionByName(rest).withColumn("run_id", F.concat(F.lit("s"), "i")).drop("i")
+    rest = days.where("p_stress is null").crossJoin(F.broadcast(steps.select("run_id")))
+    return placed.unionByName(rest)

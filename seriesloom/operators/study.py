@@ -69,7 +69,7 @@ def equal_exposure(weighted: DataFrame, days: DataFrame, target: float, first: i
         step = (high - low) / (parts + 1)
         tried = [low + step * (i + 1) for i in range(parts)]
         runs = spark.createDataFrame([(f"m{i:03d}", m, 0.0) for i, m in enumerate(tried)], "run_id string, m double, react double")
-        means = window(portfolio.simulate(scaled(weighted, levels_of(flat, runs))), first).groupBy("run_id").agg(F.avg("exposure").alias("mean"))
+        means = window(portfolio.simulate_levels(weighted, levels_of(flat, runs)), first).groupBy("run_id").agg(F.avg("exposure").alias("mean"))
         below = sum(r["mean"] <= target for r in means.collect())
         low, high = low + step * below, low + step * (below + 1)
     return (low + high) / 2

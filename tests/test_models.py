@@ -78,7 +78,7 @@ def test_hidden_states_see_no_future_and_find_the_wide_one(spark):
 
 def test_shifts_keep_the_signal_and_selection_breaks_ties(spark):
     days = spark.createDataFrame([(i, None if i < 2 else float(i)) for i in range(8)], "seq int, p_stress double")
-    moved = strategies.cyclic_shifts(days, 2).toPandas()
+    moved = strategies.cyclic_shifts(days, spark.createDataFrame([("s0", 0), ("s1", 2), ("s2", 4)], "run_id string, step long")).toPandas()
     own = moved[moved.run_id == "s0"].sort_values("seq").p_stress.tolist()
     assert own[2:] == [2.0, 3.0, 4.0, 5.0, 6.0, 7.0] and (moved.groupby("run_id").p_stress.sum() == 27).all() and len(moved) == 24
     table = spark.createDataFrame([("b", 1.0, 2.0), ("a", 0.99, 1.0), ("c", 0.5, 0.1)], "run_id string, sharpe double, turnover double")
