@@ -7,7 +7,9 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import CORE_VOL, DIGITS, PANEL, STRESS, WEIGHTS, _MEASURES, _metrics_sql, _out, query, r
+from .catalogue import CORE_VOL, DIGITS, ORACLE_SQL, PANEL, STRESS, WEIGHTS, _MEASURES, _metrics_sql, _out, query, r
+from .functions.normal import normal_cdf
+from .functions.windows import by_series
 from .operators import inference, multiscale, portfolio, regimes, strategies, study
 from .sources import tables
 
@@ -229,3 +231,52 @@ def power(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, df = _returns_side_by_side(spark, sf_dir)
     pair = df.select("seq", (F.col("base") - portfolio.CASH).alias("a"), (F.col("vol_target") - portfolio.CASH).alias("b"))
     return _out(inference.power_study(pair, (0.0, 0.05, 0.10, 0.15, 0.20, 0.30), 300, 400, pair.count()), "delta", "power", "share_positive")
+
+
+def _normal_sql(z: str) -> str:
+    """The distribution function as a sum of 120 terms, with double factorials from the logarithm of the gamma function."""
+    k = "CAST(k AS DOUBLE)"
+    term = f"sign({z}) * exp((2 * {k} + 1) * ln(greatest(abs({z}), 1e-300)) - (lgamma(2 * {k} + 2) - {k} * ln(2::DOUBLE) - lgamma({k} + 1)))"
+    total = f"(SELECT sum({term}) FROM range(0, 121) t(k))"
+    return f"CASE WHEN {z} > 8 THEN 1 WHEN {z} < -8 THEN 0 ELSE 0.5 + {total} * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) END"
+
+
+_SCORES = "zs AS (SELECT g / 4::DOUBLE AS z FROM range(-36, 37) t(g))"
+
+
+@query(f"WITH {_SCORES} SELECT z, round({_normal_sql('z')}, 7) AS p FROM zs")
+def normal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal distribution function on a lattice of scores."""
+    z = spark.range(-36, 37).select((F.col("id") / 4).alias("z"))
+    return z.select("z", F.round(normal_cdf(F.col("z")), 7).alias("p"))
+
+
+_DEFLATED = ORACLE_SQL["deflated_sharpe"]
+
+
+@query(f"SELECT run_id, round({_normal_sql('z')}, 5) AS probability FROM ({_DEFLATED})")
+def deflated_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance that each cell's true ratio is above the threshold of all trials."""
+    return deflated_sharpe(spark, sf_dir).select("run_id", F.round(normal_cdf(F.col("z")), 5).alias("probability"))
+
+
+_NATIONS = """nc AS (SELECT c_nationkey::VARCHAR AS series_id, o_orderdate::DATE AS dt, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS c FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+ nr AS (SELECT series_id, dt, row_number() OVER w - 2 AS seq, 0.02::DOUBLE * (c - lag(c) OVER w)::DOUBLE / (c + lag(c) OVER w)::DOUBLE AS r FROM nc WINDOW w AS (PARTITION BY series_id ORDER BY dt)),
+ nb AS (SELECT *, pow(ln(1 + r), 2) AS x2 FROM nr WHERE seq >= 0),
+ ne AS (SELECT series_id, seq, x2 AS v FROM nb WHERE seq = 0 UNION ALL SELECT b.series_id, b.seq, 0.94::DOUBLE * e.v + b.x2 * (1 - 0.94::DOUBLE) FROM ne e JOIN nb b ON b.series_id = e.series_id AND b.seq = e.seq + 1),
+ nq AS (SELECT nb.*, round(sqrt(252 * v), 12) AS vol FROM nb JOIN ne USING (series_id, seq)),
+ nw AS (SELECT *, count(*) OVER w AS n, round(quantile_cont(vol, 0.4) OVER w, 12) AS lo, round(quantile_cont(vol, 0.9) OVER w, 12) AS hi FROM nq WINDOW w AS (PARTITION BY series_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+ ns AS (SELECT *, CASE WHEN n < 252 THEN NULL WHEN vol > hi THEN 2 WHEN vol <= lo THEN 0 ELSE 1 END AS state FROM nw)"""
+
+
+@query(f"WITH RECURSIVE {_NATIONS} SELECT series_id, dt, {r('vol')}, state::BIGINT AS state FROM ns")
+def nation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volatility and states of 25 series side by side, a partition each."""
+    return _out(regimes.regimes(tables.nations(spark, sf_dir)), "series_id", "dt", "vol", "state")
+
+
+@query(f"""WITH RECURSIVE {_NATIONS}, np AS (SELECT series_id, lag(state) OVER (PARTITION BY series_id ORDER BY seq) AS previous, state FROM ns)
+ SELECT series_id, previous::BIGINT AS previous, state::BIGINT AS state, count(*) AS n FROM np WHERE previous IS NOT NULL AND state IS NOT NULL GROUP BY ALL""")
+def nation_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = regimes.regimes(tables.nations(spark, sf_dir)).withColumn("previous", F.lag("state").over(by_series())).where("previous is not null and state is not null")
+    return _out(s.groupBy("series_id", "previous", "state").agg(F.count(F.lit(1)).alias("n")), "series_id", "previous", "state", "n")
