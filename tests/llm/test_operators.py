@@ -329,10 +329,52 @@ def test_mixture_is_the_plan_row_for_row(spark):
     assert collections.Counter((r["doc_id"], r["source"]) for r in got.collect()) == plan and plan
 
 
-def test_language_models_and_counts(spark):
+def plain_language_models(rows, targets, prior):
+    """Losses by dictionaries: for each document the two models are counted anew without it."""
+    tokens = [[None, *re.findall(r"[^\x20\x09-\x0D]+", text or ""), "\n"] for _, text in rows]
+    marked = [k in targets for k, _ in rows]
+    vocabulary = len({w for t in tokens for w in t[1:]} | {"\n"})
+    size = {side: sum(len(t) - 1 for t, m in zip(tokens, marked) if m == side) for side in (True, False)}
+    out = []
+    for i, t in enumerate(tokens):
+        found = []
+        for side in (True, False):
+            scale = size[True] / size[False] if side is False and size[True] and size[False] else 1.0
+            one, two, before = collections.Counter(), collections.Counter(), collections.Counter()
+            for j, other in enumerate(tokens):
+                if j != i and marked[j] == side:
+                    one.update(other[1:])
+                    two.update(itertools.pairwise(other))
+                    before.update(other[:-1])
+            total, loss = sum(one.values()), 0.0
+            for a, b in itertools.pairwise(t):
+                low = (scale * one[b] + prior / vocabulary) / (scale * total + prior)
+                loss -= np.log((scale * two[a, b] + prior * low) / (scale * before[a] + prior))
+            found.append(loss / (len(t) - 1))
+        out.append((*found, len(t) - 1))
+    return out
+
+
+@pytest.mark.parametrize("targets", [{5, 9, 30}, set(), set(range(100))])
+def test_language_models_equal_plain_counts(spark, targets):
+    rng = random.Random(4)
+    texts = [*ODD, "some other text", "some other text", "é 日本 é", *(" ".join(rng.choice("abcdeABé") for _ in range(rng.randint(0, 40))) for _ in range(40)), "long " * 20_000]
+    rows = [*enumerate(texts), (None, "a b"), (None, None), (5, "x y"), (5, "x y")]
+    docs = spark.createDataFrame([(k, t, 1.0, 2) for k, t in rows], "doc_id long, text string, score double, blk int")
+    ids = spark.createDataFrame([(k,) for k in targets], "doc_id long")
+    # a small block size makes several blocks and ranges of keys
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["target_loss"], r["background_loss"], r["score"]) for r in cross_entropy_difference(docs, ids, block_bytes=9000).collect())
+    want = sorted((k is None, k or 0, n, t, b, t - b) for (k, _), (t, b, n) in zip(rows, plain_language_models(rows, targets, 4.0)))
+    assert len(got) == len(want) and all(g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], abs=1e-9) for g, w in zip(got, want))
+
+
+def test_language_models_of_empty_tables(spark):
+    docs = table(spark, ODD)
+    assert cross_entropy_difference(docs.limit(0), docs.select("doc_id")).collect() == []
+
+
+def test_token_counts_of_odd_texts(spark):
     docs = table(spark, [*ODD, "some other text", "some other text"])
-    got = {r["doc_id"]: r for r in cross_entropy_difference(docs, docs.where("doc_id in (5, 9)").select("doc_id")).collect()}
-    assert len(got) == len(ODD) + 2 and got[0]["n_tokens"] == 1 and got[9]["score"] == pytest.approx(got[10]["score"]) and got[9]["score"] < got[7]["score"]
     import public_tokenizers
 
     counted = {r["doc_id"]: r["n_tokens"] for r in token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
