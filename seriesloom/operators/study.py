@@ -64,7 +64,8 @@ def equal_exposure(weighted: DataFrame, days: DataFrame, target: float, first: i
     One row per run comes to the driver. parts^rounds narrows the bounds as 40 halvings do.
     """
     spark, low, high = weighted.sparkSession, LEAST_M, MOST_M
-    flat = days.withColumn("p_stress", F.lit(0.0))
+    # every round reads these two panels again
+    weighted, flat = weighted.persist(), days.withColumn("p_stress", F.lit(0.0)).persist()
     for _ in range(rounds):
         step = (high - low) / (parts + 1)
         tried = [low + step * (i + 1) for i in range(parts)]
@@ -72,6 +73,8 @@ def equal_exposure(weighted: DataFrame, days: DataFrame, target: float, first: i
         means = window(portfolio.simulate_levels(weighted, levels_of(flat, runs)), first).groupBy("run_id").agg(F.avg("exposure").alias("mean"))
         below = sum(r["mean"] <= target for r in means.collect())
         low, high = low + step * below, low + step * (below + 1)
+    weighted.unpersist()
+    flat.unpersist()
     return (low + high) / 2
 
 
