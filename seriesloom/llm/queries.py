@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import fresh_path, table
 
 
@@ -80,6 +81,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows, by a checksum of their doc_id, are folded as if their text had been lower-cased."""
+    from .merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import deduplicated_lines
 
@@ -87,17 +95,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_fingerprints, op4_lm_scores, op5_decontamination, op6_quality, op7_html_text, op8_quotations, op9_jaccard_join, op10_token_counts, op13_line_dedup)}
-
-_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-LINE_DEDUP = f"""WITH rw AS (SELECT row_number() OVER () AS rw, doc_id, str_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
- ln AS (SELECT rw, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM rw),
- ky AS (SELECT *, translate(trim(line, {_SPACES}), '{_UPPER}', '{_LOWER}') AS k FROM ln),
- hot AS (SELECT k, max(doc_id) AS keeper FROM ky WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT rw) >= 5),
- fate AS (SELECT ky.*, hot.k IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM ky LEFT JOIN hot USING (k))
- SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM fate GROUP BY rw, doc_id"""
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_fingerprints, op4_lm_scores, op5_decontamination, op6_quality, op7_html_text, op8_quotations, op9_jaccard_join, op10_token_counts, op11_merkle, op13_line_dedup)}
 
 #: Operators that SQL expresses; tests/llm hold the others against brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op13_line_dedup": LINE_DEDUP}
+ORACLE_SQL: dict[str, str] = {"op11_merkle": oracles.MERKLE, "op13_line_dedup": oracles.LINE_DEDUP}
