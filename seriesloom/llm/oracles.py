@@ -64,3 +64,35 @@ def _merkle(levels: int = 8, upper: int = 3) -> str:
 
 
 MERKLE = _merkle()
+
+
+def _repair() -> str:
+    """Cheapest edits by dynamic programming over turns: for each grammar state the least (cost and audit as text `k`, lines `v`)."""
+    add = lambda x, cost, letter, line: f"CASE WHEN {x} IS NOT NULL THEN {{'k': lpad((left({x}.k, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({x}.k, 10) || '{letter}', 'v': {x}.v{line}}} END"
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    user, assistant, own = " || ['user:']", " || ['assistant:']", " || [role || ':' || text]"
+    into2 = least("s2", *(add(s, 2, "I", user) for s in ("s0", "s1", "s3")))
+    into3 = least("s3", add("c2", 2, "I", assistant))
+    stays = "fault IS NULL OR fault = 'truncated'"
+    cut = "(fault IS NOT DISTINCT FROM 'truncated')::INT"
+    keep = lambda s, initial: f"CASE WHEN ({stays}) AND initial = '{initial}' THEN {add(s, cut, 'K', own)} END"
+    rerole = lambda s, role: f"CASE WHEN {stays} THEN {add(s, f'2 + {cut}', 'R', f' || [{role!r} || text]')} END"
+    gone = lambda s: add(s, 3, "D", "")
+    into_u = [x for s in ("s0", "s1", "c3") for x in (keep(s, "u"), rerole(s, "user:"))]
+    nexts = [gone("s0"), least(gone("s1"), keep("s0", "s")), least(gone("c2"), *into_u), least(gone("c3"), keep("c2", "a"), rerole("c2", "assistant:"))]
+    spaced = lambda c: f"coalesce({c}::VARCHAR, ' ')"
+    closed = lambda source: f"(SELECT *, {into3} AS c3 FROM (SELECT *, {into2} AS c2 FROM {source}))"
+    return f"""WITH RECURSIVE {CRC_TABLE}, kd AS (SELECT conv_id, turn, {spaced("role")} AS role, {spaced("text")} AS text, {crc32(f"({spaced('conv_id')} || ':' || {spaced('turn')})")} % 20 AS kind FROM conversations, ct),
+ dm AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kd),
+ od AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS idx, left(role, 1) AS initial, rtrim(text, {SPACES}) AS bare FROM dm),
+ ft AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY idx) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+ lag(initial) OVER (PARTITION BY conv_id ORDER BY idx) || initial AS pair FROM od),
+ st AS (SELECT DISTINCT conv_id, -1::BIGINT AS idx, {{'k': '000000000', 'v': []::VARCHAR[]}} AS s0, NULL::STRUCT(k VARCHAR, v VARCHAR[]) AS s1, NULL::STRUCT(k VARCHAR, v VARCHAR[]) AS s2, NULL::STRUCT(k VARCHAR, v VARCHAR[]) AS s3 FROM ft
+ UNION ALL SELECT conv_id, next_idx, {nexts[0]}, {nexts[1]}, {nexts[2]}, {nexts[3]} FROM {closed("(SELECT st.*, ft.idx AS next_idx, ft.role, ft.text, ft.initial, ft.fault FROM st JOIN ft ON ft.conv_id IS NOT DISTINCT FROM st.conv_id AND ft.idx = st.idx + 1)")}),
+ en AS (SELECT conv_id, {least("s0", "c3")} AS best FROM {closed("(SELECT st.* FROM st QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY idx DESC) = 1)")}),
+ sm AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, {", ".join(f"count(*) FILTER (fault = '{f}') AS {f}" for f in ("blank", "duplicate", "truncated"))}, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM ft GROUP BY 1)
+ SELECT c.conv_id, {", ".join(f"coalesce(sm.{x}, 0)::BIGINT AS {x}" for x in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, coalesce(left(en.best.k, 9)::BIGINT, 0) AS cost, coalesce(substr(en.best.k, 10), '') AS audit, sha256(coalesce(array_to_string(en.best.v, chr(10)), '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN en ON en.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN sm ON sm.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+REPAIR = _repair()

@@ -88,6 +88,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damage that the query's contract states, and its repair."""
+    from .repair import damaged, repair_report
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair_report(rows, damaged(rows))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import deduplicated_lines
 
@@ -95,7 +103,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_fingerprints, op4_lm_scores, op5_decontamination, op6_quality, op7_html_text, op8_quotations, op9_jaccard_join, op10_token_counts, op11_merkle, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_fingerprints, op4_lm_scores, op5_decontamination, op6_quality, op7_html_text, op8_quotations, op9_jaccard_join, op10_token_counts, op11_merkle, op12_repair, op13_line_dedup)}
 
 #: Operators that SQL expresses; tests/llm hold the others against brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op11_merkle": oracles.MERKLE, "op13_line_dedup": oracles.LINE_DEDUP}
+ORACLE_SQL: dict[str, str] = {"op11_merkle": oracles.MERKLE, "op12_repair": oracles.REPAIR, "op13_line_dedup": oracles.LINE_DEDUP}
