@@ -345,14 +345,19 @@ def _grid_runs(spark, sf_dir):
     return weighted, days
 
 
+def _grid_levels(spark, sf_dir):
+    weighted, days = _grid_runs(spark, sf_dir)
+    return weighted, strategies.run_levels(days, strategies.grid(spark))
+
+
 @query(f"WITH RECURSIVE {_grid_sql()}, {_metrics_sql('sim', 'run_id')} SELECT run_id, {', '.join(r(c) for c in _MEASURES)} FROM me")
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(portfolio.metrics(portfolio.simulate(strategies.run_targets(*_grid_runs(spark, sf_dir), strategies.grid(spark)))), "run_id", *_MEASURES)
+    return _out(portfolio.metrics(portfolio.simulate_levels(*_grid_levels(spark, sf_dir))), "run_id", *_MEASURES)
 
 
 @query(f"WITH RECURSIVE {_grid_sql()}, {_metrics_sql('sim', 'run_id')} SELECT run_id, {r('sharpe')}, {r('turnover')} FROM (SELECT * FROM me WHERE sharpe >= (SELECT max(sharpe) FROM me) - 0.02) QUALIFY row_number() OVER (ORDER BY turnover, run_id) = 1")
 def chosen_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = portfolio.metrics(portfolio.simulate(strategies.run_targets(*_grid_runs(spark, sf_dir), strategies.grid(spark))))
+    table = portfolio.metrics(portfolio.simulate_levels(*_grid_levels(spark, sf_dir)))
     return _out(strategies.choose(table), "run_id", "sharpe", "turnover")
 
 

@@ -71,7 +71,7 @@ _ALL = f"""{DAYS}, {_TREND}, sig AS MATERIALIZED ({_level_targets(_CHOSEN)}), {_
 
 
 def _base(spark, sf_dir):
-    weighted = portfolio.core_weights(tables.panel(spark, sf_dir))
+    weighted = portfolio.core_weights(study.complete(tables.panel(spark, sf_dir)))
     return weighted, portfolio.core_volatility(weighted)
 
 
@@ -82,13 +82,12 @@ def _days(core, spark):
 
 def _signals(spark, sf_dir, highs=HIGHS):
     """(signal, dt, p_stress): the chain's chance of stress and the indicator of today's state, at each high quantile."""
-    out = None
-    for q in highs:
-        p = regimes.stress_probability(regimes.transition_matrix(regimes.transition_counts(regimes.regimes(tables.market(spark, sf_dir), high=q))))
-        each = p.select("dt", F.array(F.struct(F.lit(f"base_{q:.2f}").alias("signal"), F.col("p_stress").alias("p")), F.struct(F.lit(f"state_{q:.2f}").alias("signal"), (F.col("state") == 2).cast("double").alias("p"))).alias("x"))
-        each = each.select("dt", F.explode("x").alias("x")).select("x.signal", "dt", F.col("x.p").alias("p_stress"))
-        out = each if out is None else out.unionByName(each)
-    return out
+    states = regimes.states_at(regimes.volatility(tables.market(spark, sf_dir)), highs)
+    p = regimes.stress_probability(regimes.transition_matrix(regimes.transition_counts(states)))
+    at = F.format_string("%.2f", "high_q")
+    kinds = F.array(F.struct(F.concat(F.lit("base_"), at).alias("signal"), F.col("p_stress").alias("p")), F.struct(F.concat(F.lit("state_"), at).alias("signal"), (F.col("state") == 2).cast("double").alias("p")))
+    # the outer form adds no filter, which would repeat the whole chain of expressions
+    return p.select("dt", F.explode_outer(kinds).alias("x")).select("x.signal", "dt", F.col("x.p").alias("p_stress"))
 
 
 def _grid_days(spark, sf_dir, cells=None, signals=None):
@@ -98,7 +97,7 @@ def _grid_days(spark, sf_dir, cells=None, signals=None):
     cells = spark.createDataFrame([(run_id(*c), *c) for c in cells or CELLS], "run_id string, signal string, m double, react double")
     each = days.crossJoin(F.broadcast(cells)).join(signals or _signals(spark, sf_dir), ["signal", "dt"], "left")
     each = each.withColumn("p_stress", F.when(F.col("signal") == "vol_target", 0.0).otherwise(F.col("p_stress")))
-    got = portfolio.simulate(study.scaled(weighted, portfolio.exposure(each)))
+    got = portfolio.simulate_levels(weighted, portfolio.exposure(each))
     return study.window(got).join(F.broadcast(days.select("seq", "dt")), "seq")
 
 
@@ -111,7 +110,7 @@ def _all_days(spark, sf_dir):
     weighted, core = _base(spark, sf_dir)
     days = _days(core, spark)
     runs = [(name, "none" if signal == "vol_target" else signal, m, react) for name, signal, m, react in _CHOSEN]
-    got = portfolio.simulate(study.all_targets(weighted, days, _signals(spark, sf_dir, (0.90,)), runs, _base_exposure(spark, sf_dir)))
+    got = portfolio.filled_orders(study.all_targets(weighted, days, _signals(spark, sf_dir, (0.90,)), runs, _base_exposure(spark, sf_dir)))
     return study.window(got).join(F.broadcast(days.select("seq", "dt")), "seq")
 
 

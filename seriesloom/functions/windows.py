@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -34,16 +32,6 @@ def clip_high(x: Column, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(x, F.lit(high)))
 
 
-def ewm(x: Column, decay: float, w: WindowSpec) -> Column:
-    """v_0 = x_0, v_t = decay * v_(t-1) + (1 - decay) * x_t over the rows where x is not null, up to each row.
-
-    The fold looks back as far as double precision can tell: older terms weigh less than 1e-16.
-    """
-    reach = math.ceil(-37 / math.log(decay))
-    seen = F.collect_list(x).over(w.rowsBetween(-reach, 0))
-    return F.when(F.size(seen) > 0, F.aggregate(F.slice(seen, 2, reach + 1), F.get(seen, F.lit(0)), lambda acc, v: acc * decay + v * (1 - decay)))
-
-
 def run_length(state: str, w: WindowSpec, keys: tuple[str, ...] = ("series_id",)):
     """A function DataFrame -> DataFrame that adds island (number of the run) and run (days in it so far; null where state is null)."""
 

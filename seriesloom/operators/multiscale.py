@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.windows import by_series, clip_low, ewm, guarded, last_rows
+from ..functions.scans import with_ewm
+from ..functions.windows import by_series, clip_low, guarded, last_rows
 from . import regimes, scores
 
 #: Memories in days, the one whose stress is the common event, learning rate and discount.
@@ -31,7 +32,7 @@ def adaptive_weights(df: DataFrame, horizon: int = regimes.HORIZON, rate: float
     """
     w = by_series()
     known = F.last(F.col("late"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    mean = df.withColumn("mean", ewm(F.col("loss"), discount, w)).withColumn("late", F.lag("mean", horizon).over(w)).withColumn("known", known)
+    mean = with_ewm(df, "loss", discount, "mean").withColumn("late", F.lag("mean", horizon).over(w)).withColumn("known", known)
     day = Window.partitionBy("series", "seq")
     filled = mean.withColumn("filled", F.coalesce("known", F.avg("known").over(day)))
     raised = filled.withColumn("e", F.exp(-rate * (F.col("filled") - F.min("filled").over(day))))

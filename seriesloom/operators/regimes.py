@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import by_series, clip_low, ewm, guarded, last_rows, run_length, running
+from ..functions.scans import expanding_quantiles, with_ewm
+from ..functions.windows import by_series, clip_low, guarded, last_rows, run_length, running
 
 DECAY, LOW, HIGH, HISTORY, HORIZON, PRIOR = 0.94, 0.40, 0.90, 252, 5, 1.0
 STATES = (0, 1, 2)
@@ -14,17 +15,28 @@ FLOOR = 1e-10
 
 def volatility(returns: DataFrame, decay: float = DECAY) -> DataFrame:
     """Adds x2 (squared log return) and vol (annualised, exponentially weighted; rounded so that both sides of a threshold agree)."""
-    x2 = returns.withColumn("x2", F.pow(F.log1p("r"), 2))
-    return x2.withColumn("vol", F.round(F.sqrt(252 * ewm(F.col("x2"), decay, by_series())), 12))
+    known = with_ewm(returns.withColumn("x2", F.pow(F.log1p("r"), 2)), "x2", decay, "v")
+    return known.withColumn("vol", F.round(F.sqrt(252 * F.col("v")), 12)).drop("v")
 
 
 def states(vols: DataFrame, low: float = LOW, high: float = HIGH, history: int = HISTORY) -> DataFrame:
     """Adds low, high (quantiles of all volatility so far) and state: 2 above high, else 0 up to low, else 1; null before `history` rows."""
-    w = running(by_series())
-    q = vols.withColumn("q", F.percentile("vol", F.array(F.lit(low), F.lit(high))).over(w)).withColumn("n", F.count("vol").over(w))
-    q = q.withColumns({"low": F.when(F.col("n") >= history, F.round(F.col("q")[0], 12)), "high": F.when(F.col("n") >= history, F.round(F.col("q")[1], 12))})
-    state = F.when(F.col("n") < history, None).when(F.col("vol") > F.col("high"), 2).when(F.col("vol") <= F.col("low"), 0).otherwise(1)
-    return q.withColumn("state", state.cast("int")).drop("q", "n")
+    q = expanding_quantiles(vols, "vol", {"low": low, "high": high}, history)
+    return _classified(q.withColumns({"low": F.round("low", 12), "high": F.round("high", 12)}))
+
+
+def _classified(q: DataFrame) -> DataFrame:
+    state = F.when(F.col("low").isNull(), None).when(F.col("vol") > F.col("high"), 2).when(F.col("vol") <= F.col("low"), 0).otherwise(1)
+    return q.withColumn("state", state.cast("int"))
+
+
+def states_at(vols: DataFrame, highs: tuple[float, ...], low: float = LOW, history: int = HISTORY) -> DataFrame:
+    """states() at each of several high quantiles, from one pass: adds high_q, and series_id becomes series_id#high_q, so that every later window runs on all of them."""
+    q = expanding_quantiles(vols, "vol", {"low": low, **{f"high_{100 * h:.0f}": h for h in highs}}, history)
+    each = q.withColumn("at", F.explode_outer(F.array(*(F.struct(F.lit(h).alias("high_q"), F.lit(f"{h:.2f}").alias("name"), F.col(f"high_{100 * h:.0f}").alias("high")) for h in highs))))
+    named = each.withColumn("series_id", F.concat_ws("#", "series_id", "at.name"))
+    kept = [c for c in vols.columns if c != "series_id"]
+    return _classified(named.select("series_id", *kept, "at.high_q", F.round("low", 12).alias("low"), F.round("at.high", 12).alias("high")))
 
 
 def regimes(returns: DataFrame, **options) -> DataFrame:

@@ -25,14 +25,9 @@ def signal_days(core: DataFrame, signal: DataFrame, warm_up: int = WARM_UP) -> D
     return days.join(signal.select("dt", "p_stress"), "dt", "left").crossJoin(F.broadcast(reference)).drop("series_id", "is_end")
 
 
-def run_targets(weighted: DataFrame, days: DataFrame, runs: DataFrame) -> DataFrame:
-    """Targets of the simulator for each run (run_id, m, react): weights times that run's exposure.
-
-    days has one row a seq, or one for each run_id and seq. runs is a parameter table of few rows.
-    """
-    both = days.join(runs, "run_id") if "run_id" in days.columns else days.crossJoin(F.broadcast(runs))
-    levels = portfolio.exposure(both).select("run_id", "seq", "level", "decide")
-    return weighted.join(levels, "seq").select("run_id", "instrument", "seq", "r", (F.col("w") * F.col("level")).alias("w"), "decide")
+def run_levels(days: DataFrame, runs: DataFrame) -> DataFrame:
+    """days for each of runs (run_id, m, react), with the level of exposure: days has one row a seq, or one for each run_id and seq. runs is a parameter table of few rows."""
+    return portfolio.exposure(days.join(runs, "run_id") if "run_id" in days.columns else days.crossJoin(F.broadcast(runs)))
 
 
 def choose(table: DataFrame, keys: tuple[str, ...] = (), band: float = BAND) -> DataFrame:

@@ -17,23 +17,15 @@ MARKET, BOND, MIX = "2", "4", 0.6
 LEAST_M, MOST_M, EULER = 0.05, 3.0, 0.5772156649015329
 
 
-def window(df: DataFrame, first: int = strategies.WARM_UP) -> DataFrame:
-    """The rows of the evaluation: from seq `first` on. A missing return in it is an error, raised as it is met."""
-    inside = df.where(F.col("seq") >= first)
-    if "r" not in df.columns:
-        return inside
-    return inside.withColumn("r", F.when(F.col("r").isNull(), F.raise_error(F.lit("missing return in the evaluation window")).cast("double")).otherwise(F.col("r")))
-
+def complete(panel: DataFrame, first: int = strategies.WARM_UP) -> DataFrame:
+    """The panel, to be simulated: a missing return from seq `first` on is an error, raised as it is met."""
+    missing = F.raise_error(F.concat(F.lit("missing return in the evaluation window: "), F.col("instrument"), F.lit(", day "), F.col("seq").cast("string"))).cast("double")
+    return panel.withColumn("r", F.when(F.col("r").isNull() & (F.col("seq") >= first), missing).otherwise(F.col("r")))
 
-def levels_of(days: DataFrame, runs: DataFrame) -> DataFrame:
-    """days (with p_stress) for each of runs (run_id, m, react), with the level of exposure."""
-    both = days.join(runs, "run_id") if "run_id" in days.columns else days.crossJoin(F.broadcast(runs))
-    return portfolio.exposure(both)
 
-
-def scaled(weighted: DataFrame, levels: DataFrame) -> DataFrame:
-    """Targets: weights times the run's level of the day."""
-    return weighted.join(levels.select("run_id", "seq", "level", "decide"), "seq").select("run_id", "instrument", "seq", "r", (F.col("w") * F.col("level")).alias("w"), "decide")
+def window(df: DataFrame, first: int = strategies.WARM_UP) -> DataFrame:
+    """The rows of the evaluation: from seq `first` on."""
+    return df.where(F.col("seq") >= first)
 
 
 def all_targets(weighted: DataFrame, days: DataFrame, signals: DataFrame, runs: list[tuple[str, str, float, float]], constant: float, first: int = strategies.WARM_UP, n: int = portfolio.TREND_DAYS) -> DataFrame:
@@ -51,11 +43,12 @@ def all_targets(weighted: DataFrame, days: DataFrame, signals: DataFrame, runs:
     levels = portfolio.exposure(each.withColumn("p_stress", F.when(F.col("signal") == "none", 0.0).otherwise(F.col("p_stress"))))
     order = F.when(F.col("run_id") == "market", F.col("seq") == first).when(F.col("run_id") == "60_40", F.col("month_end")).otherwise(F.col("decide"))
     levels = levels.select("run_id", "seq", F.coalesce("fixed", "level").alias("level"), order.alias("decide"))
-    trended = portfolio.trend(weighted.withColumnRenamed("instrument", "series_id"), n).withColumnRenamed("series_id", "instrument")
-    share = F.when(F.col("instrument") == MARKET, MIX).when(F.col("instrument") == BOND, 1 - MIX).otherwise(0.0)
-    weight = F.when(F.col("run_id") == "market", (F.col("instrument") == MARKET).cast("double")).when(F.col("run_id") == "60_40", share)
-    weight = weight.when(F.col("run_id") == "trend", F.col("w") * F.col("above")).otherwise(F.col("w") * F.col("level"))
-    return trended.join(levels, "seq").select("run_id", "instrument", "seq", "r", weight.alias("w"), "decide")
+    rows = portfolio.day_table(weighted, n).join(levels, "seq")
+    scaled = F.transform("w", lambda x: x * F.col("level"))
+    rule = lambda f: F.transform("names", f)
+    target = F.when(F.col("run_id") == "market", rule(lambda x: (x == MARKET).cast("double"))).when(F.col("run_id") == "60_40", rule(lambda x: F.when(x == MARKET, MIX).when(x == BOND, 1 - MIX).otherwise(0.0)))
+    target = target.when(F.col("run_id") == "trend", F.zip_with("w", "above", lambda w, up: w * up)).otherwise(scaled)
+    return rows.select("run_id", "seq", target.alias("target"), "decide", "g", "g0")
 
 
 def equal_exposure(weighted: DataFrame, days: DataFrame, target: float, first: int = strategies.WARM_UP, parts: int = 32, rounds: int = 8) -> float:
@@ -70,7 +63,7 @@ def equal_exposure(weighted: DataFrame, days: DataFrame, target: float, first: i
         step = (high - low) / (parts + 1)
         tried = [low + step * (i + 1) for i in range(parts)]
         runs = spark.createDataFrame([(f"m{i:03d}", m, 0.0) for i, m in enumerate(tried)], "run_id string, m double, react double")
-        means = window(portfolio.simulate_levels(weighted, levels_of(flat, runs)), first).groupBy("run_id").agg(F.avg("exposure").alias("mean"))
+        means = window(portfolio.simulate_levels(weighted, strategies.run_levels(flat, runs)), first).groupBy("run_id").agg(F.avg("exposure").alias("mean"))
         below = sum(r["mean"] <= target for r in means.collect())
         low, high = low + step * below, low + step * (below + 1)
     weighted.unpersist()

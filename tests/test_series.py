@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.functions.windows import by_series, clip_high, clip_low, ewm
+from seriesloom.functions.scans import with_ewm
+from seriesloom.functions.windows import clip_high, clip_low
 from seriesloom.operators import chains, portfolio, regimes
 
 
@@ -31,7 +32,7 @@ def test_constant_returns_give_constant_volatility(spark):
 
 def test_fold_equals_recursion_and_skips_nulls(spark):
     x = [None, 1.0, 4.0, None, 9.0]
-    got = column(series(spark, x).withColumn("v", ewm(F.col("r"), 0.9, by_series())), "v")
+    got = column(with_ewm(series(spark, x), "r", 0.9, "v"), "v")
     assert got == pytest.approx([None, 1.0, 1.3, 1.3, 2.07])
 
 

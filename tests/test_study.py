@@ -1,20 +1,21 @@
 """The side-by-side simulator, the bootstrap by blocks, selection by years, verdicts, and results that are written once."""
 
 import datetime
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.operators import inference, portfolio, study
+from seriesloom.operators import inference, portfolio, strategies, study
 from seriesloom.sources import results
 
 
-def panel(spark, days=160, seed=1):
-    rng = np.random.default_rng(seed)
-    r = rng.normal(0.0004, [0.005, 0.01, 0.02], (days, 3))
+def panel(spark, days=160):
+    """Three instruments whose returns are waves of different length, and equal weights from day 6 on."""
     first = datetime.date(2010, 1, 4)
-    return spark.createDataFrame([(str(i + 1), t, first + datetime.timedelta(t), float(r[t, i]), 1 / 3 if t > 5 else None) for t in range(days) for i in range(3)], "instrument string, seq int, dt date, r double, w double")
+    move = lambda i, t: 0.001 * (i + 1) * math.sin(t * (1.7 + i)) + 0.0002 * ((t * 7 + i) % 5 - 2)
+    return spark.createDataFrame([(str(i + 1), t, first + datetime.timedelta(t), move(i, t), 1 / 3 if t > 5 else None) for t in range(days) for i in range(3)], "instrument string, seq int, dt date, r double, w double")
 
 
 def levels(spark, days=160):
@@ -22,9 +23,10 @@ def levels(spark, days=160):
     return spark.createDataFrame(rows, "run_id string, seq int, level double, decide boolean")
 
 
-def test_side_by_side_equals_windows(spark):
+def test_levels_simulate_as_targets_do(spark):
     p, lv = panel(spark), levels(spark)
-    one = portfolio.simulate(study.scaled(p, lv)).toPandas().sort_values(["run_id", "seq"]).reset_index(drop=True)
+    scaled = p.join(lv, "seq").select("run_id", "instrument", "seq", "r", (F.col("w") * F.col("level")).alias("w"), "decide")
+    one = portfolio.simulate(scaled).toPandas().sort_values(["run_id", "seq"]).reset_index(drop=True)
     two = portfolio.simulate_levels(p, lv).toPandas().sort_values(["run_id", "seq"]).reset_index(drop=True)
     assert len(one) == len(two) == 800
     for c in ("ret", "turnover", "exposure"):
@@ -36,7 +38,7 @@ def test_equal_exposure_meets_its_target(spark):
     days = spark.createDataFrame([(t, 0.1, 0.1 + 0.0005 * t, t % 5 == 0 and t > 10) for t in range(160)], "seq int, reference double, core_vol double, decide boolean")
     m = study.equal_exposure(p, days, 0.4, first=20, parts=8, rounds=6)
     runs = spark.createDataFrame([("x", m, 0.0)], "run_id string, m double, react double")
-    got = study.window(portfolio.simulate_levels(p, study.levels_of(days.withColumn("p_stress", F.lit(0.0)), runs)), 20).agg(F.avg("exposure")).first()[0]
+    got = study.window(portfolio.simulate_levels(p, strategies.run_levels(days.withColumn("p_stress", F.lit(0.0)), runs)), 20).agg(F.avg("exposure")).first()[0]
     assert got == pytest.approx(0.4, abs=1e-4)
 
 
@@ -57,11 +59,19 @@ def test_power_grows_with_the_difference(spark):
     assert got[2.0]["power"] > 0.9 and got[0.0]["power"] < 0.5 and got[2.0]["share_positive"] == 1.0
 
 
-def test_missing_return_in_the_window_is_an_error(spark):
-    df = spark.createDataFrame([(0, None), (1, 0.1), (2, None)], "seq int, r double")
-    assert study.window(df.where("seq < 2"), 1).count() == 1
+def test_missing_return_in_the_window_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([("1", 0, None), ("1", 1, 0.1), ("1", 2, None)], "instrument string, seq int, r double")
+    assert study.complete(df.where("seq < 2"), 1).count() == 2
     with pytest.raises(Exception, match="missing return"):
-        study.window(df, 1).collect()
+        study.complete(df, 1).collect()
+    # and in a registered query
+    from seriesloom import catalogue
+    from seriesloom.sources import tables
+
+    whole = tables.panel
+    monkeypatch.setattr(tables, "panel", lambda *a: whole(*a).withColumn("r", F.when((F.col("seq") != 600) | (F.col("instrument") != "3"), F.col("r"))))
+    with pytest.raises(Exception, match="missing return in the evaluation window: 3, day 600"):
+        catalogue.QUERIES["full_grid"](spark, "/root/testdata/sf0.001").collect()
 
 
 def test_expected_maximum_and_verdicts(spark):
