@@ -451,17 +451,56 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- further forecasts; recursions and fits that SQL doesn't express are held against plain versions in tests
 
 
-@query()
+def scales_sql(kind: str, high: float = regimes.HIGH, rate: float = multiscale.RATE, discount: float = multiscale.DISCOUNT) -> str:
+    """A query (seq, dt, value, w5, w15, w42) of the scales' combined forecasts: kind is stress or variance."""
+    source, value = (STRESS, "p_stress") if kind == "stress" else (LOSSES, "f_chain")
+    each = lambda n: f"SELECT seq, dt, state, {value} AS p, {'NULL' if kind == 'stress' else 'future_x2'} AS realised FROM (WITH RECURSIVE {source.replace('0.94::DOUBLE', f'{1 - 2 / (n + 1)!r}::DOUBLE').replace('quantile_cont(vol, 0.9)', f'quantile_cont(vol, {high})')} SELECT * FROM {'ps' if kind == 'stress' else 'ff'})"
+    clipped = "greatest(least(p, 0.99::DOUBLE), 0.01::DOUBLE)"
+    loss = f"-(y * ln({clipped}) + (1 - y) * ln(1 - {clipped}))" if kind == "stress" else "CASE WHEN realised > 0 THEN realised / p - ln(realised / p) - 1 END"
+    scales = multiscale.MEMORIES
+    return f"""(WITH RECURSIVE {", ".join(f"sc{n} AS MATERIALIZED ({each(n)})" for n in scales)}, sc AS ({" UNION ALL ".join(f"SELECT {n} AS scale, * FROM sc{n}" for n in scales)}),
+ ev AS (SELECT seq, CASE WHEN lead(state, 5) OVER (ORDER BY seq) IS NOT NULL THEN (lead(state, 5) OVER (ORDER BY seq) = 2)::INT::DOUBLE END AS y FROM sc{multiscale.COMMON}),
+ ls AS MATERIALIZED (SELECT scale, seq, dt, p, {loss} AS loss FROM sc JOIN ev USING (seq)), kn AS (SELECT scale, seq, loss, row_number() OVER (PARTITION BY scale ORDER BY seq) - 1 AS k FROM ls WHERE loss IS NOT NULL),
+ em AS (SELECT scale, seq, k, loss AS m FROM kn WHERE k = 0 UNION ALL SELECT kn.scale, kn.seq, kn.k, {discount}::DOUBLE * em.m + (1 - {discount}::DOUBLE) * kn.loss FROM em JOIN kn ON kn.scale = em.scale AND kn.k = em.k + 1),
+ mm AS (SELECT ls.*, last_value(m IGNORE NULLS) OVER (PARTITION BY ls.scale ORDER BY ls.seq) AS mean FROM ls LEFT JOIN em ON em.scale = ls.scale AND em.seq = ls.seq),
+ lt AS (SELECT *, lag(mean, 5) OVER (PARTITION BY scale ORDER BY seq) AS late FROM mm), ff AS (SELECT *, last_value(late IGNORE NULLS) OVER (PARTITION BY scale ORDER BY seq) AS late_known FROM lt),
+ fl AS (SELECT *, coalesce(late_known, avg(late_known) OVER (PARTITION BY seq)) AS filled FROM ff), ex AS (SELECT *, exp(-{rate}::DOUBLE * (filled - min(filled) OVER (PARTITION BY seq))) AS e FROM fl),
+ wg AS (SELECT *, coalesce(e / sum(e) OVER (PARTITION BY seq), 1 / {len(scales)}::DOUBLE) AS weight FROM ex)
+ SELECT seq, dt, CASE WHEN count(p) = {len(scales)} THEN sum(p * weight) END AS value, {", ".join(f"max(weight) FILTER (scale = {n}) AS w{n}" for n in scales)} FROM wg GROUP BY seq, dt)"""
+
+
+_SCALE_WEIGHTS = ", ".join(r(f"w{n}") for n in multiscale.MEMORIES)
+
+
+@query(f"SELECT dt, {r('value', 'p_stress')}, {_SCALE_WEIGHTS} FROM {scales_sql('stress')}")
 def multiscale_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(multiscale.stress_probability(tables.market(spark, sf_dir)), "dt", "p_stress", "w5", "w15", "w42")
 
 
-@query()
+@query(f"SELECT dt, {r('value * 1e4', 'f_multi')}, {_SCALE_WEIGHTS} FROM {scales_sql('variance')}")
 def multiscale_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(multiscale.variance(tables.market(spark, sf_dir)).withColumn("f_multi", F.col("f_multi") * 1e4), "dt", "f_multi", "w5", "w15", "w42")
 
 
-@query()
+def _har_sql() -> str:
+    """CTEs up to har (seq, dt, f): normal equations as running sums, solved by elimination."""
+    h = [f"h{i}" for i in range(4)]
+    past = "OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING)"
+    sums = [f"sum(CASE WHEN whole THEN h{i} * h{j} ELSE 0 END) {past} AS a0_{i}_{j}" for i in range(4) for j in range(4)] + [f"sum(CASE WHEN whole THEN h{i} * label * 1e4 ELSE 0 END) {past} AS b0_{i}" for i in range(4)]
+    parts = [f"""hx AS (SELECT seq, dt, x2, CASE WHEN count(x2) {W5} = 5 THEN avg(x2) {W5} END AS label, 1::DOUBLE AS h0, x2 * 1e4 AS h1,
+ {", ".join(f"CASE WHEN count(x2) OVER (ORDER BY seq ROWS {n - 1} PRECEDING) = {n} THEN avg(x2) OVER (ORDER BY seq ROWS {n - 1} PRECEDING) * 1e4 END AS h{i}" for i, n in ((2, 5), (3, 22)))} FROM base)""",
+        f"hw AS (SELECT *, label IS NOT NULL AND h3 IS NOT NULL AS whole FROM hx)", f"e0 AS (SELECT *, count(*) FILTER (whole) {past} AS n, {', '.join(sums)} FROM hw)"]
+    for k in range(3):
+        rest = [f"a{k}_{i}_{j} - a{k}_{i}_{k} / a{k}_{k}_{k} * a{k}_{k}_{j} AS a{k + 1}_{i}_{j}" for i in range(k + 1, 4) for j in range(k + 1, 4)]
+        parts.append(f"e{k + 1} AS (SELECT *, {', '.join(rest + [f'b{k}_{i} - a{k}_{i}_{k} / a{k}_{k}_{k} * b{k}_{k} AS b{k + 1}_{i}' for i in range(k + 1, 4)])} FROM e{k})")
+    for k in reversed(range(4)):
+        parts.append(f"s{k} AS (SELECT *, (b{k}_{k}{''.join(f' - a{k}_{k}_{j} * x_{j}' for j in range(k + 1, 4))}) / a{k}_{k}_{k} AS x_{k} FROM {'e3' if k == 3 else f's{k + 1}'})")
+    whole = " * ".join(f"(a{k}_{k}_{k} / a0_{k}_{k})" for k in range(4))
+    parts.append(f"har AS (SELECT seq, dt, CASE WHEN n >= 250 AND abs({whole}) > 1e-14 AND h3 IS NOT NULL THEN greatest(({' + '.join(f'x_{i} * {c}' for i, c in enumerate(h))}) / 1e4, 1e-10) END AS f FROM s0)")
+    return ", ".join(parts)
+
+
+@query(f"WITH {RETURNS}, {_har_sql()} SELECT dt, {r('f * 1e4', 'f_har')} FROM har")
 def har_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(multiscale.har(regimes.volatility(tables.market(spark, sf_dir))).withColumn("f_har", F.col("f_har") * 1e4), "dt", "f_har")
 
@@ -491,4 +530,4 @@ def bond_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bonds.bond_returns(y).select("dt", F.round("r", 7).alias("r"))
 
 
-from . import catalogue_study  # noqa: E402, F401  adds its queries to the two tables above
+from . import catalogue_forecasts, catalogue_study  # noqa: E402, F401  add their queries to the two tables above

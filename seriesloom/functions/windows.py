@@ -32,6 +32,12 @@ def clip_high(x: Column, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(x, F.lit(high)))
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """df with columns that are computed once: filters on them aren't pushed below this point, where each would repeat the chain of expressions behind them."""
+    once = df.withColumn("settled", F.explode_outer(F.array(F.struct(*columns))))
+    return once.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), *(F.col(f"settled.{c}").alias(c) for c in columns))
+
+
 def run_length(state: str, w: WindowSpec, keys: tuple[str, ...] = ("series_id",)):
     """A function DataFrame -> DataFrame that adds island (number of the run) and run (days in it so far; null where state is null)."""
 

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import functools
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from ..functions.linear import with_solution
 from ..functions.scans import with_ewm
 from ..functions.windows import by_series, clip_low, guarded, last_rows
 from . import regimes, scores
@@ -39,37 +37,42 @@ def adaptive_weights(df: DataFrame, horizon: int = regimes.HORIZON, rate: float
     return raised.withColumn("weight", F.coalesce(F.col("e") / F.sum("e").over(day), 1 / F.count(F.lit(1)).over(day))).drop("mean", "late", "known", "filled", "e")
 
 
+def reweighted(df: DataFrame, rates: tuple[float, ...], discounts: tuple[float, ...], horizon: int = regimes.HORIZON) -> DataFrame:
+    """adaptive_weights() for each pair of learning rate and discount: adds rate, discount and weight."""
+    parts = []
+    for discount in discounts:
+        for rate in rates:
+            parts.append(adaptive_weights(df, horizon, rate, discount).withColumns({"rate": F.lit(rate), "discount": F.lit(discount)}))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _combined(weighted: DataFrame, value: str, name: str) -> DataFrame:
     all_known = F.count(value) == F.count(F.lit(1))
     sums = weighted.groupBy(F.col("series").alias("series_id"), "seq", "dt").agg(F.when(all_known, F.sum(F.col(value) * F.col("weight"))).alias(name), *(F.max(F.when(F.col("scale") == n, F.col("weight"))).alias(f"w{n}") for n in MEMORIES))
     return sums
 
 
-def stress_probability(returns: DataFrame, horizon: int = regimes.HORIZON, **options) -> DataFrame:
-    """(series_id, seq, dt, p_stress, w5, w15, w42): the scales' probabilities, weighted by log scores on stress of the common scale."""
+def stress_losses(returns: DataFrame, horizon: int = regimes.HORIZON, **options) -> DataFrame:
+    """Each scale's p_stress and its log score on stress of the common scale `horizon` rows ahead, y."""
     p = regimes.stress_probability(per_scale(returns, **options), horizon).withColumn("ahead", F.lead("state", horizon).over(by_series()))
     event = F.max(F.when(F.col("scale") == COMMON, (F.col("ahead") == 2).cast("double"))).over(Window.partitionBy("series", "seq"))
-    return _combined(adaptive_weights(p.withColumn("loss", scores.log_score(F.col("p_stress"), event)), horizon), "p_stress", "p_stress")
+    return p.withColumn("y", event).withColumn("loss", scores.log_score(F.col("p_stress"), F.col("y")))
 
 
-def variance(returns: DataFrame, horizon: int = regimes.HORIZON, **options) -> DataFrame:
-    """(series_id, seq, dt, f_multi, w5, w15, w42): the scales' variance forecasts, weighted by their QLIKE losses."""
+def stress_probability(returns: DataFrame, horizon: int = regimes.HORIZON, **options) -> DataFrame:
+    """(series_id, seq, dt, p_stress, w5, w15, w42): the scales' probabilities, weighted by their log scores."""
+    return _combined(adaptive_weights(stress_losses(returns, horizon, **options), horizon), "p_stress", "p_stress")
+
+
+def variance_losses(returns: DataFrame, horizon: int = regimes.HORIZON, **options) -> DataFrame:
+    """Each scale's f_chain and its QLIKE loss."""
     f = regimes.future_variance(regimes.chain_variance(regimes.conditional_variance(per_scale(returns, **options)), horizon), horizon)
-    return _combined(adaptive_weights(f.withColumn("loss", scores.qlike(F.col("future_x2"), F.col("f_chain"))), horizon), "f_chain", "f_multi")
+    return f.withColumn("loss", scores.qlike(F.col("future_x2"), F.col("f_chain")))
 
 
-@F.pandas_udf(DoubleType())
-def _solved(sums: pd.Series, now: pd.Series) -> pd.Series:
-    """Fitted value of each row from its 4 x 4 normal equations (16 sums, then 4); null where they are singular."""
-    out = np.full(len(sums), np.nan)
-    known = np.flatnonzero((sums.notna() & now.notna()).to_numpy())
-    if len(known):
-        flat = np.stack(sums.iloc[known].to_list()).astype(float)
-        left, right, here = flat[:, :16].reshape(-1, 4, 4), flat[:, 16:], np.stack(now.iloc[known].to_list()).astype(float)
-        # singular by its scale: the product of the diagonal bounds the determinant
-        whole = np.abs(np.linalg.det(left)) > 1e-14 * np.prod(np.diagonal(left, axis1=1, axis2=2), axis=1)
-        out[known[whole]] = (np.linalg.solve(left[whole], right[whole][:, :, None])[:, :, 0] * here[whole]).sum(axis=1)
-    return pd.Series(out).astype(object).where(~np.isnan(out), None)
+def variance(returns: DataFrame, horizon: int = regimes.HORIZON, **options) -> DataFrame:
+    """(series_id, seq, dt, f_multi, w5, w15, w42): the scales' variance forecasts, weighted by their QLIKE losses."""
+    return _combined(adaptive_weights(variance_losses(returns, horizon, **options), horizon), "f_chain", "f_multi")
 
 
 def har(vols: DataFrame, horizon: int = regimes.HORIZON, least: int = 250) -> DataFrame:
@@ -83,7 +86,10 @@ def har(vols: DataFrame, horizon: int = regimes.HORIZON, least: int = 250) -> Da
         whole = whole & F.col(c).isNotNull()
     past = w.rowsBetween(Window.unboundedPreceding, -horizon)
     total = lambda v: F.sum(F.when(whole, v).otherwise(0.0)).over(past)
-    sums = F.array(*(total(F.col(a) * F.col(b)) for a in names for b in names), *(total(F.col(a) * F.col("future_x2") * scale) for a in names))
     n = F.count(F.when(whole, 1)).over(past)
-    ready = x.withColumns({"sums": F.when(n >= least, sums), "now": F.when(F.col("h3").isNotNull(), F.array(*names))})
-    return ready.withColumn("f_har", clip_low(_solved("sums", "now") / scale, regimes.FLOOR)).drop("sums", "now", *names)
+    sums = {f"a{i}{j}": total(F.col(names[i]) * F.col(names[j])) for i in range(4) for j in range(i, 4)} | {f"b{i}": total(F.col(names[i]) * F.col("future_x2") * scale) for i in range(4)}
+    ready = x.withColumns({"n": n, **sums})
+    ready = ready.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in sums})
+    fitted = with_solution(ready, 4, "a", "b", "beta")
+    forecast = sum((F.col(f"beta{i}") * F.col(c) for i, c in enumerate(names)), F.lit(0.0)) / scale
+    return fitted.withColumn("f_har", clip_low(forecast, regimes.FLOOR)).drop("n", *sums, *(f"beta{i}" for i in range(4)), *names)

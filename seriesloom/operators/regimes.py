@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scans import expanding_quantiles, with_ewm
-from ..functions.windows import by_series, clip_low, guarded, last_rows, run_length, running
+from ..functions.windows import by_series, clip_low, guarded, last_rows, run_length, running, settled
 
 DECAY, LOW, HIGH, HISTORY, HORIZON, PRIOR = 0.94, 0.40, 0.90, 252, 5, 1.0
 STATES = (0, 1, 2)
@@ -76,7 +76,7 @@ def stress_probability(matrices: DataFrame, horizon: int = HORIZON) -> DataFrame
     ahead = _first_step(matrices)
     for _ in range(horizon - 1):
         ahead = _next_step(ahead)
-    return ahead.withColumn("p_stress", F.col("h2")).drop("h0", "h1", "h2")
+    return settled(ahead.withColumn("p_stress", F.col("h2")).drop("h0", "h1", "h2"), "p_stress")
 
 
 def conditional_variance(df: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def chain_variance(df: DataFrame, horizon: int = HORIZON, floor: float = FLOOR)
     out = _first_step(df).withColumn("acc", dot())
     for _ in range(horizon - 1):
         out = _next_step(out).withColumn("acc", F.col("acc") + dot())
-    return out.withColumn("f_chain", clip_low(F.col("acc") / horizon, floor)).drop("acc", "h0", "h1", "h2")
+    return settled(out.withColumn("f_chain", clip_low(F.col("acc") / horizon, floor)).drop("acc", "h0", "h1", "h2"), "f_chain")
 
 
 def future_variance(df: DataFrame, horizon: int = HORIZON) -> DataFrame:
