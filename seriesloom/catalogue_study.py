@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import CORE_VOL, DIGITS, ORACLE_SQL, PANEL, STRESS, WEIGHTS, _MEASURES, _metrics_sql, _out, query, r
+from .catalogue import CORE_VOL, DIGITS, ORACLE_SQL, PANEL, STRESS, WEIGHTS, _MEASURES, _metrics_sql, _out, query, r, scales_sql
 from .functions.normal import normal_cdf
 from .functions.windows import by_series
 from .operators import inference, multiscale, portfolio, regimes, strategies, study
@@ -15,7 +15,7 @@ from .sources import tables
 
 HIGHS, VOL_MULTIPLIERS = (0.80, 0.90), (0.8, 1.0, 1.2)
 FIRST, SPLIT, YEARS, TRIALS = strategies.WARM_UP, date(1999, 7, 1), (1998, 2001), 60
-CELLS = [(f"{s}_{q:.2f}", m, react) for s in ("base", "state") for q in HIGHS for m in strategies.MULTIPLIERS for react in strategies.REACTIONS]
+CELLS = [(f"{s}_{q:.2f}", m, react) for s in ("base", "state", "multi") for q in HIGHS for m in strategies.MULTIPLIERS for react in strategies.REACTIONS]
 CELLS += [("vol_target", m, 0.0) for m in VOL_MULTIPLIERS]
 _K = range(1, 6)
 
@@ -44,10 +44,11 @@ def _signal_sql(high: float) -> str:
     return f"SELECT dt, p_stress, CASE WHEN state IS NOT NULL THEN (state = 2)::INT::DOUBLE END AS stays FROM (WITH RECURSIVE {STRESS.replace('quantile_cont(vol, 0.9)', f'quantile_cont(vol, {high})')} SELECT dt, state, p_stress FROM ps)"
 
 
-DAYS = f"""{CORE_VOL}, reference AS (SELECT median(core_vol) AS reference FROM core WHERE seq BETWEEN 59 AND 503), {", ".join(f"sg{round(q * 100)} AS MATERIALIZED ({_signal_sql(q)})" for q in HIGHS)},
+DAYS = f"""{CORE_VOL}, reference AS (SELECT median(core_vol) AS reference FROM core WHERE seq BETWEEN 59 AND 503), {", ".join(f"sg{round(q * 100)} AS MATERIALIZED ({_signal_sql(q)}), sm{round(q * 100)} AS MATERIALIZED {scales_sql('stress', q)}" for q in HIGHS)},
  dy AS (SELECT seq, dt, core_vol, reference, coalesce(date_trunc('week', dt) <> lead(date_trunc('week', dt)) OVER (ORDER BY seq), false) AND seq >= {FIRST} AS week_end,
  coalesce(date_trunc('month', dt) <> lead(date_trunc('month', dt)) OVER (ORDER BY seq), false) AND seq >= {FIRST} AS month_end FROM core, reference)"""
 _SIGNALS = " UNION ALL ".join(f"SELECT '{name}_{q:.2f}' AS signal, dt, {column} AS p FROM sg{round(q * 100)}" for q in HIGHS for name, column in (("base", "p_stress"), ("state", "stays")))
+_SIGNALS += "".join(f" UNION ALL SELECT 'multi_{q:.2f}', dt, value FROM sm{round(q * 100)}" for q in HIGHS)
 
 
 def _level_targets(cells: list[tuple[str, str, float, float]]) -> str:
@@ -58,12 +59,31 @@ def _level_targets(cells: list[tuple[str, str, float, float]]) -> str:
 
 
 _GRID = f"""{DAYS}, tg AS ({_level_targets([(run_id(*c), *c) for c in CELLS])}), {_wide("runs", "tg")}, {_simulated("sim", "runs")}, win AS (SELECT * FROM sim WHERE seq >= {FIRST})"""
-_CHOSEN = [("base", "base_0.90", 0.8, 0.25), ("state", "state_0.90", 0.8, 0.25), ("vol_target", "vol_target", 0.8, 0.0)]
+_CHOSEN = [("base", "base_0.90", 0.8, 0.25), ("state", "state_0.90", 0.8, 0.25), ("multi", "multi_0.90", 0.8, 0.25), ("vol_target", "vol_target", 0.8, 0.0)]
+#: The strategy whose mean exposure sets that of the constant level and of the equal volatility target.
+MAIN = "multi"
+_PARTS, _ROUNDS = 32, 5
+
+
+def _equal_sql(source: str) -> str:
+    """CTEs up to eq (strategy, m, target): multipliers by narrowing brackets, each round a recursion over days for all multipliers tried."""
+    parts = [f"br0 AS (SELECT strategy, target, {study.LEAST_M}::DOUBLE AS low, {study.MOST_M}::DOUBLE AS high, NULL::DOUBLE AS under, NULL::DOUBLE AS over FROM {source})"]
+    for k in range(1, _ROUNDS + 1):
+        parts.append(f"""tr{k} AS MATERIALIZED (SELECT strategy, strategy || '#' || i AS run_id, low + (high - low) / {_PARTS + 1} * i AS m FROM br{k - 1}, range(1, {_PARTS + 1}) t(i)),
+ te{k} AS (SELECT run_id, instrument, dy.seq, dy.dt, r, w * least(m * reference / core_vol, 1) AS w, week_end AS ord FROM dy JOIN wt USING (seq), tr{k}), {_wide(f"rune{k}", f"te{k}")}, {_simulated(f"sime{k}", f"rune{k}")},
+ ex{k} AS MATERIALIZED (SELECT strategy, avg(exposure) AS mean FROM sime{k} JOIN tr{k} USING (run_id) WHERE seq >= {FIRST} GROUP BY strategy, run_id),
+ fo{k} AS MATERIALIZED (SELECT strategy, count(*) FILTER (mean <= target) AS n, max(mean) FILTER (mean <= target) AS u, min(mean) FILTER (mean > target) AS o FROM ex{k} JOIN br{k - 1} USING (strategy) GROUP BY 1),
+ br{k} AS MATERIALIZED (SELECT strategy, target, low + (high - low) / {_PARTS + 1} * n AS low, low + (high - low) / {_PARTS + 1} * (n + 1) AS high, coalesce(u, under) AS under, coalesce(o, over) AS over FROM br{k - 1} JOIN fo{k} USING (strategy))""")
+    return ", ".join(parts) + f", eq AS MATERIALIZED (SELECT strategy, low + (high - low) * coalesce((target - under) / (over - under), 0.5) AS m, target FROM br{_ROUNDS})"
+
+
 _TREND = f"""tr AS (SELECT instrument, seq, CASE WHEN price > mean THEN 1 WHEN mean IS NOT NULL THEN 0 END AS above FROM (SELECT *, CASE WHEN count(price) OVER w = 200 THEN avg(price) OVER w END AS mean
  FROM (SELECT instrument, seq, product(1 + r) OVER (PARTITION BY instrument ORDER BY seq ROWS UNBOUNDED PRECEDING) AS price FROM panel) WINDOW w AS (PARTITION BY instrument ORDER BY seq ROWS 199 PRECEDING)))"""
-_ALL = f"""{DAYS}, {_TREND}, sig AS MATERIALIZED ({_level_targets(_CHOSEN)}), {_wide("runs0", "(SELECT * FROM sig WHERE run_id = 'base')")}, {_simulated("sim0", "runs0")},
- mean AS (SELECT avg(exposure) AS mean FROM sim0 WHERE seq >= {FIRST}),
- tg AS (SELECT * FROM sig UNION ALL SELECT 'constant', instrument, dy.seq, dy.dt, r, w * mean, week_end FROM dy JOIN wt USING (seq), mean UNION ALL SELECT 'static', instrument, dy.seq, dy.dt, r, w, week_end FROM dy JOIN wt USING (seq)
+_MEANS = f"""sig AS MATERIALIZED ({_level_targets(_CHOSEN)}), {_wide("runs0", "(SELECT * FROM sig WHERE run_id <> 'vol_target')")}, {_simulated("sim0", "runs0")},
+ mean AS MATERIALIZED (SELECT run_id AS strategy, avg(exposure) AS target FROM sim0 WHERE seq >= {FIRST} GROUP BY 1)"""
+_ALL = f"""{DAYS}, {_TREND}, {_MEANS}, main AS (SELECT * FROM mean WHERE strategy = '{MAIN}'), {_equal_sql("main")},
+ tg AS (SELECT * FROM sig UNION ALL SELECT 'constant', instrument, dy.seq, dy.dt, r, w * target, week_end FROM dy JOIN wt USING (seq), main UNION ALL SELECT 'static', instrument, dy.seq, dy.dt, r, w, week_end FROM dy JOIN wt USING (seq)
+ UNION ALL SELECT 'vol_target_equal', instrument, dy.seq, dy.dt, r, w * least(m * reference / core_vol, 1), week_end FROM dy JOIN wt USING (seq), eq
  UNION ALL SELECT 'trend', wt.instrument, dy.seq, dy.dt, r, w * above, week_end FROM dy JOIN wt USING (seq) JOIN tr ON tr.seq = wt.seq AND tr.instrument = wt.instrument
  UNION ALL SELECT 'market', instrument, dy.seq, dy.dt, r, (instrument = '2')::INT::DOUBLE, dy.seq = {FIRST} FROM dy JOIN wt USING (seq)
  UNION ALL SELECT '60_40', instrument, dy.seq, dy.dt, r, CASE instrument WHEN '2' THEN 0.6::DOUBLE WHEN '4' THEN 1 - 0.6::DOUBLE ELSE 0 END, month_end FROM dy JOIN wt USING (seq)),
@@ -81,13 +101,15 @@ def _days(core, spark):
 
 
 def _signals(spark, sf_dir, highs=HIGHS):
-    """(signal, dt, p_stress): the chain's chance of stress and the indicator of today's state, at each high quantile."""
-    states = regimes.states_at(regimes.volatility(tables.market(spark, sf_dir)), highs)
+    """(signal, dt, p_stress): the chain's chance of stress, the indicator of today's state and the scales' combined chance, at each high quantile."""
+    market = tables.market(spark, sf_dir)
+    scales = multiscale.stress_probability(market, highs=highs).select(F.concat(F.lit("multi_"), F.substring_index("series_id", "#", -1)).alias("signal"), "dt", "p_stress")
+    states = regimes.states_at(regimes.volatility(market), highs)
     p = regimes.stress_probability(regimes.transition_matrix(regimes.transition_counts(states)))
     at = F.format_string("%.2f", "high_q")
     kinds = F.array(F.struct(F.concat(F.lit("base_"), at).alias("signal"), F.col("p_stress").alias("p")), F.struct(F.concat(F.lit("state_"), at).alias("signal"), (F.col("state") == 2).cast("double").alias("p")))
     # the outer form adds no filter, which would repeat the whole chain of expressions
-    return p.select("dt", F.explode_outer(kinds).alias("x")).select("x.signal", "dt", F.col("x.p").alias("p_stress"))
+    return p.select("dt", F.explode_outer(kinds).alias("x")).select("x.signal", "dt", F.col("x.p").alias("p_stress")).unionByName(scales)
 
 
 def _grid_days(spark, sf_dir, cells=None, signals=None):
@@ -101,16 +123,22 @@ def _grid_days(spark, sf_dir, cells=None, signals=None):
     return study.window(got).join(F.broadcast(days.select("seq", "dt")), "seq")
 
 
-def _base_exposure(spark, sf_dir) -> float:
-    """Mean exposure of the base run in the evaluation: one number."""
-    return _grid_days(spark, sf_dir, [_CHOSEN[0][1:]]).agg(F.avg("exposure").alias("x")).first()["x"]
+def _mean_exposures(weighted, days, signals, names):
+    """(strategy, target): mean exposures in the evaluation of the named strategies."""
+    spark = weighted.sparkSession
+    runs = spark.createDataFrame([x for x in _CHOSEN if x[0] in names], "run_id string, signal string, m double, react double")
+    each = days.crossJoin(F.broadcast(runs)).join(signals, ["signal", "dt"], "left")
+    got = study.window(portfolio.simulate_levels(weighted, portfolio.exposure(each)))
+    return got.groupBy(F.col("run_id").alias("strategy")).agg(F.avg("exposure").alias("target"))
 
 
 def _all_days(spark, sf_dir):
+    """Simulated days of all strategies in the evaluation window."""
     weighted, core = _base(spark, sf_dir)
-    days = _days(core, spark)
+    days, signals = _days(core, spark), _signals(spark, sf_dir, (0.90,))
+    equal = study.equal_exposures(weighted, days, _mean_exposures(weighted, days, signals, (MAIN,)))
     runs = [(name, "none" if signal == "vol_target" else signal, m, react) for name, signal, m, react in _CHOSEN]
-    got = portfolio.filled_orders(study.all_targets(weighted, days, _signals(spark, sf_dir, (0.90,)), runs, _base_exposure(spark, sf_dir)))
+    got = portfolio.filled_orders(study.all_targets(weighted, days, signals, study.strategy_table(spark, runs, equal)))
     return study.window(got).join(F.broadcast(days.select("seq", "dt")), "seq")
 
 
@@ -120,15 +148,10 @@ def full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(portfolio.metrics(_grid_days(spark, sf_dir)), "run_id", *_MEASURES)
 
 
-@query()
+@query(f"WITH RECURSIVE {_GRID}, {_metrics_sql('win', 'run_id')} SELECT run_id, {', '.join(r(c) for c in _MEASURES)} FROM me WHERE run_id LIKE 'multi%'")
 def multiscale_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve cells of the multi-scale signal."""
-    signals = None
-    for q in HIGHS:
-        each = multiscale.stress_probability(tables.market(spark, sf_dir), high=q).select(F.lit(f"multi_{q:.2f}").alias("signal"), "dt", "p_stress")
-        signals = each if signals is None else signals.unionByName(each)
-    cells = [(f"multi_{q:.2f}", m, react) for q in HIGHS for m in strategies.MULTIPLIERS for react in strategies.REACTIONS]
-    return _out(portfolio.metrics(_grid_days(spark, sf_dir, cells, signals)), "run_id", *_MEASURES)
+    return _out(portfolio.metrics(_grid_days(spark, sf_dir, [c for c in CELLS if c[0].startswith("multi")])), "run_id", *_MEASURES)
 
 
 _OF = "split_part(run_id, '_', 1)"
@@ -200,26 +223,26 @@ def largest_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(study.largest_gaps(p.where("instrument = '1'"), p.where("instrument = '2'"), "dt", "r"), "dt", "a", "b", "gap")
 
 
-@query()
+@query(f"WITH RECURSIVE {DAYS}, {_MEANS}, {_equal_sql('mean')} SELECT strategy, round(m, 6) AS m, {r('target', 'exposure')} FROM eq")
 def equal_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The volatility multiplier whose mean exposure is the base run's, and that exposure."""
+    """For each signal's strategy the volatility multiplier of the same mean exposure, and that exposure."""
     weighted, core = _base(spark, sf_dir)
     days = _days(core, spark)
-    target = _base_exposure(spark, sf_dir)
-    m = study.equal_exposure(weighted, days, target)
-    return _out(spark.createDataFrame([(m, target)], "m double, exposure double"), "m", "exposure")
+    means = _mean_exposures(weighted, days, _signals(spark, sf_dir, (0.90,)), ("base", "state", "multi"))
+    got = study.equal_exposures(weighted, days, means)
+    return got.select("strategy", F.round("m", 6).alias("m"), F.round("target", DIGITS).alias("exposure"))
 
 
 def _returns_side_by_side(spark, sf_dir):
     """(names, df): a column of returns for each strategy."""
     days = _all_days(spark, sf_dir)
-    names = ["base", "state", "vol_target", "constant", "static", "trend", "market", "60_40"]
+    names = [MAIN, "vol_target_equal", "constant", "vol_target", "state", "base", "trend", "static", "market", "60_40"]
     return names, days.groupBy("seq").agg(*(F.max(F.when(F.col("run_id") == n, F.col("ret"))).alias(n) for n in names))
 
 
 @query()
 def bootstrap_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base strategy against each other one, 10,000 replicates that all pairs share."""
+    """The main strategy against each other one, 10,000 replicates that all pairs share."""
     names, df = _returns_side_by_side(spark, sf_dir)
     return _out(inference.bootstrap_against(df, names[0], names[1:], 10_000), "rival", "measure", "point", "low", "high", "share_below")
 
@@ -228,7 +251,7 @@ def bootstrap_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 def power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six true differences, 300 repetitions of each, 400 inner replicates, at the evaluation's length."""
     _, df = _returns_side_by_side(spark, sf_dir)
-    pair = df.select("seq", (F.col("base") - portfolio.CASH).alias("a"), (F.col("vol_target") - portfolio.CASH).alias("b"))
+    pair = df.select("seq", (F.col(MAIN) - portfolio.CASH).alias("a"), (F.col("vol_target_equal") - portfolio.CASH).alias("b"))
     return _out(inference.power_study(pair, (0.0, 0.05, 0.10, 0.15, 0.20, 0.30), 300, 400, pair.count()), "delta", "power", "share_positive")
 
 

@@ -16,11 +16,18 @@ from . import regimes, scores
 MEMORIES, COMMON, RATE, DISCOUNT = (5, 15, 42), 15, 10.0, 0.99
 
 
-def per_scale(returns: DataFrame, memories: tuple[int, ...] = MEMORIES, **options) -> DataFrame:
-    """Matrices of each memory; series_id is series and memory, so that every later window runs on all at once."""
+def per_scale(returns: DataFrame, memories: tuple[int, ...] = MEMORIES, highs: tuple[float, ...] = (), **options) -> DataFrame:
+    """Matrices of each memory; series_id is series and memory, so that every later window runs on all at once.
+
+    With highs, each of these high quantiles is a series of its own too: series becomes series#quantile.
+    """
     parts = [regimes.volatility(returns.withColumns({"series": F.col("series_id"), "scale": F.lit(n), "series_id": F.concat_ws("#", "series_id", F.lit(n))}), 1 - 2 / (n + 1)) for n in memories]
     every = functools.reduce(DataFrame.unionByName, parts)
-    return regimes.transition_matrix(regimes.transition_counts(regimes.states(every, **options)))
+    if highs:
+        known = regimes.states_at(every, highs, **options).withColumn("series", F.concat_ws("#", "series", F.format_string("%.2f", "high_q")))
+    else:
+        known = regimes.states(every, **options)
+    return regimes.transition_matrix(regimes.transition_counts(known))
 
 
 def adaptive_weights(df: DataFrame, horizon: int = regimes.HORIZON, rate: float = RATE, discount: float = DISCOUNT) -> DataFrame:

@@ -6,10 +6,11 @@ import math
 from datetime import date
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.windows import by_series
+from ..sources.shared import kept
 from . import portfolio, strategies
 
 #: The bond-and-market mix, bounds of the equal-exposure multiplier and the constant of the expected maximum.
@@ -28,16 +29,23 @@ def window(df: DataFrame, first: int = strategies.WARM_UP) -> DataFrame:
     return df.where(F.col("seq") >= first)
 
 
-def all_targets(weighted: DataFrame, days: DataFrame, signals: DataFrame, runs: list[tuple[str, str, float, float]], constant: float, first: int = strategies.WARM_UP, n: int = portfolio.TREND_DAYS) -> DataFrame:
-    """Targets of all strategies in one pass over the weights: every strategy is a run, and runs differ by expressions only.
+def strategy_table(spark: SparkSession, runs: list[tuple[str, str, float, float]], targets: DataFrame) -> DataFrame:
+    """(run_id, signal, m, react, fixed) of all strategies: runs (run_id, signal, m, react), signal 'none' for a chance of 0; the fixed ones; and, by
+    targets (m, target) of one row, volatility targeting and a constant level of the same mean exposure."""
+    schema = "run_id string, signal string, m double, react double, fixed double"
+    plain = spark.createDataFrame([(*x, None) for x in runs] + [(name, "none", 0.0, 0.0, 1.0) for name in ("static", "trend", "market", "60_40")], schema)
+    number = lambda x, name: F.lit(x).cast("double").alias(name) if not isinstance(x, str) else F.col(x).alias(name)
+    row = lambda name, m, fixed: F.struct(F.lit(name).alias("run_id"), F.lit("none").alias("signal"), number(m, "m"), number(0.0, "react"), number(fixed, "fixed"))
+    found = targets.select(F.explode_outer(F.array(row("vol_target_equal", "m", None), row("constant", 0.0, "target"))).alias("x"))
+    return plain.unionByName(found.select("x.*"))
 
-    signals: (signal, dt, p_stress); runs: (run_id, signal, m, react), signal 'none' for a chance of 0. constant: level of the run
-    of that name. static: the core in full. trend: core weights of the instruments above their mean price, the rest in cash.
-    market: one order on the first day of the evaluation. 60_40: monthly orders from then on.
+
+def all_targets(weighted: DataFrame, days: DataFrame, signals: DataFrame, table: DataFrame, first: int = strategies.WARM_UP, n: int = portfolio.TREND_DAYS) -> DataFrame:
+    """Targets of all strategies of strategy_table() in one pass over the days: runs differ by expressions only.
+
+    signals: (signal, dt, p_stress). static: the core in full. trend: core weights of the instruments above their mean price, the rest in
+    cash. market: one order on the first day of the evaluation. 60_40: monthly orders from then on.
     """
-    spark = weighted.sparkSession
-    fixed = [("constant", constant), ("static", 1.0), ("trend", 1.0), ("market", 1.0), ("60_40", 1.0)]
-    table = spark.createDataFrame([(*x, None) for x in runs] + [(name, "none", 0.0, 0.0, level) for name, level in fixed], "run_id string, signal string, m double, react double, fixed double")
     months = portfolio.period_ends(days.withColumn("series_id", F.lit("core")), "month").withColumn("month_end", F.col("is_end") & (F.col("seq") >= first)).drop("series_id", "is_end")
     each = months.crossJoin(F.broadcast(table)).join(signals, ["signal", "dt"], "left")
     levels = portfolio.exposure(each.withColumn("p_stress", F.when(F.col("signal") == "none", 0.0).otherwise(F.col("p_stress"))))
@@ -51,24 +59,33 @@ def all_targets(weighted: DataFrame, days: DataFrame, signals: DataFrame, runs:
     return rows.select("run_id", "seq", target.alias("target"), "decide", "g", "g0")
 
 
-def equal_exposure(weighted: DataFrame, days: DataFrame, target: float, first: int = strategies.WARM_UP, parts: int = 32, rounds: int = 8) -> float:
-    """The multiplier of volatility targeting whose mean exposure in the evaluation is `target`: each round simulates `parts` multipliers as runs.
+def equal_exposures(weighted: DataFrame, days: DataFrame, targets: DataFrame, first: int = strategies.WARM_UP, parts: int = 32, rounds: int = 5) -> DataFrame:
+    """(strategy, m, target): for each of targets (strategy, target) the multiplier of volatility targeting whose mean exposure in the evaluation is the target.
 
-    One row per run comes to the driver. parts^rounds narrows the bounds as 40 halvings do.
+    Each round simulates `parts` multipliers inside every strategy's bracket, all as runs of one simulation, and narrows all brackets to
+    the two neighbours of their target; the last two are joined by a line. Days and brackets are tables in the shared folder, so a round's plan is as
+    short as the first one's and nothing comes to the driver. targets is a parameter table of few rows.
     """
-    spark, low, high = weighted.sparkSession, LEAST_M, MOST_M
-    # every round reads these two panels again
-    weighted, flat = weighted.persist(), days.withColumn("p_stress", F.lit(0.0)).persist()
+    rows = portfolio.day_table(weighted).join(days.select("seq", "decide", (F.col("reference") / F.col("core_vol")).alias("unit")), "seq").select("seq", "w", "g", "g0", "decide", "unit")
+    rows = kept(rows, "days")
+    nothing = F.lit(None).cast("double")
+    bracket = kept(targets, "targets").select("strategy", "target", F.lit(LEAST_M).alias("low"), F.lit(MOST_M).alias("high"), nothing.alias("under"), nothing.alias("over"))
+    # a bracket travels with the runs that it makes
+    held = ("strategy", "target", "low", "high", "under", "over")
+    step = (F.col("high") - F.col("low")) / (parts + 1)
     for _ in range(rounds):
-        step = (high - low) / (parts + 1)
-        tried = [low + step * (i + 1) for i in range(parts)]
-        runs = spark.createDataFrame([(f"m{i:03d}", m, 0.0) for i, m in enumerate(tried)], "run_id string, m double, react double")
-        means = window(portfolio.simulate_levels(weighted, strategies.run_levels(flat, runs)), first).groupBy("run_id").agg(F.avg("exposure").alias("mean"))
-        below = sum(r["mean"] <= target for r in means.collect())
-        low, high = low + step * below, low + step * (below + 1)
-    weighted.unpersist()
-    flat.unpersist()
-    return (low + high) / 2
+        tried = bracket.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(parts))))
+        each = rows.crossJoin(F.broadcast(tried))
+        level = F.when(F.col("unit").isNotNull(), F.least((F.col("low") + step * F.col("part")) * F.col("unit"), F.lit(1.0)))
+        run = each.withColumn("level", level).withColumn("sought", F.col("target")).withColumn("target", F.transform("w", lambda x: x * F.col("level")))
+        keys = tuple("sought" if c == "target" else c for c in held)
+        means = window(portfolio.filled_orders(run, keys=(*keys, "part")), first).groupBy(*keys, "part").agg(F.avg("exposure").alias("mean"))
+        below = F.col("mean") <= F.col("sought")
+        found = means.groupBy(*keys).agg(F.count_if(below).alias("n"), F.max(F.when(below, F.col("mean"))).alias("new_under"), F.min(F.when(~below, F.col("mean"))).alias("new_over"))
+        found = found.select("strategy", F.col("sought").alias("target"), (F.col("low") + step * F.col("n")).alias("low"), (F.col("low") + step * (F.col("n") + 1)).alias("high"), F.coalesce("new_under", "under").alias("under"), F.coalesce("new_over", "over").alias("over"))
+        bracket = kept(found, "bracket")
+    share = F.coalesce(F.try_divide(F.col("target") - F.col("under"), F.col("over") - F.col("under")), F.lit(0.5))
+    return bracket.select("strategy", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("m"), "target")
 
 
 def sharpe(x):

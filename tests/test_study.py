@@ -36,10 +36,11 @@ def test_levels_simulate_as_targets_do(spark):
 def test_equal_exposure_meets_its_target(spark):
     p = panel(spark)
     days = spark.createDataFrame([(t, 0.1, 0.1 + 0.0005 * t, t % 5 == 0 and t > 10) for t in range(160)], "seq int, reference double, core_vol double, decide boolean")
-    m = study.equal_exposure(p, days, 0.4, first=20, parts=8, rounds=6)
-    runs = spark.createDataFrame([("x", m, 0.0)], "run_id string, m double, react double")
-    got = study.window(portfolio.simulate_levels(p, strategies.run_levels(days.withColumn("p_stress", F.lit(0.0)), runs)), 20).agg(F.avg("exposure")).first()[0]
-    assert got == pytest.approx(0.4, abs=1e-4)
+    targets = spark.createDataFrame([("a", 0.4), ("b", 0.25)], "strategy string, target double")
+    found = study.equal_exposures(p, days, targets, first=20, parts=8, rounds=4).collect()
+    runs = spark.createDataFrame([(x["strategy"], x["m"], 0.0) for x in found], "run_id string, m double, react double")
+    got = study.window(portfolio.simulate_levels(p, strategies.run_levels(days.withColumn("p_stress", F.lit(0.0)), runs)), 20).groupBy("run_id").agg(F.avg("exposure").alias("x")).collect()
+    assert {x["run_id"]: x["x"] for x in got} == pytest.approx({"a": 0.4, "b": 0.25}, abs=1e-6)
 
 
 def test_blocks_draw_as_rows_do(spark):
