@@ -104,15 +104,17 @@ def test_hidden_chain_equals_a_plain_recursion():
     assert np.allclose(got.mean, x @ state / state.sum(axis=0)) and np.allclose(chain.filtered(x), ahead / ahead.sum(axis=1, keepdims=True))
 
 
-def test_folds_fit_as_each_alone():
+def test_folds_fit_as_each_alone(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 2)) * [1, 5] + [0, 3]
     y = (rng.uniform(size=400) < 1 / (1 + np.exp(0.5 - x[:, 0]))).astype(float)
-    got = models.fold_coefficients(x, y, np.array([150, 400]))
-    for n, beta in zip((150, 400), got, strict=True):
+    rows = spark.createDataFrame([(name, i, float(y[i]), float(x[i, 0]), float(x[i, 1])) for name in "st" for i in range(400)], "series_id string, seq int, y double, one double, two double")
+    folds = spark.createDataFrame([("s", 0, 149), ("s", 1, 399), ("t", 0, 250)], "series_id string, fold long, upto long")
+    got = {(r["series_id"], r["fold"]): r for r in models.fold_coefficients(rows, folds, ("one", "two")).collect()}
+    for key, n in ((("s", 0), 150), (("s", 1), 400), (("t", 0), 251)):
         z = np.column_stack([np.ones(n), (x[:n] - x[:n].mean(axis=0)) / x[:n].std(axis=0)])
         b = np.zeros(3)
         for _ in range(20000):  # plain ascent on the penalised likelihood
             b += 0.01 * (z.T @ (y[:n] - 1 / (1 + np.exp(-z @ b))) - [0, *b[1:]])
-        slopes = b[1:] / x[:n].std(axis=0)
-        assert np.allclose(beta[1:], slopes, atol=1e-5) and beta[0] == pytest.approx(b[0] - slopes @ x[:n].mean(axis=0), abs=1e-4)
+        assert [got[key][f"b{i}"] for i in range(3)] == pytest.approx(b.tolist(), abs=1e-7)
+        assert [got[key][f"m{i}"] for i in (1, 2)] == pytest.approx(x[:n].mean(axis=0).tolist())
