@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import bonds
-from .operators import chains, inference, models, multiscale, portfolio, regimes, scores, strategies
+from .operators import chains, inference, models, multiscale, portfolio, regimes, scores, strategies, study
 from .sources import tables
+from .sources.shared import kept
 
 DIGITS = 8
 QUERIES: dict = {}
@@ -339,10 +340,15 @@ def _metrics_sql(source: str, key: str) -> str:
 _MEASURES = ("sharpe", "growth", "vol", "drawdown", "turnover", "exposure")
 
 
+def weights_and_core(spark, sf_dir):
+    """The panel's core weights and the core's volatility: written once, as all that is simulated reads them several times."""
+    weighted = kept(portfolio.core_weights(study.complete(tables.panel(spark, sf_dir))), "weights")
+    return weighted, kept(portfolio.core_volatility(weighted), "core")
+
+
 def _grid_runs(spark, sf_dir):
-    weighted = portfolio.core_weights(tables.panel(spark, sf_dir))
-    days = strategies.signal_days(portfolio.core_volatility(weighted), regimes.stress_probability(_matrices(spark, sf_dir)))
-    return weighted, days
+    weighted, core = weights_and_core(spark, sf_dir)
+    return weighted, kept(strategies.signal_days(core, regimes.stress_probability(_matrices(spark, sf_dir))), "days")
 
 
 def _grid_levels(spark, sf_dir):
@@ -374,8 +380,6 @@ PLACEBOS = 1000
 @query()
 def placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signal's Sharpe ratio in the evaluation, and the share of its cyclic shifts that do as well."""
-    from .operators import study
-
     weighted, days = _grid_runs(spark, sf_dir)
     known = days.where("p_stress is not null").count()
     drawn = [("s0", 0)] + [(f"s{i + 1}", step) for i, step in enumerate(study.placebo_steps(known, PLACEBOS))]

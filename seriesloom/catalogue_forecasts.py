@@ -11,6 +11,7 @@ from .catalogue import DIGITS, LOSSES, RETURNS, _forecasts, _har_sql, _out, quer
 from .functions.windows import by_series, clip_low
 from .operators import multiscale, regimes, scores
 from .sources import tables
+from .sources.shared import kept
 
 MODELS, LAGS = ("multi", "base", "ewma", "har"), 2 * regimes.HORIZON
 #: Fixed values of the sensitivity grid and of the gate: rates, discounts, and the score that counts as better.
@@ -37,7 +38,7 @@ def _losses(spark, sf_dir) -> DataFrame:
     multi = multiscale.variance(market).select("series_id", "seq", clip_low(F.col("f_multi"), regimes.FLOOR).alias("multi"))
     har = multiscale.har(regimes.volatility(market)).select("series_id", "seq", F.col("f_har").alias("har"))
     both = base.join(multi, ["series_id", "seq"]).join(har, ["series_id", "seq"])
-    return both.select("series_id", "seq", *(scores.qlike(F.col("future_x2"), F.col(m)).alias(m) for m in MODELS)).dropna()
+    return kept(both.select("series_id", "seq", *(scores.qlike(F.col("future_x2"), F.col(m)).alias(m) for m in MODELS)).dropna(), "losses")
 
 
 @query(f"WITH {BLOCK} SELECT model, count(*) AS n, {r('avg(loss)', 'qlike')} FROM (UNPIVOT fc ON {', '.join(MODELS)} INTO NAME model VALUE loss) GROUP BY 1")

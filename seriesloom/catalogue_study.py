@@ -7,16 +7,19 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import CORE_VOL, DIGITS, ORACLE_SQL, PANEL, STRESS, WEIGHTS, _MEASURES, _metrics_sql, _out, query, r, scales_sql
+from .catalogue import CORE_VOL, DIGITS, ORACLE_SQL, PANEL, STATES, STRESS, WEIGHTS, _MEASURES, _metrics_sql, _out, query, r, scales_sql, weights_and_core
 from .functions.normal import normal_cdf
 from .functions.windows import by_series
-from .operators import inference, multiscale, portfolio, regimes, strategies, study
+from .operators import charts, inference, multiscale, portfolio, regimes, strategies, study
 from .sources import tables
+from .sources.shared import kept
 
 HIGHS, VOL_MULTIPLIERS = (0.80, 0.90), (0.8, 1.0, 1.2)
-FIRST, SPLIT, YEARS, TRIALS = strategies.WARM_UP, date(1999, 7, 1), (1998, 2001), 60
+FIRST, SPLIT, YEARS = strategies.WARM_UP, date(1999, 7, 1), (1998, 2001)
 CELLS = [(f"{s}_{q:.2f}", m, react) for s in ("base", "state", "multi") for q in HIGHS for m in strategies.MULTIPLIERS for react in strategies.REACTIONS]
 CELLS += [("vol_target", m, 0.0) for m in VOL_MULTIPLIERS]
+#: Trials that the deflated ratio allows for: the cells of this grid; and fixed values, all cells and windows ever tried, and a cautious number.
+TRIALS, DECLARED = len(CELLS), (60, 192)
 _K = range(1, 6)
 
 
@@ -91,13 +94,10 @@ _ALL = f"""{DAYS}, {_TREND}, {_MEANS}, main AS (SELECT * FROM mean WHERE strateg
 
 
 def _base(spark, sf_dir):
-    weighted = portfolio.core_weights(study.complete(tables.panel(spark, sf_dir)))
-    return weighted, portfolio.core_volatility(weighted)
-
-
-def _days(core, spark):
+    """(weights, days): days has the core's volatility, its reference and who may decide."""
+    weighted, core = weights_and_core(spark, sf_dir)
     nothing = core.select("dt").withColumn("p_stress", F.lit(None).cast("double"))
-    return strategies.signal_days(core, nothing).drop("p_stress")
+    return weighted, kept(strategies.signal_days(core, nothing).drop("p_stress"), "days")
 
 
 def _signals(spark, sf_dir, highs=HIGHS):
@@ -109,18 +109,18 @@ def _signals(spark, sf_dir, highs=HIGHS):
     at = F.format_string("%.2f", "high_q")
     kinds = F.array(F.struct(F.concat(F.lit("base_"), at).alias("signal"), F.col("p_stress").alias("p")), F.struct(F.concat(F.lit("state_"), at).alias("signal"), (F.col("state") == 2).cast("double").alias("p")))
     # the outer form adds no filter, which would repeat the whole chain of expressions
-    return p.select("dt", F.explode_outer(kinds).alias("x")).select("x.signal", "dt", F.col("x.p").alias("p_stress")).unionByName(scales)
+    each = p.select("dt", F.explode_outer(kinds).alias("x")).select("x.signal", "dt", F.col("x.p").alias("p_stress")).unionByName(scales)
+    return kept(each, "signals")
 
 
 def _grid_days(spark, sf_dir, cells=None, signals=None):
     """Simulated days of all cells in the evaluation window."""
-    weighted, core = _base(spark, sf_dir)
-    days = _days(core, spark)
+    weighted, days = _base(spark, sf_dir)
     cells = spark.createDataFrame([(run_id(*c), *c) for c in cells or CELLS], "run_id string, signal string, m double, react double")
     each = days.crossJoin(F.broadcast(cells)).join(signals or _signals(spark, sf_dir), ["signal", "dt"], "left")
     each = each.withColumn("p_stress", F.when(F.col("signal") == "vol_target", 0.0).otherwise(F.col("p_stress")))
     got = portfolio.simulate_levels(weighted, portfolio.exposure(each))
-    return study.window(got).join(F.broadcast(days.select("seq", "dt")), "seq")
+    return kept(study.window(got).join(F.broadcast(days.select("seq", "dt")), "seq"), "simulated")
 
 
 def _mean_exposures(weighted, days, signals, names):
@@ -134,12 +134,12 @@ def _mean_exposures(weighted, days, signals, names):
 
 def _all_days(spark, sf_dir):
     """Simulated days of all strategies in the evaluation window."""
-    weighted, core = _base(spark, sf_dir)
-    days, signals = _days(core, spark), _signals(spark, sf_dir, (0.90,))
+    weighted, days = _base(spark, sf_dir)
+    signals = _signals(spark, sf_dir, (0.90,))
     equal = study.equal_exposures(weighted, days, _mean_exposures(weighted, days, signals, (MAIN,)))
     runs = [(name, "none" if signal == "vol_target" else signal, m, react) for name, signal, m, react in _CHOSEN]
     got = portfolio.filled_orders(study.all_targets(weighted, days, signals, study.strategy_table(spark, runs, equal)))
-    return study.window(got).join(F.broadcast(days.select("seq", "dt")), "seq")
+    return kept(study.window(got).join(F.broadcast(days.select("seq", "dt")), "seq"), "simulated")
 
 
 @query(f"WITH RECURSIVE {_GRID}, {_metrics_sql('win', 'run_id')} SELECT run_id, {', '.join(r(c) for c in _MEASURES)} FROM me")
@@ -226,8 +226,7 @@ def largest_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {DAYS}, {_MEANS}, {_equal_sql('mean')} SELECT strategy, round(m, 6) AS m, {r('target', 'exposure')} FROM eq")
 def equal_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each signal's strategy the volatility multiplier of the same mean exposure, and that exposure."""
-    weighted, core = _base(spark, sf_dir)
-    days = _days(core, spark)
+    weighted, days = _base(spark, sf_dir)
     means = _mean_exposures(weighted, days, _signals(spark, sf_dir, (0.90,)), ("base", "state", "multi"))
     got = study.equal_exposures(weighted, days, means)
     return got.select("strategy", F.round("m", 6).alias("m"), F.round("target", DIGITS).alias("exposure"))
@@ -282,6 +281,70 @@ def deflated_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deflated_sharpe(spark, sf_dir).select("run_id", F.round(normal_cdf(F.col("z")), 5).alias("probability"))
 
 
+_TRIED = (TRIALS, *DECLARED)
+_MAIN_CELL = run_id("multi_0.90", 0.8, 0.25)
+
+
+@query(f"""WITH RECURSIVE {_GRID}, {_metrics_sql('win', 'run_id')}, tv AS (SELECT var_samp(sharpe / sqrt(252)) AS v FROM me), tn AS (SELECT unnest([{", ".join(map(str, _TRIED))}])::BIGINT AS trials),
+ wanted AS (SELECT trials, unnest([1 - 1 / trials::DOUBLE, 1 - 1 / (trials * exp(1))]) AS p, unnest([1, 2]) AS part FROM tn),
+ bi AS (SELECT trials, part, p, 0 AS k, -8::DOUBLE AS low, 8::DOUBLE AS high FROM wanted UNION ALL
+ SELECT trials, part, p, k + 1, CASE WHEN c < p THEN middle ELSE low END, CASE WHEN c < p THEN high ELSE middle END FROM (SELECT *, (low + high) / 2 AS middle, {_normal_sql('((low + high) / 2)')} AS c FROM bi WHERE k < 50)),
+ zv AS (SELECT trials, max((low + high) / 2) FILTER (part = 1) AS z1, max((low + high) / 2) FILTER (part = 2) AS z2 FROM bi WHERE k = 50 GROUP BY 1),
+ th AS (SELECT trials, sqrt(v) * ((1 - {study.EULER}::DOUBLE) * z1 + {study.EULER}::DOUBLE * z2) AS threshold FROM zv, tv),
+ mw AS (SELECT ret - 0.00005::DOUBLE AS x FROM win WHERE run_id = '{_MAIN_CELL}'), mo AS (SELECT avg(x) AS m, stddev_samp(x) AS sd, count(*) AS n FROM mw),
+ sh AS (SELECT any_value(m / sd) AS sr, any_value(n) AS n, avg(pow((x - m) / sd, 3)) AS g3, avg(pow((x - m) / sd, 4)) AS g4 FROM mw, mo),
+ zz AS (SELECT trials, sr, threshold, (sr - threshold) * sqrt(n - 1) / sqrt(greatest(1 - g3 * sr + (g4 - 1) / 4 * sr * sr, 1e-12)) AS z FROM sh, th)
+ SELECT trials, {r('sr')}, {r('threshold')}, round({_normal_sql('z')}, 6) AS probability FROM zz""")
+def deflated_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main strategy's ratio, deflated for several numbers of trials, with the variance over the whole grid."""
+    days = _grid_days(spark, sf_dir)
+    variance = portfolio.metrics(days).agg(F.var_samp(F.col("sharpe") / F.sqrt(F.lit(252))).alias("v"))
+    trials = spark.createDataFrame([(n,) for n in _TRIED], "trials long")
+    got = study.deflated_sharpe(days.where(F.col("run_id") == _MAIN_CELL), variance, trials)
+    return got.select("trials", F.round("sr", DIGITS).alias("sr"), F.round("threshold", DIGITS).alias("threshold"), F.round(normal_cdf(F.col("z")), 6).alias("probability"))
+
+
+# ---- data of charts
+
+
+PIXELS = 200
+
+
+def _reduced_sql(source: str, names: str, value: str) -> str:
+    """First, least, greatest and last value of each of PIXELS stretches of the days."""
+    return f"""SELECT {names}, bucket, {r(f"arg_min({value}, seq)", "first")}, {r(f"min({value})", "low")}, {r(f"max({value})", "high")}, {r(f"arg_max({value}, seq)", "last")}
+ FROM (SELECT *, ((seq - min(seq) OVER ()) * {PIXELS} // (max(seq) OVER () - min(seq) OVER () + 1))::BIGINT AS bucket FROM {source} WHERE {value} IS NOT NULL) GROUP BY {names}, bucket"""
+
+
+@query(f"""WITH RECURSIVE {_GRID}, cap AS (SELECT *, product(1 + ret) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS capital FROM win WHERE run_id IN ({", ".join(repr(run_id(*c[1:])) for c in _CHOSEN)})),
+ fl AS (SELECT *, capital / max(capital) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS fall FROM cap),
+ lg AS (SELECT 'capital' AS chart, run_id, seq, capital AS value FROM fl UNION ALL SELECT 'drawdown', run_id, seq, fall FROM fl UNION ALL SELECT 'exposure', run_id, seq, exposure FROM fl)
+ {_reduced_sql("lg", "chart, run_id", "value")}""")
+def chart_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capital, distance from its maximum and exposure of the chosen cells, as many points as a chart has pixels."""
+    curves = charts.curves(_grid_days(spark, sf_dir, [c[1:] for c in _CHOSEN]))
+    return _out(charts.reduced(curves, ("chart", "run_id"), PIXELS), "chart", "run_id", "bucket", "first", "low", "high", "last")
+
+
+@query(f"WITH RECURSIVE {STATES}, lg AS (SELECT 'vol' AS chart, seq, vol AS value FROM st UNION ALL SELECT 'stress', seq, (state = 2)::INT::DOUBLE FROM st WHERE state IS NOT NULL) {_reduced_sql('lg', 'chart', 'value')}")
+def chart_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market's volatility, and whether a stretch has days of stress."""
+    s = regimes.regimes(tables.market(spark, sf_dir)).withColumn("stress", (F.col("state") == 2).cast("double"))
+    return _out(charts.reduced(s.unpivot(["seq"], ["vol", "stress"], "chart", "value"), ("chart",), PIXELS), "chart", "bucket", "first", "low", "high", "last")
+
+
+_SMOOTH = ", ".join(f"avg(w{n}) OVER (ORDER BY seq ROWS 19 PRECEDING) AS w{n}" for n in multiscale.MEMORIES)
+
+
+@query(f"WITH sw AS (SELECT seq, {_SMOOTH} FROM {scales_sql('stress')}), lg AS (UNPIVOT sw ON {', '.join(f'w{n}' for n in multiscale.MEMORIES)} INTO NAME scale VALUE value) {_reduced_sql('lg', 'scale', 'value')}")
+def chart_scale_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scales' weights, smoothed over 20 days."""
+    w = multiscale.stress_probability(tables.market(spark, sf_dir))
+    names = [f"w{n}" for n in multiscale.MEMORIES]
+    smooth = w.withColumns({c: F.avg(c).over(by_series().rowsBetween(-19, 0)) for c in names})
+    return _out(charts.reduced(smooth.unpivot(["seq"], names, "scale", "value"), ("scale",), PIXELS), "scale", "bucket", "first", "low", "high", "last")
+
+
 _NATIONS = """nc AS (SELECT c_nationkey::VARCHAR AS series_id, o_orderdate::DATE AS dt, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS c FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
  nr AS (SELECT series_id, dt, row_number() OVER w - 2 AS seq, 0.02::DOUBLE * (c - lag(c) OVER w)::DOUBLE / (c + lag(c) OVER w)::DOUBLE AS r FROM nc WINDOW w AS (PARTITION BY series_id ORDER BY dt)),
  nb AS (SELECT *, pow(ln(1 + r), 2) AS x2 FROM nr WHERE seq >= 0),

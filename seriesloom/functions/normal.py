@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TERMS, FAR = 120, 8.0
+TERMS, FAR, HALVINGS = 120, 8.0, 52
 
 
 def normal_cdf(z: Column) -> Column:
@@ -19,6 +19,18 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z > FAR, 1.0).when(z < -FAR, 0.0).when(z.isNotNull(), near)
 
 
+def normal_inverse(p: Column) -> Column:
+    """z with P(Z <= z) = p, by halving [-FAR, FAR] until a double can't tell; null outside (0, 1)."""
+    start = F.struct(F.lit(-FAR).alias("low"), F.lit(FAR).alias("high"))
+
+    def halved(acc: Column, _: Column) -> Column:
+        middle = (acc["low"] + acc["high"]) / 2
+        under = normal_cdf(middle) < p
+        return F.struct(F.when(under, middle).otherwise(acc["low"]).alias("low"), F.when(under, acc["high"]).otherwise(middle).alias("high"))
+
+    return F.when((p > 0) & (p < 1), F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halved, lambda acc: (acc["low"] + acc["high"]) / 2))
+
+
 def two_sided_p(t: Column) -> Column:
     """Chance of a normal score at least as far from 0 as t."""
     return 2 * (1 - normal_cdf(F.abs(t)))

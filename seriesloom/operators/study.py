@@ -6,9 +6,10 @@ import math
 from datetime import date
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.normal import normal_inverse
 from ..functions.windows import by_series
 from ..sources.shared import kept
 from . import portfolio, strategies
@@ -112,18 +113,28 @@ def expected_max_factor(trials: int) -> float:
     return expected_max_sharpe(trials, 1.0)
 
 
-def deflated_sharpe(days: DataFrame, variance: DataFrame, trials: int, cash: float = portfolio.CASH, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """(keys, sr, threshold, z): z is the normal score of the chance that the true daily ratio is above the threshold of `trials`.
+def expected_max(trials: Column) -> Column:
+    """expected_max_sharpe() of a variance of 1, for a column of trials."""
+    n = trials.cast("double")
+    high = (1 - EULER) * normal_inverse(1 - 1 / n) + EULER * normal_inverse(1 - 1 / (n * math.e))
+    return F.when(n > 1, high).otherwise(0.0)
 
-    variance: one row (v), the variance of daily ratios across the trials.
+
+def deflated_sharpe(days: DataFrame, variance: DataFrame, trials: DataFrame | int, cash: float = portfolio.CASH, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """(keys, trials, sr, threshold, z): z is the normal score of the chance that the true daily ratio is above the threshold of so many trials.
+
+    variance: one row (v), the variance of daily ratios across the trials. trials: a number, or a table of them.
     """
+    if isinstance(trials, int):
+        trials = days.sparkSession.createDataFrame([(trials,)], "trials long")
     x = days.select(*keys, (F.col("ret") - cash).alias("x"))
     moments = x.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.count("x").alias("n"))
     u = (F.col("x") - F.col("mean")) / F.col("sd")
     shaped = x.join(moments, list(keys)).groupBy(*keys).agg(F.first(F.col("mean") / F.col("sd")).alias("sr"), F.first("n").alias("n"), F.avg(u * u * u).alias("g3"), F.avg(u * u * u * u).alias("g4"))
     bent = F.sqrt(F.greatest(1 - F.col("g3") * F.col("sr") + (F.col("g4") - 1) / 4 * F.col("sr") ** 2, F.lit(1e-12)))
-    with_threshold = shaped.crossJoin(F.broadcast(variance)).withColumn("threshold", F.sqrt("v") * expected_max_factor(trials))
-    return with_threshold.select(*keys, "sr", "threshold", ((F.col("sr") - F.col("threshold")) * F.sqrt(F.col("n") - 1) / bent).alias("z"))
+    # one row, and a few
+    limits = trials.crossJoin(F.broadcast(variance)).select("trials", (F.sqrt("v") * expected_max(F.col("trials"))).alias("threshold"))
+    return shaped.crossJoin(F.broadcast(limits)).select(*keys, "trials", "sr", "threshold", ((F.col("sr") - F.col("threshold")) * F.sqrt(F.col("n") - 1) / bent).alias("z"))
 
 
 def yearly_choice(days: DataFrame, first_year: int, last_year: int, cash: float = portfolio.CASH, band: float = strategies.BAND) -> DataFrame:
