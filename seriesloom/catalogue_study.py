@@ -304,6 +304,64 @@ def deflated_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("trials", F.round("sr", DIGITS).alias("sr"), F.round("threshold", DIGITS).alias("threshold"), F.round(normal_cdf(F.col("z")), 6).alias("probability"))
 
 
+# ---- the main strategy against its rivals
+
+
+_AGAINST = lambda rival: f"two AS MATERIALIZED (SELECT a.seq, a.ret - 0.00005::DOUBLE AS a, b.ret - 0.00005::DOUBLE AS b FROM win a JOIN win b USING (seq) WHERE a.run_id = '{MAIN}' AND b.run_id = '{rival}')"
+
+
+def _alpha_sql(lags: int) -> str:
+    """Least squares of a on b in `two`, and the score of the intercept with Bartlett weights."""
+    sums = [f"sum({i} * {j})" + "".join(f" + {1 - k / (lags + 1)}::DOUBLE * (sum({i} * {j}_{k}) + sum({j} * {i}_{k}))" for k in range(1, lags + 1)) for i, j in (("g0", "g0"), ("g0", "g1"), ("g1", "g1"))]
+    return f"""(WITH fit AS (SELECT regr_slope(a, b) AS beta, regr_intercept(a, b) AS alpha, count(*) AS n, sum(b) AS sx, sum(b * b) AS sxx FROM two),
+ g AS (SELECT seq, a - alpha - beta * b AS g0, (a - alpha - beta * b) * b AS g1 FROM two, fit), gl AS (SELECT *, {", ".join(f"lag({c}, {k}) OVER (ORDER BY seq) AS {c}_{k}" for c in ("g0", "g1") for k in range(1, lags + 1))} FROM g),
+ s AS (SELECT {sums[0]} AS s00, {sums[1]} AS s01, {sums[2]} AS s11 FROM gl)
+ SELECT {lags}::BIGINT AS lags, {r('alpha * 252', 'alpha')}, {r('beta')}, round(alpha / sqrt((sxx * sxx * s00 - 2 * sxx * sx * s01 + sx * sx * s11) / pow(n * sxx - sx * sx, 2)), 6) AS t FROM fit, s)"""
+
+
+def _pair_of(days: DataFrame, rival: str, cash: float = portfolio.CASH) -> DataFrame:
+    """(seq, a, b): excess returns of the main strategy and of a rival."""
+    of = lambda run, name: F.max(F.when(F.col("run_id") == run, F.col("ret") - cash)).alias(name)
+    return days.where(F.col("run_id").isin(MAIN, rival)).groupBy("seq").agg(of(MAIN, "a"), of(rival, "b"))
+
+
+@query(f"WITH RECURSIVE {_ALL}, {_AGAINST('static')} " + " UNION ALL ".join(f"SELECT * FROM {_alpha_sql(n)}" for n in (20, 60)))
+def strategy_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the main strategy earns beyond its share of the core, with errors that allow for 20 and for 60 days of dependence."""
+    pair = kept(_pair_of(_all_days(spark, sf_dir), "static").select(F.lit("pair").alias("series_id"), "seq", F.col("a").alias("y"), F.col("b").alias("x")), "pair")
+    parts = [inference.newey_west(pair, n).withColumn("lags", F.lit(n).cast("long")) for n in (20, 60)]
+    return parts[0].unionByName(parts[1]).select("lags", F.round(F.col("alpha") * 252, DIGITS).alias("alpha"), F.round("beta", DIGITS).alias("beta"), F.round("t_alpha", 6).alias("t"))
+
+
+_GAMMAS = (1.0, 5.0, 10.0)
+
+
+@query(f"""WITH RECURSIVE {_ALL}, {_AGAINST('vol_target_equal').replace(" - 0.00005::DOUBLE", "")}, k AS (SELECT gamma, gamma / (2 * (1 + gamma)) AS k FROM (SELECT unnest([{", ".join(f"{g}::DOUBLE" for g in _GAMMAS)}]) AS gamma)),
+ m AS (SELECT gamma, k, avg(1 + a) AS mean, avg(1 + a - k * pow(1 + a, 2)) AS ua, avg(1 + b - k * pow(1 + b, 2)) AS ub FROM two, k GROUP BY 1, 2),
+ q AS (SELECT gamma, k, 1 - 2 * k * mean AS slope, pow(1 - 2 * k * mean, 2) - 4 * k * (ub - ua) AS disc FROM m)
+ SELECT gamma, CASE WHEN disc >= 0 THEN round((sqrt(disc) - slope) / (2 * k) * 252, {DIGITS}) END AS fee FROM q""")
+def strategy_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What investors of three aversions would pay a year to hold the main strategy instead of the volatility target of equal exposure."""
+    pair = kept(_pair_of(_all_days(spark, sf_dir), "vol_target_equal", 0.0), "pair")
+    parts = [inference.performance_fee(pair, g).withColumn("gamma", F.lit(g)) for g in _GAMMAS]
+    return _out(parts[0].unionByName(parts[1]).unionByName(parts[2]), "gamma", "fee")
+
+
+_SR = "avg(x) / stddev_samp(x) * sqrt(252)"
+_COSTS = (0.0, 0.001, 0.0025)
+
+
+@query(f"""WITH RECURSIVE {_ALL}, priced AS (SELECT cost, run_id, ret + (0.0005::DOUBLE - cost) * turnover - 0.00005::DOUBLE AS x FROM win, (SELECT unnest([{", ".join(f"{c}::DOUBLE" for c in _COSTS)}]) AS cost)),
+ sr AS (SELECT cost, run_id, {_SR} AS sharpe FROM priced GROUP BY 1, 2) SELECT m.cost, o.run_id AS rival, {r('m.sharpe - o.sharpe', 'difference')} FROM sr m JOIN sr o ON m.cost = o.cost AND m.run_id = '{MAIN}' AND o.run_id <> '{MAIN}'""")
+def strategy_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of Sharpe ratios between the main strategy and each other one, at three other costs."""
+    priced = strategies.at_costs(_all_days(spark, sf_dir), _COSTS)
+    each = kept(priced.groupBy("cost", "run_id").agg(study.sharpe(F.col("ret") - portfolio.CASH).alias("sharpe")), "ratios")
+    own = each.where(F.col("run_id") == MAIN).select("cost", F.col("sharpe").alias("own"))
+    got = each.where(F.col("run_id") != MAIN).join(F.broadcast(own), "cost")  # one row a cost
+    return _out(got.select("cost", F.col("run_id").alias("rival"), (F.col("own") - F.col("sharpe")).alias("difference")), "cost", "rival", "difference")
+
+
 # ---- data of charts
 
 

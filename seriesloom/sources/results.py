@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed value: the line that ends a complete record.
-END_MARK = "FINE ANALISI"
+#: The line that ends a complete record.
+END_MARK = "-- end of record --"
 FORMATS = ("csv", "parquet", "json")
 
 
@@ -49,11 +51,40 @@ def chosen_as_json(chosen: DataFrame, keys: list[str], name: str = "strategy") -
     return chosen.select(name, F.to_json(F.struct(*values), {"ignoreNullFields": "false"}).alias("config"))
 
 
+@contextlib.contextmanager
+def claimed(spark: SparkSession, path: str):
+    """Only one session at a time holds the claim on path: a file beside it that is created if it isn't there, in one step.
+
+    Whoever comes second gets FileExistsError. The claim goes when its holder is done, even by an error; a session that was killed leaves it, to be
+    deleted by hand.
+    """
+    system, at = _path(spark, f"{path}.claim")
+    jvm, there = spark._jvm, f"{path} is being written by another session (or one that was killed: then delete {path}.claim)"
+    local = system.getScheme() == "file"
+    if local:  # Hadoop's local store looks first and creates then; the operating system does both at once
+        plain = jvm.java.nio.file.Paths.get(at.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+        jvm.java.nio.file.Files.createDirectories(plain.getParent(), spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+    try:
+        if local:
+            jvm.java.nio.file.Files.createFile(plain, spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+        else:
+            system.create(at, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception.getClass().getName()):
+            raise FileExistsError(there) from None
+        raise
+    try:
+        yield
+    finally:
+        system.delete(at, False)
+
+
 def freeze(spark: SparkSession, config: dict, path: str) -> None:
-    """Write a configuration once; an error if one is frozen already."""
-    if exists(spark, path):
-        raise FileExistsError(f"{path} is frozen already")
-    spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.text(path)
+    """Write a configuration once; an error if one is frozen already. Of two sessions that try at once one wins."""
+    with claimed(spark, path):
+        if exists(spark, path):
+            raise FileExistsError(f"{path} is frozen already")
+        spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.text(path)
 
 
 def frozen(spark: SparkSession, path: str) -> dict:
@@ -70,11 +101,12 @@ def guard(spark: SparkSession, config: dict, frozen_path: str, record_path: str)
 
 
 def record(spark: SparkSession, lines: list[str], path: str) -> None:
-    """The lines of a run and the end mark. One that broke off before its mark is replaced."""
-    if exists(spark, path) and complete(spark, path):
-        raise FileExistsError(f"{path} holds a complete outcome")
-    rows = [(i, line) for i, line in enumerate([*lines, END_MARK])]
-    spark.createDataFrame(rows, "n int, value string").coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+    """The lines of a run and the end mark. One that broke off before its mark is replaced; of two sessions that write at once one wins."""
+    with claimed(spark, path):
+        if exists(spark, path) and complete(spark, path):
+            raise FileExistsError(f"{path} holds a complete outcome")
+        rows = [(i, line) for i, line in enumerate([*lines, END_MARK])]
+        spark.createDataFrame(rows, "n int, value string").coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
 
 
 def complete(spark: SparkSession, path: str) -> bool:

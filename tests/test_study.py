@@ -1,5 +1,6 @@
 """The side-by-side simulator, the bootstrap by blocks, selection by years, verdicts, and results that are written once."""
 
+import concurrent.futures
 import datetime
 import math
 
@@ -115,3 +116,35 @@ def test_results_are_written_once(spark, tmp_path):
         results.require(spark, [f"{base}/absent", f"{base}/record"])
 
 
+def test_of_sessions_that_write_at_once_one_wins(spark, tmp_path):
+    base = f"file://{tmp_path}/deep"
+    with results.claimed(spark, f"{base}/frozen"):
+        for write in (lambda: results.freeze(spark, {}, f"{base}/frozen"), lambda: results.record(spark, [], f"{base}/frozen")):
+            with pytest.raises(FileExistsError, match="another session"):
+                write()
+    threads = 6
+
+    def tried(i):
+        try:
+            results.freeze(spark.newSession(), {"m": i}, f"{base}/frozen")
+        except FileExistsError:
+            return None
+        return i
+
+    with concurrent.futures.ThreadPoolExecutor(threads) as pool:
+        won = [i for i in pool.map(tried, range(threads)) if i is not None]
+    assert len(won) == 1 and results.frozen(spark, f"{base}/frozen") == {"m": won[0]}
+
+
+def test_normal_inverse_and_charts(spark):
+    from statistics import NormalDist
+
+    from seriesloom.functions.normal import normal_inverse
+    from seriesloom.operators import charts
+
+    p = [1e-9, 0.025, 0.5, 0.8, 1 - 1 / 192, 1 - 1e-12]
+    got = spark.createDataFrame([(x,) for x in [*p, 0.0, 1.0, None]], "p double").select(normal_inverse(F.col("p")).alias("z")).collect()
+    assert [r["z"] for r in got[:-1]][: len(p) - 1] == pytest.approx([NormalDist().inv_cdf(x) for x in p[:-1]], abs=1e-6) and [r["z"] for r in got[len(p) :]] == [None] * 3
+    points = spark.createDataFrame([("a", i, None if i == 3 else float((i * 7) % 10)) for i in range(10)], "name string, seq int, value double")
+    rows = [tuple(r) for r in charts.reduced(points, ("name",), 2).orderBy("bucket").collect()]
+    assert rows == [("a", 0, 0.0, 0.0, 8.0, 8.0), ("a", 1, 5.0, 2.0, 9.0, 3.0)]
