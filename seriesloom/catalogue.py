@@ -534,4 +534,4 @@ def bond_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bonds.bond_returns(y).select("dt", F.round("r", 7).alias("r"))
 
 
-from . import catalogue_forecasts, catalogue_study  # noqa: E402, F401  add their queries to the two tables above
+from . import catalogue_forecasts, catalogue_sources, catalogue_study  # noqa: E402, F401  add their queries to the two tables above

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import CORE_VOL, DIGITS, ORACLE_SQL, PANEL, STATES, STRESS, WEIGHTS, _MEASURES, _metrics_sql, _out, query, r, scales_sql, weights_and_core
+from .catalogue import CORE_VOL, DIGITS, ORACLE_SQL, PANEL, RETURNS, STATES, STRESS, WEIGHTS, _MEASURES, _metrics_sql, _out, query, r, scales_sql, weights_and_core
 from .functions.normal import normal_cdf
 from .functions.windows import by_series
 from .operators import charts, inference, multiscale, portfolio, regimes, strategies, study
@@ -262,14 +262,14 @@ def _normal_sql(z: str) -> str:
     return f"CASE WHEN {z} > 8 THEN 1 WHEN {z} < -8 THEN 0 ELSE 0.5 + {total} * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) END"
 
 
-_SCORES = "zs AS (SELECT g / 4::DOUBLE AS z FROM range(-36, 37) t(g))"
-
-
-@query(f"WITH {_SCORES} SELECT z, round({_normal_sql('z')}, 7) AS p FROM zs")
+@query(f"WITH {RETURNS}, zs AS (SELECT dt, round((r - avg(r) OVER ()) / stddev_samp(r) OVER (), 9) AS z FROM base) SELECT dt, z, round({_normal_sql('z')}, 7) AS p FROM zs")
 def normal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The normal distribution function on a lattice of scores."""
-    z = spark.range(-36, 37).select((F.col("id") / 4).alias("z"))
-    return z.select("z", F.round(normal_cdf(F.col("z")), 7).alias("p"))
+    """How usual each day's return would be if returns were normal."""
+    market = tables.market(spark, sf_dir)
+    moments = market.agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"))
+    # one row
+    z = market.crossJoin(F.broadcast(moments)).select("dt", F.round((F.col("r") - F.col("mean")) / F.col("sd"), 9).alias("z"))
+    return z.select("dt", "z", F.round(normal_cdf(F.col("z")), 7).alias("p"))
 
 
 _DEFLATED = ORACLE_SQL["deflated_sharpe"]

@@ -24,7 +24,7 @@ def sectioned_returns(spark: SparkSession, path: str, section: str = "Average Va
     dated = F.trim(F.split("line", ",")[0]).rlike("^[0-9]{8}$")
     ends = body.where(~dated).groupBy("path").agg(F.min("at").alias("end"))
     rows = body.join(ends, "path", "left").where("end is null or at < end")
-    cells = rows.select("path", F.to_date(F.trim(F.split("line", ",")[0]), "yyyyMMdd").alias("dt"), F.posexplode(F.arrays_zip(F.split("names", ",").alias("name"), F.split("line", ",").alias("cell"))).alias("place", "pair")).where("place > 0")
+    cells = rows.select("path", F.try_to_date(F.trim(F.split("line", ",")[0]), "yyyyMMdd").alias("dt"), F.posexplode(F.arrays_zip(F.split("names", ",").alias("name"), F.split("line", ",").alias("cell"))).alias("place", "pair")).where("place > 0")
     value = F.trim("pair.cell").try_cast("double")
     return cells.select("path", "dt", F.trim("pair.name").alias("name"), F.when(~value.isin(*MISSING), value / 100).alias("r"))
 
