@@ -7,10 +7,10 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import CORE_VOL, DIGITS, ORACLE_SQL, PANEL, RETURNS, STATES, STRESS, WEIGHTS, _MEASURES, _metrics_sql, _out, query, r, scales_sql, weights_and_core
-from .functions.normal import normal_cdf
+from .catalogue import CORE_VOL, DIGITS, ORACLE_SQL, PANEL, QUERIES, RETURNS, STATES, STRESS, WEIGHTS, _MEASURES, _metrics_sql, _out, query, r, scales_sql, weights_and_core
+from .functions.normal import normal_cdf, two_sided_p
 from .functions.windows import by_series
-from .operators import charts, inference, multiscale, portfolio, regimes, strategies, study
+from .operators import charts, inference, models, multiscale, portfolio, regimes, strategies, study
 from .sources import tables
 from .sources.shared import kept
 
@@ -362,6 +362,47 @@ def strategy_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(got.select("cost", F.col("run_id").alias("rival"), (F.col("own") - F.col("sharpe")).alias("difference")), "cost", "rival", "difference")
 
 
+_FITTED = [("hmm", m, react) for m in strategies.MULTIPLIERS for react in strategies.REACTIONS] + [(f"logistic_{q:.2f}", m, react) for q in HIGHS for m in strategies.MULTIPLIERS for react in strategies.REACTIONS]
+
+
+@query()
+def fitted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 18 cells of the signals that are fitted as time goes on: the hidden chain's, and the logistic regression's at both high quantiles, whose folds are fitted together."""
+    market = kept(tables.market(spark, sf_dir), "market")
+    hidden = models.walk_forward_hidden(market).select(F.lit("hmm").alias("signal"), "dt", F.col("p_hidden").alias("p_stress"))
+    logistic = models.walk_forward_logistic(regimes.states_at(regimes.volatility(market), HIGHS))
+    logistic = logistic.join(market.select("seq", "dt"), "seq").select(F.concat(F.lit("logistic_"), F.substring_index("series_id", "#", -1)).alias("signal"), "dt", F.col("p_logistic").alias("p_stress"))
+    return _out(portfolio.metrics(_grid_days(spark, sf_dir, _FITTED, kept(hidden.unionByName(logistic), "signals"))), "run_id", *_MEASURES)
+
+
+@query()
+def study_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule fixed beforehand: is the main strategy useful, and is there evidence that its signal adds to a volatility target of equal exposure?"""
+    days = _all_days(spark, sf_dir)
+    rival, cash = "vol_target_equal", portfolio.CASH
+    of = lambda name: F.max(F.when(F.col("run_id") == name, F.col("sharpe")))
+    plain = F.col("run_id").isin("market", "60_40", "static")
+    measures = portfolio.metrics(days).agg(
+        F.max(F.when(F.col("run_id") == MAIN, F.col("drawdown"))).alias("drawdown"), of(MAIN).alias("sharpe"), F.max(F.when(plain, F.col("drawdown"))).alias("least_drawdown"), F.max(F.when(plain, F.col("sharpe"))).alias("best_sharpe")
+    )
+    costly = strategies.at_costs(days, (0.001,)).groupBy("run_id").agg(study.sharpe(F.col("ret") - cash).alias("sharpe")).agg((of(MAIN) - of(rival)).alias("at_cost"))
+    parts = study.subperiods(days, SPLIT).groupBy("part").agg((of(MAIN) - of(rival)).alias("d")).agg(*(F.max(F.when(F.col("part") == p, F.col("d"))).alias(p) for p in ("before", "after")))
+    side = lambda name: F.max(F.when(F.col("run_id") == name, F.col("ret"))).alias(name)
+    drawn = inference.bootstrap_against(days.groupBy("seq").agg(side(MAIN), side(rival)), MAIN, [rival], 10_000).where("measure = 'sharpe'").select("low", "point")
+    # one row each
+    table = measures.crossJoin(F.broadcast(costly)).crossJoin(F.broadcast(parts)).crossJoin(F.broadcast(drawn))
+    return _out(study.verdict(table), *table.columns, "level_1", "level_2")
+
+
+_TESTS = ORACLE_SQL["forecast_tests"]
+
+
+@query(f"SELECT rival, round(2 * (1 - ({_normal_sql('abs(score)')})), 5) AS p_value FROM (SELECT rival, t AS score FROM ({_TESTS}))")
+def forecast_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely so large a difference of losses would be between forecasts of equal worth."""
+    return QUERIES["forecast_tests"](spark, sf_dir).select("rival", F.round(two_sided_p(F.col("t")), 5).alias("p_value"))
+
+
 # ---- data of charts
 
 
