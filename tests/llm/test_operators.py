@@ -379,3 +379,62 @@ def test_token_counts_of_odd_texts(spark):
 
     counted = {r["doc_id"]: r["n_tokens"] for r in token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
     assert counted[0] == counted[1] == 0 and counted[3] == 1 and counted[9] == counted[10]
+
+
+def _plain_replies(rows):
+    """Origins of quotes by the docstring of quotations, message by message, for conversations of well-formed quotes; {(conv, turn): replied turn}."""
+    fold = lambda text: " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), text).split())
+    replied = {}
+    for conv in {r[0] for r in rows}:
+        told = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
+        said = []  # per message: names of all it says, its lines
+        for i, (_, turn, _, text) in enumerate(told):
+            passages = [[level, [re.sub("^(?:[ ]*>)+[ ]?", "", x) for x in group]] for level, group in itertools.groupby(text.split("\n"), lambda x: re.match("(?:[ ]*>)*", x)[0].count(">"))]
+            origin = None
+            for level, group in sorted(((level, group) for level, group in passages if level), key=lambda x: x[0]):
+                lines = [fold(x) for x in group if fold(x)]
+                whole = [k for k in range(i) if " ".join(lines) in said[k][0] or len(lines) > 1 and any(" ".join(said[k][1][a : a + len(lines)]) == " ".join(lines) for a in range(len(said[k][1]) - len(lines) + 1))]
+
+                def in_order(k):
+                    rest = iter(said[k][1])
+                    return all(x in rest for x in lines)
+
+                apart = [k for k in range(i) if in_order(k)] if len(lines) > 1 and not whole else []
+                pieces = [fold(x) for x in re.split("\n(?: *\n)+", "\n".join(group))]
+                by_piece = [max(ks) for x in pieces if x and len(pieces) > 1 and (ks := [k for k in range(i) if x in said[k][0]])]
+                if whole or apart or by_piece:
+                    origin = max(whole) if whole else max(apart) if apart else by_piece[0]
+                    break
+            replied[conv, turn] = told[origin][1] if origin is not None else told[i - 1][1] if i else None
+            own = [group for level, group in passages if not level]
+            body = "\n".join(x for g in own for x in g).strip(" ")
+            names = {fold(body), *(fold("\n".join(g)) for g in own), *(fold(x) for g in own for x in g), *(fold(x) for x in re.split("\n(?: *\n)+", body))} - {""}
+            said.append((names, [fold(x) for x in body.split("\n") if fold(x)]))
+    return replied
+
+
+def test_quotes_equal_a_plain_linker(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice(["a", "b", "C", "dd"]) for _ in range(rng.randrange(1, 4)))
+    rows = []
+    for conv in range(60):
+        texts = []
+        for turn in range(rng.randrange(2, 9)):
+            out = []
+            for _ in range(rng.randrange(3)):
+                if texts and rng.random() < 0.8:
+                    source = rng.choice(texts).split("\n")
+                    a, n = rng.randrange(len(source)), rng.randrange(1, 5)
+                    out += ["> " + x for x in source[a : a + n]] + [rng.choice(["", line()])]
+            text = "\n".join([*out, *(rng.choice([line(), line(), line(), ""]) for _ in range(rng.randrange(1, 8)))])
+            texts.append(text)
+            rows.append((conv, turn, "user", text))
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == _plain_replies(rows)
+
+
+def test_long_messages_of_many_lines(spark):
+    lines = [f"line {i} of {i % 7}" for i in range(16000)]
+    rows = [(1, 0, "user", "\n".join(lines)), (1, 1, "user", "none"), (1, 2, "user", "\n".join("> " + x for x in lines[3000:11000]) + "\nwell")]
+    got = {r["turn"]: (r["reply_to"], r["text"]) for r in reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("turn > 0").collect()}
+    assert got == {1: (0, "none"), 2: (0, "well")}
