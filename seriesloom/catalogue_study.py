@@ -464,3 +464,9 @@ def nation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nation_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = regimes.regimes(tables.nations(spark, sf_dir)).withColumn("previous", F.lag("state").over(by_series())).where("previous is not null and state is not null")
     return _out(s.groupBy("series_id", "previous", "state").agg(F.count(F.lit(1)).alias("n")), "series_id", "previous", "state", "n")
+
+
+@query()
+def nation_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hidden chain's stress chance of each nation's series."""
+    return _out(models.walk_forward_hidden(tables.nations(spark, sf_dir)), "series_id", "dt", "p_hidden")

@@ -118,3 +118,18 @@ def test_folds_fit_as_each_alone(spark):
             b += 0.01 * (z.T @ (y[:n] - 1 / (1 + np.exp(-z @ b))) - [0, *b[1:]])
         assert [got[key][f"b{i}"] for i in range(3)] == pytest.approx(b.tolist(), abs=1e-7)
         assert [got[key][f"m{i}"] for i in (1, 2)] == pytest.approx(x[:n].mean(axis=0).tolist())
+
+
+def test_hidden_chain_in_blocks_equals_plain_fits(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(models, "ROUNDS", 3)
+    monkeypatch.setattr(models, "REFIT_ROWS", 100)
+    rows = [(name, i, dt.date(1997, 9, 1) + dt.timedelta(days=i), None if i == 7 else float(v)) for name, n in (("a", 530), ("b", 170), ("c", 40)) for i, v in enumerate(rng.normal(0, np.where(np.arange(n) // 30 % 2, 0.02, 0.005)))]
+    df = spark.createDataFrame(rows, "series_id string, seq int, dt date, r double")
+    known = df.where("r is not null")
+    # the limit on rounds is passed along: a fit ends after three here as there
+    blocks = {(r["series_id"], r["seq"]): r["p_hidden"] for r in models.hidden_in_blocks(known, 64, 3).collect()}
+    for name, part in known.toPandas().groupby("series_id"):
+        want = models._hidden(part)
+        assert [blocks[name, k] for k in want["seq"]] == [None if p is None else pytest.approx(p, abs=1e-9) for p in want["p_hidden"]]
+    assert sum(p is not None for p in blocks.values()) > 400 and models.hidden_in_blocks(known.limit(0)).count() == 0
