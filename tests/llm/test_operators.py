@@ -438,3 +438,28 @@ def test_long_messages_of_many_lines(spark):
     rows = [(1, 0, "user", "\n".join(lines)), (1, 1, "user", "none"), (1, 2, "user", "\n".join("> " + x for x in lines[3000:11000]) + "\nwell")]
     got = {r["turn"]: (r["reply_to"], r["text"]) for r in reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("turn > 0").collect()}
     assert got == {1: (0, "none"), 2: (0, "well")}
+
+
+def test_decontamination_index_finds_similar_windows(spark):
+    """Recall of the Hamming index over windows of a similarity of 0.8 or more, for items of 6 to 90 shingles."""
+    from seriesloom.llm import decontamination as d
+
+    rng = random.Random(9)
+    pairs = []
+    for i in range(400):
+        item = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(10, 95))]
+        window = list(item)
+        for _ in range(rng.choice([1, 1, 2])):
+            at = rng.choice([0, 1, 2, len(item) - 1, rng.randrange(len(item))])
+            window[at] = f"x{rng.randrange(4000)}"
+        pairs.append((i, item, window))
+    weights = [{k: collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for k, w in (("a", a), ("b", b))} for _, a, b in pairs]
+    alike = {i for i, w in enumerate(weights) if sum((w["a"] & w["b"]).values()) >= 0.8 * sum((w["a"] | w["b"]).values())}
+    rows = [(i, side, " ".join(x)) for i, a, b in pairs for side, x in (("a", a), ("b", b))]
+    grams = d._with_shingles(spark.createDataFrame(rows, "item_id long, side string, text string"), ["item_id", "side"], d.GRAM)
+    weighted = grams.selectExpr("item_id", "side", "explode(grams) as g").groupBy("item_id", "side", "g").count().withColumnRenamed("count", "w")
+    prints = d._in_blocks(d._simhash(weighted, ["item_id", "side"]), "print", d.RADIUS)
+    a, b = (prints.where(f"side = '{s}'").selectExpr("item_id", "block", "value", f"print as {s}") for s in "ab")
+    met = a.join(b, ["item_id", "block", "value"]).where(f"bit_count(a ^ b) <= {d.RADIUS}")
+    found = {r["item_id"] for r in met.select("item_id").distinct().collect()}
+    assert len(alike) > 100 and len(alike & found) >= 0.99 * len(alike)
