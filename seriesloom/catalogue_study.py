@@ -63,6 +63,7 @@ def _level_targets(cells: list[tuple[str, str, float, float]]) -> str:
 
 _GRID = f"""{DAYS}, tg AS ({_level_targets([(run_id(*c), *c) for c in CELLS])}), {_wide("runs", "tg")}, {_simulated("sim", "runs")}, win AS (SELECT * FROM sim WHERE seq >= {FIRST})"""
 _CHOSEN = [("base", "base_0.90", 0.8, 0.25), ("state", "state_0.90", 0.8, 0.25), ("multi", "multi_0.90", 0.8, 0.25), ("vol_target", "vol_target", 0.8, 0.0)]
+_CHOSEN_FITTED = [("hmm", "hmm", 0.8, 0.25), ("logistic", "logistic_0.90", 0.8, 0.25)]
 #: The strategy whose mean exposure sets that of the constant level and of the equal volatility target.
 MAIN = "multi"
 _PARTS, _ROUNDS = 32, 5
@@ -132,13 +133,24 @@ def _mean_exposures(weighted, days, signals, names):
     return got.groupBy(F.col("run_id").alias("strategy")).agg(F.avg("exposure").alias("target"))
 
 
-def _all_days(spark, sf_dir):
-    """Simulated days of all strategies in the evaluation window."""
+def _fitted_signals(spark, sf_dir, highs=HIGHS):
+    """(signal, dt, p_stress) of what is fitted as time goes on: the hidden chain, and the logistic regression at each high quantile, whose folds are fitted together."""
+    market = kept(tables.market(spark, sf_dir), "market")
+    hidden = models.walk_forward_hidden(market).select(F.lit("hmm").alias("signal"), "dt", F.col("p_hidden").alias("p_stress"))
+    logistic = models.walk_forward_logistic(regimes.states_at(regimes.volatility(market), highs))
+    logistic = logistic.join(market.select("seq", "dt"), "seq").select(F.concat(F.lit("logistic_"), F.substring_index("series_id", "#", -1)).alias("signal"), "dt", F.col("p_logistic").alias("p_stress"))
+    return kept(hidden.unionByName(logistic), "signals")
+
+
+def _all_days(spark, sf_dir, fitted: DataFrame | None = None):
+    """Simulated days of all strategies in the evaluation window; with the fitted signals, of theirs too."""
     weighted, days = _base(spark, sf_dir)
     signals = _signals(spark, sf_dir, (0.90,))
     equal = study.equal_exposures(weighted, days, _mean_exposures(weighted, days, signals, (MAIN,)))
-    runs = [(name, "none" if signal == "vol_target" else signal, m, react) for name, signal, m, react in _CHOSEN]
-    got = portfolio.filled_orders(study.all_targets(weighted, days, signals, study.strategy_table(spark, runs, equal)))
+    chosen = _CHOSEN if fitted is None else _CHOSEN + _CHOSEN_FITTED
+    runs = [(name, "none" if signal == "vol_target" else signal, m, react) for name, signal, m, react in chosen]
+    known = signals if fitted is None else signals.unionByName(fitted)
+    got = portfolio.filled_orders(study.all_targets(weighted, days, known, study.strategy_table(spark, runs, equal)))
     return kept(study.window(got).join(F.broadcast(days.select("seq", "dt")), "seq"), "simulated")
 
 
@@ -232,24 +244,23 @@ def equal_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("strategy", F.round("m", 6).alias("m"), F.round("target", DIGITS).alias("exposure"))
 
 
-def _returns_side_by_side(spark, sf_dir):
-    """(names, df): a column of returns for each strategy."""
-    days = _all_days(spark, sf_dir)
-    names = [MAIN, "vol_target_equal", "constant", "vol_target", "state", "base", "trend", "static", "market", "60_40"]
-    return names, days.groupBy("seq").agg(*(F.max(F.when(F.col("run_id") == n, F.col("ret"))).alias(n) for n in names))
+def _side_by_side(days, names):
+    """A column of returns for each of the named strategies."""
+    return days.groupBy("seq").agg(*(F.max(F.when(F.col("run_id") == n, F.col("ret"))).alias(n) for n in names))
 
 
 @query()
 def bootstrap_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main strategy against each other one, 10,000 replicates that all pairs share."""
-    names, df = _returns_side_by_side(spark, sf_dir)
-    return _out(inference.bootstrap_against(df, names[0], names[1:], 10_000), "rival", "measure", "point", "low", "high", "share_below")
+    """The main strategy against each of the eleven others, 10,000 replicates that all pairs share."""
+    rivals = ["vol_target_equal", "hmm", "logistic", "constant", "vol_target", "state", "base", "trend", "static", "market", "60_40"]
+    df = _side_by_side(_all_days(spark, sf_dir, _fitted_signals(spark, sf_dir, (0.90,))), [MAIN, *rivals])
+    return _out(inference.bootstrap_against(df, MAIN, rivals, 10_000), "rival", "measure", "point", "low", "high", "share_below")
 
 
 @query()
 def power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six true differences, 300 repetitions of each, 400 inner replicates, at the evaluation's length."""
-    _, df = _returns_side_by_side(spark, sf_dir)
+    df = _side_by_side(_all_days(spark, sf_dir), [MAIN, "vol_target_equal"])
     pair = df.select("seq", (F.col(MAIN) - portfolio.CASH).alias("a"), (F.col("vol_target_equal") - portfolio.CASH).alias("b"))
     return _out(inference.power_study(pair, (0.0, 0.05, 0.10, 0.15, 0.20, 0.30), 300, 400, pair.count()), "delta", "power", "share_positive")
 
@@ -367,12 +378,31 @@ _FITTED = [("hmm", m, react) for m in strategies.MULTIPLIERS for react in strate
 
 @query()
 def fitted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 18 cells of the signals that are fitted as time goes on: the hidden chain's, and the logistic regression's at both high quantiles, whose folds are fitted together."""
-    market = kept(tables.market(spark, sf_dir), "market")
-    hidden = models.walk_forward_hidden(market).select(F.lit("hmm").alias("signal"), "dt", F.col("p_hidden").alias("p_stress"))
-    logistic = models.walk_forward_logistic(regimes.states_at(regimes.volatility(market), HIGHS))
-    logistic = logistic.join(market.select("seq", "dt"), "seq").select(F.concat(F.lit("logistic_"), F.substring_index("series_id", "#", -1)).alias("signal"), "dt", F.col("p_logistic").alias("p_stress"))
-    return _out(portfolio.metrics(_grid_days(spark, sf_dir, _FITTED, kept(hidden.unionByName(logistic), "signals"))), "run_id", *_MEASURES)
+    """The 18 cells of the fitted signals: the hidden chain's, and the logistic regression's at both high quantiles."""
+    return _out(portfolio.metrics(_grid_days(spark, sf_dir, _FITTED, _fitted_signals(spark, sf_dir))), "run_id", *_MEASURES)
+
+
+@query()
+def study_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve strategies, those of the fitted signals too: measures, ratios of both subperiods, and the ratio at a cost of 0.1 %."""
+    days = _all_days(spark, sf_dir, _fitted_signals(spark, sf_dir, (0.90,)))
+    parts = study.subperiods(days, SPLIT).groupBy("run_id").agg(*(F.max(F.when(F.col("part") == p, F.col("sharpe"))).alias(f"sharpe_{p}") for p in ("before", "after")))
+    costly = strategies.at_costs(days, (0.001,)).groupBy("run_id").agg(study.sharpe(F.col("ret") - portfolio.CASH).alias("sharpe_at_cost"))
+    # a row for each strategy
+    got = portfolio.metrics(days).join(F.broadcast(parts), "run_id").join(F.broadcast(costly), "run_id")
+    return _out(got, "run_id", *_MEASURES, "sharpe_before", "sharpe_after", "sharpe_at_cost")
+
+
+@query()
+def deflated_whole_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of the grid's 57 cells, fitted signals included: its ratio deflated for 57 trials, and for the declared numbers, by the variance over the same 57."""
+    signals = _signals(spark, sf_dir).unionByName(_fitted_signals(spark, sf_dir))
+    cells = CELLS + _FITTED
+    days = _grid_days(spark, sf_dir, cells, signals)
+    variance = portfolio.metrics(days).agg(F.var_samp(F.col("sharpe") / F.sqrt(F.lit(252))).alias("v"))
+    trials = spark.createDataFrame([(n,) for n in (len(cells), *DECLARED)], "trials long")
+    got = study.deflated_sharpe(days, variance, trials)
+    return got.select("run_id", "trials", F.round("sr", DIGITS).alias("sr"), F.round("threshold", DIGITS).alias("threshold"), F.round(normal_cdf(F.col("z")), 6).alias("probability"))
 
 
 @query()
