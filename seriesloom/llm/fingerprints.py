@@ -3,9 +3,12 @@
 A text is a sequence of code points. One round of the parse cuts runs of equal symbols into pairs; elsewhere it gives each symbol a
 small label by deterministic coin tossing (the lowest bit in which it differs from its left neighbour, repeated until six labels
 are left, so neighbours always differ), cuts before each local maximum of the labels, and names each phrase by a hash of its
-symbols. Names are the symbols of the next round. Where a cut lies depends on a few symbols around it only, so equal substrings get
-the same names but near their ends, whatever their offset. The fingerprint keeps the least hashes of the names of the upper rounds
-(a bottom-k sketch); likeness is the share of common hashes among the k least of two sketches' union.
+symbols. Names are the symbols of the next round, until one phrase is left: each round makes a sequence shorter, as a phrase of one
+symbol stands only beside a run. Where a cut lies depends on a few symbols around it only, so equal substrings get the same names but
+near their ends, whatever their offset. A text's set are the names of all rounds from FIRST on. The fingerprint keeps the KEPT least
+hashes of it (a bottom-k sketch); likeness is the share of common hashes among the k least of two sketches' union: exact where both
+sets have fewer, otherwise an unbiased estimate of the sets' Jaccard similarity J whose standard error is at most
+sqrt(J (1 - J) / KEPT) <= ERROR, whatever the length of the texts.
 
 Nulls and edge cases: a null text counts as empty. The empty text has an empty fingerprint; two empty ones are alike by 1, an empty
 and another one by 0. Equal texts have equal fingerprints. Short texts are known by the names of lower rounds too.
@@ -13,7 +16,9 @@ and another one by 0. Equal texts have equal fingerprints. Short texts are known
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -27,8 +32,11 @@ from . import textkit as K
 from .common import shuffle_partitions
 
 _U = np.uint64
-#: Rounds whose names make up the set, and the hashes that a fingerprint keeps.
-ROUNDS, KEPT = (2, 3), 64
+#: The first round (from 0) whose names are in the set.
+FIRST = 2
+#: Bound of the standard error of a likeness, and the number of hashes that it takes.
+ERROR = 0.04
+KEPT = math.ceil(1 / (2 * ERROR) ** 2)
 #: A text with fewer phrases than this in a round is known by the symbols of the round below too.
 SPARSE = 16
 
@@ -72,6 +80,8 @@ def parse_round(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     left[0] = 255
     left[1:] = label[:-1]
     left[first] = 255
+    after = begin + 1
+    left[after[after < n]] = 255  # no phrase of one symbol at a stretch's start
     right = np.zeros_like(label)
     right[:-1] = label[1:]
     right[begin[begin > 0] - 1] = 0
@@ -86,8 +96,8 @@ def parse_round(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return names, np.searchsorted(cut, offsets)
 
 
-def phrase_sets(points: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """For each text the hashes of its phrase names in ascending order, the KEPT least; the k-th copy of a name counts apart."""
+def phrase_sets(points: np.ndarray, offsets: np.ndarray, most: int = KEPT) -> list[np.ndarray]:
+    """For each text the hashes of its phrase names in ascending order, the `most` least; the k-th copy of a name counts apart."""
     symbols, at = K.point_values()[points], offsets
     found, where = [], []
 
@@ -96,13 +106,15 @@ def phrase_sets(points: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         found.append(names[K.ranges(at[:-1], n)])
         where.append(np.repeat(np.arange(len(n)), n))
 
-    for r in range(max(ROUNDS) + 1):
+    for r in itertools.count():
         below = symbols, at
         symbols, at = parse_round(symbols, at)
-        if r <= ROUNDS[0]:
+        if r <= FIRST:
             take(*below, np.diff(at) < SPARSE)  # a short text is known by the round below too
-        if r in ROUNDS:
-            take(symbols, at, np.ones(len(at) - 1, bool))
+        if r >= FIRST:
+            take(symbols, at, (np.diff(below[1]) > 1) | (r == FIRST))
+        if r >= FIRST and not (np.diff(at) > 1).any():
+            break
     order = np.sort((np.concatenate(where).astype(_U) << _U(32)) | (K.mix(np.concatenate(found)) >> _U(32)))
     new = np.ones(len(order), bool)
     new[1:] = order[1:] != order[:-1]
@@ -113,7 +125,7 @@ def phrase_sets(points: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     order[again] = (order[again] ^ name) | (K.mix(name * _U(0xD6E8FEB86659FD93) + copy[again].astype(_U)) >> _U(32))
     order.sort()
     cuts = np.searchsorted(order, np.arange(len(offsets), dtype=_U) << _U(32))
-    return [(order[a : min(b, a + KEPT)] & _U(0xFFFFFFFF)).astype(np.uint32) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+    return [(order[a : min(b, a + most)] & _U(0xFFFFFFFF)).astype(np.uint32) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
 
 def fingerprints(texts: list[str]) -> list[np.ndarray]:
@@ -123,7 +135,8 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
 
 
 def as_text(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+    """Its hashes in base 64, 16 characters for 3 of them."""
+    return base64.b64encode(sketch.astype(">u4").tobytes()).decode()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -92,6 +92,89 @@ def test_fingerprints(spark):
     assert compare_with_next(table(spark, [])).count() == 0
 
 
+def plain_labels(x):
+    """Labels of a stretch without equal neighbours: the lowest bit that differs from the left one, with its value, four times."""
+    for _ in range(4):
+        left = [x[0] ^ 1, *x[:-1]]
+        bit = [((a ^ b) & -(a ^ b)).bit_length() - 1 for a, b in zip(x, left)]
+        x = [2 * b + (a >> b & 1) for a, b in zip(x, bit)]
+    return x
+
+
+def plain_phrases(symbols):
+    out = []
+    for same, stretch in itertools.groupby(_stretches(symbols), key=lambda s: s[0]):
+        for _, x in stretch:
+            if same:
+                out += [tuple(x[i : i + 2]) for i in range(0, len(x), 2)]
+                continue
+            l = [*plain_labels(x), 0]
+            cuts = [0, *(i for i in range(2, len(x)) if l[i] > l[i - 1] and l[i] >= l[i + 1]), len(x)]
+            out += [tuple(x[a:b]) for a, b in itertools.pairwise(cuts)]
+    return out
+
+
+def _stretches(symbols):
+    """(whether it is a run of equal symbols, symbols) in order."""
+    single = []
+    for _, run in itertools.groupby(symbols):
+        run = list(run)
+        if len(run) == 1:
+            single += run
+            continue
+        if single:
+            yield False, single
+            single = []
+        yield True, run
+    if single:
+        yield False, single
+
+
+def test_parse_equals_a_plain_one_up_to_the_top():
+    rng = random.Random(5)
+    texts = ["", "a", "aa", "aaa", "ab", "abab" * 20, *("".join(rng.choice(kind) for _ in range(rng.randint(2, 400))) for kind in ("ab", "abcdefgh ", "aaaab", "日本é\U0001d11e x") for _ in range(8))]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    symbols, at = textkit.point_values()[points], np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    names = {}  # one name for each phrase in all texts
+    for _ in range(12):
+        want = [plain_phrases([int(v) for v in symbols[a:b]]) for a, b in itertools.pairwise(at)]
+        before = np.diff(at)
+        symbols, at = fingerprints.parse_round(symbols, at)
+        got = [symbols[a:b].tolist() for a, b in itertools.pairwise(at)]
+        assert [len(x) for x in got] == [len(x) for x in want]
+        for phrase, name in zip(itertools.chain(*want), itertools.chain(*got)):
+            assert names.setdefault(phrase, name) == name
+        assert (np.diff(at) < np.maximum(before, 2)).all()
+    assert len(set(names.values())) == len(names) and np.diff(at).max() == 1
+
+
+def test_likeness_is_within_its_error(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    edited = [t[: len(t) - len(t) // 3] + after[: len(t) // 3] for t, after in itertools.pairwise(texts)]
+    both = "".join(texts + edited)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts + edited])]).astype(np.int64)
+    points = np.frombuffer(both.encode("utf-32-le"), np.uint32)
+    whole, sketches = fingerprints.phrase_sets(points, at, 10**9), fingerprints.phrase_sets(points, at)
+    assert max(map(len, whole)) > 4 * fingerprints.KEPT
+    errors = []
+    for i in range(len(edited)):
+        a, b = set(whole[i].tolist()), set(whole[len(texts) + i].tolist())
+        exact = len(a & b) / len(a | b) if a and b else float(a == b)
+        got = fingerprints.likeness(sketches[i], sketches[len(texts) + i])
+        assert len(a | b) > fingerprints.KEPT or got == exact
+        errors.append(got - exact)
+    assert np.sqrt(np.mean(np.square(errors))) <= fingerprints.ERROR and np.abs(errors).max() <= 4 * fingerprints.ERROR
+
+
+def test_fingerprints_of_odd_rows(spark):
+    long = "a long text of some words " * 8000
+    rows = [(None, long), (None, long), (3, "x"), (3, "x"), (3, None), (None, None)]
+    docs = spark.createDataFrame([(k, t, 1, 2, "f") for k, t in rows], "doc_id long, text string, part int, border int, fingerprint string")
+    got = compare_with_next(docs).collect()
+    assert collections.Counter((r["doc_id"], r["n_chars"]) for r in got) == collections.Counter((k, len(t or "")) for k, t in rows)
+    assert len({r["fingerprint"] for r in got}) == 3
+
+
 def test_jaccard_classes_equal_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]
