@@ -12,10 +12,13 @@ row; ordering by it interleaves all sources evenly.
 
 The driver gets one row per source and no more than MOST_SOURCES of them (an error beyond that). A hot source has many blocks, so its
 rows are dealt over many tasks; its blocks are ordered in BUCKETS ranges of their hash, each by itself, and the ranges by their sums.
+Rows that are the same in every column are counted first and numbered as copies, so they are dealt over blocks like any others.
 
 Nulls and edge cases: a null source is a source of its own; null, empty and blank texts have no tokens and are left out, as they fill
-no budget; rows that share a doc_id are mixed as rows, repeated rows are taken each by itself; ties of the hash are broken by doc_id and
-row; an empty table gives no rows. Extra columns may have any name: the plan drops them, mixture() gives them back as they are.
+no budget; rows that share a doc_id are mixed as rows, repeated rows are taken each by itself; ties of the hash are broken by doc_id, row and
+copy; an empty table gives no rows. Extra columns may have any name and type: the plan drops them, mixture() gives them back as they
+are. Maps are told apart with the order of their entries. Rows are known by 128 bits of hashes: of n different ones, two share a name
+with a chance of about n * n / 2^129.
 Tokens are words between ASCII white space.
 """
 
@@ -26,8 +29,13 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import shuffle_partitions
 
 BLOCK_TOKENS, BUCKETS, MOST_SOURCES = 50_000, 4096, 10_000_000
+#: Copies of a row that are numbered together.
+COPIES = 65_536
 
 
 def weights_of(shares: np.ndarray, exponent: float) -> np.ndarray:
@@ -70,9 +78,28 @@ def budgets(tokens: np.ndarray, budget: int, exponent: float) -> np.ndarray:
     return whole
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _holds_map(kind.elementType)
+
+
 def row_hash(docs: DataFrame) -> Column:
-    """A hash of whole rows: rows that differ anywhere differ in it."""
-    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns))
+    """A 128-bit name of whole rows, as a struct of two hashes: rows that differ anywhere differ in it."""
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    values = [F.to_json(F.struct(c)) if _holds_map(f.dataType) else c for c, f in zip(columns, docs.schema.fields, strict=True)]
+    whole = [*values, *(c.isNull() for c in columns)]
+    return F.struct(F.xxhash64(F.lit(1), *whole).alias("a"), F.xxhash64(F.lit(2), *whole).alias("b"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with `copy`, 0 and up among rows that are the same; many copies are numbered by many tasks."""
+    classes = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    single = classes.where("copies = 1").select(*rows.columns, F.lit(0).cast("long").alias("copy"))
+    chunk = classes.where("copies > 1").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")))
+    apart = chunk.repartition(shuffle_partitions(rows.sparkSession), "row", "chunk")
+    many = apart.select(*rows.columns, F.explode(F.expr(f"sequence(chunk * {COPIES}, least(copies, (chunk + 1) * {COPIES}) - 1)")).alias("copy"))
+    return single.unionByName(many)
 
 
 def mix_plan(docs: DataFrame, budget: int | None = None, target_entropy: float = 0.95, repeat_limit: float = 4.0, seed: int = 17, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -95,9 +122,9 @@ def mix_plan(docs: DataFrame, budget: int | None = None, target_entropy: float =
     sources = spark.createDataFrame(plan, schema)  # one row per source
     sources = F.broadcast(sources) if len(plan) <= 100_000 else sources
     same = F.col("source").eqNullSafe(F.col("s"))
-    dealt = counted.join(sources, same).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row"), F.col("blocks")))
-    inside = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "row"), "doc_id", "row")
-    rows = dealt.select("doc_id", "row", "source", "block", "n_tokens").withColumn("before", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
+    dealt = numbered(counted).join(sources, same).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row", "copy"), F.col("blocks")))
+    inside = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "row", "copy"), "doc_id", "row", "copy")
+    rows = dealt.select("doc_id", "row", "copy", "source", "block", "n_tokens").withColumn("before", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
     # each epoch's permutation of blocks, with the tokens that come before each block
     sized = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("own").alias("own"), F.first("budget").alias("budget"))
     epochs = sized.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("budget") / F.col("own")).cast("long")))).where("epoch * own < budget")
@@ -118,10 +145,10 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 
     Rows that are the same in every column are one class: the plan's rows for it are made from one of them.
     """
-    row = row_hash(docs)
+    # packed, so that no name of docs can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("doc"), row_hash(docs).alias("row"))
     times = mix_plan(docs, **options).groupBy("row").agg(F.count(F.lit(1)).alias("times"))
-    copies = docs.select(row.alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    plan = times.join(copies, "row").select(F.col("row").alias("plan.row"), F.col("times").alias("plan.times"), F.col("copies").alias("plan.copies"))
-    met = docs.withColumn("row of docs", row).join(plan, F.col("row of docs") == F.col("`plan.row`"))
-    whole = met.where("`plan.copies` = 1").unionByName(met.where("`plan.copies` > 1").dropDuplicates(["row of docs"]))
-    return whole.withColumn("copy of docs", F.explode(F.sequence(F.lit(1).cast("long"), F.col("`plan.times`")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    met = rows.join(times.join(copies, "row"), "row")
+    whole = met.where("copies = 1").unionByName(met.where("copies > 1").dropDuplicates(["row"]))
+    return whole.select("doc", F.explode(F.expr("sequence(1L, times)"))).select("doc.*")

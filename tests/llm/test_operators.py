@@ -403,6 +403,62 @@ def test_mixing(spark):
     assert mixing.mixture(docs, block_tokens=20).count() == len(rows) and mixing.mix_plan(table(spark, [])).count() == 0
 
 
+def test_plan_equals_brute_force(spark):
+    """Blocks, their permutations and places anew, from the hashes of rows: epochs laid end to end up to the budget."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, ["w " * (1 + i % 7) for i in range(200)] + ["the same words"] * 60)
+    same = spark.createDataFrame([(7, "the same row", "en", "s0", 0, "x")] * 90, SCHEMA)
+    docs, seed, size, budget = docs.unionByName(same), 17, 40, 3000
+    rows = docs.select("doc_id", "source", mixing.row_hash(docs).alias("row"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n")).collect()
+    number, seen = [], collections.Counter()
+    for r in rows:
+        number.append((r["doc_id"], r["source"], r["row"], r["n"], seen[r["row"]]))
+        seen[r["row"]] += 1
+    kind = "doc_id long, source string, row struct<a: long, b: long>, n long, copy long"
+    hashed = spark.createDataFrame(number, kind).select("*", F.xxhash64(F.lit(seed), "doc_id", "row", "copy").alias("deal"), F.xxhash64(F.lit(seed + 1), "doc_id", "row", "copy").alias("order")).collect()
+    own = collections.Counter()
+    for r in rows:
+        own[r["source"]] += r["n"]
+    order = sorted(own, key=lambda s: (s is not None, s))
+    sizes = np.array([own[s] for s in order], float)
+    wanted = dict(zip(order, mixing.budgets(sizes, budget, mixing.temperature(sizes, budget, 0.95, 4.0)).tolist(), strict=True))
+    lots = [(s, e, b) for s in order for e in range(wanted[s] // own[s] + 1) for b in range(-(-own[s] // size))]
+    lot = {tuple(r)[:3]: r["lot"] for r in spark.createDataFrame(lots, "source string, epoch long, block long").select("*", F.xxhash64(F.lit(seed + 2), "source", "epoch", "block").alias("lot")).collect()}
+    want = []
+    for s in order:
+        inside = collections.defaultdict(list)
+        for r in hashed:
+            if r["source"] == s:
+                inside[r["deal"] % -(-own[s] // size)].append(r)
+        at = 0
+        for e in range(wanted[s] // own[s] + 1):
+            for b in sorted(inside, key=lambda b: (lot[s, e, b], b)):
+                for r in sorted(inside[b], key=lambda r: (r["order"], r["doc_id"], r["row"], r["copy"])):
+                    if at < wanted[s]:
+                        want.append((s or "", e, b, at / wanted[s], r["doc_id"], r["n"]))
+                    at += r["n"]
+    got = [(r["source"] or "", r["epoch"], r["block"], r["place"], r["doc_id"], r["n_tokens"]) for r in mixing.mix_plan(docs, budget=budget, block_tokens=size).collect()]
+    assert sorted(got) == sorted(want) and max(e for _, e, *_ in got) > 0
+    assert len({b for s, _, b, _, k, _ in got if k == 7}) > 3
+
+
+@pytest.mark.parametrize("together", [1, 2, 10])
+def test_copies_are_numbered_in_chunks(spark, monkeypatch, together):
+    monkeypatch.setattr(mixing, "COPIES", together)
+    rows = spark.createDataFrame([(k, (k, 1)) for k in (1, 1, 1, 1, 1, 2, 3, 3, None, None)], "doc_id long, row struct<a: long, b: long>")
+    got = sorted((str(r["doc_id"]), r["copy"]) for r in mixing.numbered(rows).collect())
+    assert got == [*(("1", i) for i in range(5)), ("2", 0), ("3", 0), ("3", 1), ("None", 0), ("None", 1)]
+
+
+def test_mixture_takes_maps_and_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", {"k": 1}, 5, [{"k": None}]), (1, "a b", "s", {"k": 2}, 5, [{"k": None}]), (2, "c", None, None, 6, None)], "doc_id long, text string, source string, `plan.row` map<string, int>, `a``b` int, doc array<map<string, int>>")
+    got = mixing.mixture(docs, budget=50)
+    plan = collections.Counter(r["doc_id"] for r in mixing.mix_plan(docs, budget=50).collect())
+    assert got.columns == docs.columns and collections.Counter(r["doc_id"] for r in got.collect()) == plan
+    assert {str(r["plan.row"]) for r in got.collect()} == {"{'k': 1}", "{'k': 2}", "None"}
+
+
 def test_mixture_is_the_plan_row_for_row(spark):
     rows = [(1, "a b c", "s", 7), (1, "a b c", "t", 7), (1, "a b c", "t", 7), (1, "a b c", "t", 8), (None, "d e", None, 9), (2, None, "s", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `times` int").withColumnsRenamed({}).selectExpr("*", "1 as rows", "2 as copies", "3 as row", "4 as s", "5 as block")
