@@ -7,6 +7,8 @@ import struct
 import numpy as np
 
 SAMPLE = 256
+#: Values whose low bits are packed at once; a multiple of 8.
+SLICE = 1 << 14
 _HEAD = struct.Struct("<QQBxxxI")
 
 
@@ -16,8 +18,8 @@ def encode(values: np.ndarray) -> bytes:
     n = len(values)
     top = int(values[-1]) if n else 0
     low = max(0, (top // n).bit_length() - 1) if n else 0
-    bits = (values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1) if low else np.zeros((n, 0), np.uint64)
-    lows = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    # in slices whose bits fill whole bytes
+    lows = b"".join(_low_bits(values[i : i + SLICE], low) for i in range(0, n, SLICE)) if low else b""
     ones = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
     high = np.zeros(n + (top >> low) + 1, np.uint8)
     high[ones] = 1
@@ -26,6 +28,11 @@ def encode(values: np.ndarray) -> bytes:
     return _HEAD.pack(n, top, low, len(packed)) + samples + packed + lows
 
 
+def _low_bits(values: np.ndarray, low: int) -> bytes:
+    bits = (values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+
+
 class EliasFano:
     """Reads encode()'s bytes: select(i) gives value i by itself, slice(i, j) a run of them; no table of 64-bit values is kept."""
 

@@ -2,7 +2,7 @@
 
 Statistics of each whole text are taken in Arrow batches. Class sums, means and covariances come from one Spark aggregation over
 all labelled training rows, so no rows reach the driver; it gets one row of moments per class. Each class covariance is shrunk
-towards the pooled one and then towards a scaled identity, and its Cholesky factor is computed once and used for every score.
+towards the pooled one and then towards its own diagonal, and its Cholesky factor is computed once and used for every score.
 
 Nulls and edge cases: a null text counts as empty; empty texts are scored too. Rows of the input with a null key, repeated rows and
 extra columns are kept as they are by with_score(), whatever their names; quality_scores() drops them. A label that is null is not learned from; several labels of one key all count. With no
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from . import textkit as K
 
 STATISTICS = ("log_words", "word_length", "upper", "digit", "symbol", "mark", "space", "line", "distinct_words", "longest_run", "repeated_lines", "letters_spread")
-#: Weight of the pooled covariance, of the scaled identity, and the least variance of a transformed statistic.
+#: Weight of the pooled covariance, of the own diagonal, and the least variance of a transformed statistic.
 POOL, IDENTITY, FLOOR = 0.3, 0.05, 1e-3
 THRESHOLD = 0.3
 

@@ -36,7 +36,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the documents that labels marks as good; background: all documents."""
+    """Target: the documents that labels marks as good; background: all others."""
     from .lm_scores import cross_entropy_difference
 
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")

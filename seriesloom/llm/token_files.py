@@ -1,12 +1,13 @@
 """Operator 2, token-ID output: shards of concatenated ids with Elias-Fano document boundaries.
 
 A shard is one file: ids as little-endian uint16 (uint32 for larger vocabularies), the Elias-Fano code of the ends of its
-documents, their doc_ids as int64 (with a mask of nulls), and a footer that says where each part lies. Shards are ranges of
-doc_id in ascending order, one per Spark partition, and rows keep that order inside. `start` over all shards is the running sum of
-a manifest with one row per shard.
+documents, the Elias-Fano code of their doc_ids (above the first one), and a footer that says where each part lies and how many null
+doc_ids come first. Shards are ranges of doc_id in ascending order, one per Spark partition, of about SHARD_BYTES of text or less, and
+rows keep that order inside. `start` over all shards is the running sum of a manifest with one row per shard.
 
-Nulls and edge cases: a null text counts as empty and gives the end id alone; a null doc_id sorts first; rows that share a doc_id
-follow one another in the order of their texts; an empty table gives no documents. Other columns are not written.
+Nulls and edge cases: a null text counts as empty and gives the end id alone; a null doc_id sorts first; rows that share a doc_id (or
+have none) follow one another in the order of their texts' hashes, by which they are dealt over shards too; rows that are the same in
+both lie in one shard; an empty table gives no documents. Other columns are not written.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import shuffle_partitions
+from .common import block_count, shuffle_partitions
 from .elias_fano import EliasFano, encode
 from .tokens import encode_slice, tokenizer
 
 #: Bytes of text encoded at once: the larger, the fewer times a pre-token is looked up.
 SLICE_BYTES = 3 << 20
-MAGIC = b"SLTK0001"
-FOOT = "<QQQQBxxx8s"
+#: Bytes of text that a shard aims at: a table of more than so many for each shuffle partition makes more shards.
+SHARD_BYTES = 256 << 20
+MAGIC = b"SLTK0002"
+FOOT = "<QQQQqBxxx8s"
 FOOT_SIZE = struct.calcsize(FOOT)
 MANIFEST = "shard int, path string, n_docs long, n_ids long"
 ROWS = T.StructType([
@@ -44,7 +47,7 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, shards: int | None = None) -> DataFrame:
+def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode docs.text and write the shards and their manifest under folder; returns the manifest.
 
     A task that runs again writes the same file anew and moves it into place, so a lost executor leaves nothing half-written.
@@ -60,7 +63,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
         system, base = _filesystem(folder)
         path = f"{base}/shard-{shard:06d}.tok"
         part = f"{path}.{task.taskAttemptId()}.part"
-        lengths, keys, nulls, out = [], [], [], None
+        lengths, keys, nulls, out = [], [], 0, None
         for batch in batches:
             for rows, text in K.slices(batch, limit=SLICE_BYTES):
                 if out is None:
@@ -75,17 +78,17 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
                 out.write(whole.tobytes())
                 lengths.append(n + 1)
                 key = rows.column(rows.schema.get_field_index("doc_id"))
-                nulls.append(np.asarray(key.is_null()))
-                keys.append(np.asarray(key.fill_null(0), np.int64))
+                nulls += key.null_count
+                keys.append(np.asarray(key.drop_null(), np.int64))
         if out is None:
             return
         ends = np.cumsum(np.concatenate(lengths))
-        boundary, masked = encode(ends), np.packbits(np.concatenate(nulls)).tobytes()
+        boundary, known = encode(ends), np.concatenate(keys)
+        first = int(known[0]) if len(known) else 0
         with out:
             out.write(boundary)
-            out.write(np.concatenate(keys).astype("<i8").tobytes())
-            out.write(masked)
-            out.write(struct.pack(FOOT, int(ends[-1]), len(ends), len(boundary), len(masked), wide, MAGIC))
+            out.write(encode(known.view(np.uint64) - np.uint64(first % (1 << 64))))
+            out.write(struct.pack(FOOT, int(ends[-1]), len(ends), len(boundary), nulls, first, wide, MAGIC))
         system.move(part, path)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"shard-{shard:06d}.tok"], "n_docs": [len(ends)], "n_ids": [int(ends[-1])]})
 
@@ -93,28 +96,32 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
     system, base = _filesystem(folder)
     if folder.startswith("file:") or "://" not in folder:
         system.create_dir(base, recursive=True)
-    n = shards or shuffle_partitions(spark)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    n = shards or max(shuffle_partitions(spark), block_count(docs, block_bytes=shard_bytes))
+    order = F.col("doc_id").asc_nulls_first(), "lot"
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("lot")).repartitionByRange(n, *order)
+    dealt.sortWithinPartitions(*order, "text").select("doc_id", "text").mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 class Shard:
-    """Random access to one file: only the footer, the boundaries and the ids that are asked for are read."""
+    """Random access to one file: only the footer, the two codes and the ids that are asked for are read."""
 
     def __init__(self, uri: str):
         system, path = _filesystem(uri)
         self.file = system.open_input_file(path)
-        size = self.file.size()
-        self.n_ids, self.n, boundary, masked, wide, magic = struct.unpack(FOOT, self.file.read_at(FOOT_SIZE, size - FOOT_SIZE))
+        size = self.file.size() - FOOT_SIZE
+        self.n_ids, self.n, boundary, self.nulls, self.first, wide, magic = struct.unpack(FOOT, self.file.read_at(FOOT_SIZE, size))
         if magic != MAGIC:
             raise ValueError(f"{uri} is no token shard")
         self.kind = np.dtype("<u4" if wide else "<u2")
-        at = size - FOOT_SIZE - masked
-        mask = np.unpackbits(np.frombuffer(self.file.read_at(masked, at), np.uint8))[: self.n].astype(bool)
-        at -= 8 * self.n
-        self.doc_ids = pa.array(np.frombuffer(self.file.read_at(8 * self.n, at), "<i8"), mask=mask)
-        self.ends = EliasFano(self.file.read_at(boundary, at - boundary))
+        at = len(MAGIC) + self.n_ids * self.kind.itemsize
+        self.ends = EliasFano(self.file.read_at(boundary, at))
+        self.keys = EliasFano(self.file.read_at(size - at - boundary, at + boundary))
+
+    def doc_ids(self, i: int, j: int) -> pa.Array:
+        """doc_ids of documents i..j-1, nulls first."""
+        known = self.keys.slice(max(0, i - self.nulls), max(0, j - self.nulls)) + np.int64(self.first)
+        return pa.concat_arrays([pa.nulls(max(0, min(j, self.nulls) - i), pa.int64()), pa.array(known, pa.int64())])
 
     def bounds(self, i: int, j: int) -> np.ndarray:
         """Where documents i..j-1 begin, and the end of the last."""
@@ -144,7 +151,7 @@ def read_token_shards(spark: SparkSession, folder: str) -> DataFrame:
                     cuts = ((at - at[0]) * 4).tolist()
                     crc = [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays([
-                        shard.doc_ids.slice(i, j - i), pa.array(at[:-1] + row["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(np.full(j - i, row["shard"], np.int32)),
+                        shard.doc_ids(i, j), pa.array(at[:-1] + row["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(np.full(j - i, row["shard"], np.int32)),
                     ], names=ROWS.names)
                     i = j
 

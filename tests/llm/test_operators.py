@@ -76,6 +76,25 @@ def test_token_files_round_trip(spark, tmp_path):
     assert read_token_shards(spark, f"{folder}-none").count() == 0
 
 
+@pytest.mark.parametrize("ids", [[-(2**63), -5, -5, 0, 2**63 - 1], [None, None, None], [None, 3, 3, 10**15], [7] * 20_000, list(range(0, 200_000, 3))])
+def test_doc_ids_of_shards(spark, tmp_path, ids):
+    docs = spark.createDataFrame([(k, None, 5) for k in ids], "doc_id long, text string, shard int")
+    write_token_shards(docs, f"file://{tmp_path}/out", queries.tokenizer_path(), shards=1)
+    shard = Shard(f"file://{tmp_path}/out/shard-000000.tok")
+    assert shard.doc_ids(0, shard.n).to_pylist() == ids and shard.doc_ids(1, 3).to_pylist() == ids[1:3]
+
+
+def test_shards_follow_bytes_and_rows_without_id_spread(spark, tmp_path):
+    texts = [f"text number {i} " * 20 for i in range(200)]
+    docs = spark.createDataFrame([(None if i % 3 else i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, `start` int")
+    manifest = write_token_shards(docs, f"file://{tmp_path}/out", queries.tokenizer_path(), shard_bytes=4000).collect()
+    assert len(manifest) > 10 and max(r["n_docs"] for r in manifest) < 60
+    got = sorted(read_token_shards(spark, f"file://{tmp_path}/out").collect(), key=lambda r: r["start"])
+    keys = [r["doc_id"] for r in got]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k)) and len(keys) == 200
+    assert [r["start"] for r in got] == [0, *itertools.accumulate(r["n_tokens"] for r in got)][:-1]
+
+
 def test_fingerprints(spark):
     rng = random.Random(2)
     texts = [*ODD, "".join(rng.choice("abcdefgh ") for _ in range(4000))]
@@ -286,6 +305,24 @@ def test_quality_separates_and_takes_odd_rows(spark):
     assert quality_scores(table(spark, ["x"]), labels.limit(0)).first()["score"] == 0.5
 
 
+def test_discriminant_equals_plain_densities(spark):
+    from seriesloom.llm import quality
+
+    d, rng = len(quality.STATISTICS), np.random.default_rng(3)
+    x, y = rng.normal(size=(120, d)) @ rng.normal(size=(d, d)) / 4, np.arange(120) % 3 == 0
+    x[y] += 0.3
+    rows = spark.createDataFrame([([float(v) for v in a], int(b)) for a, b in zip(x, y)], "x array<double>, label int")
+    got, density = quality.fit(rows).score(x), []
+    own = [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    pooled = ((~y).mean() * own[0] + y.mean() * own[1])
+    for k in (0, 1):
+        c = (1 - quality.POOL) * own[k] + quality.POOL * pooled
+        c = (1 - quality.IDENTITY) * c + quality.IDENTITY * np.diag(np.diag(c)) + quality.FLOOR * np.eye(d)
+        m = x - x[y == k].mean(axis=0)
+        density.append(np.log((y == k).mean()) - np.linalg.slogdet(c)[1] / 2 - np.einsum("ij,jk,ik->i", m, np.linalg.inv(c), m) / 2)
+    assert got == pytest.approx(1 / (1 + np.exp(density[0] - density[1])), abs=1e-9)
+
+
 def test_html_by_hand():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>menu</a></nav><div id="main"><div class="cookie-notice">We use cookies</div>
     <div class="post-body"><h2>T &amp; x</h2><p>One, two, three,  long text here with words, and more.<p>Second&nbsp;para <a href=x>link</a> end<ul><li>item one<li>item two</ul><div class="ad">Buy</div>
