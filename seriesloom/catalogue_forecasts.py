@@ -31,11 +31,11 @@ def _t_sql(a: str, b: str) -> str:
  FROM (SELECT *, {", ".join(f"lag(u, {k}) OVER (ORDER BY seq) AS u{k}" for k in range(1, LAGS + 1))} FROM (SELECT seq, {a} - {b} AS d, {a} - {b} - avg({a} - {b}) OVER () AS u FROM fc)))"""
 
 
-def _losses(spark, sf_dir) -> DataFrame:
-    """(series_id, seq, multi, base, ewma, har): QLIKE losses on the days for which all models have one."""
+def _losses(spark, sf_dir, scales: DataFrame | None = None) -> DataFrame:
+    """(series_id, seq, multi, base, ewma, har): QLIKE losses on the days for which all models have one. scales: variance_losses() if at hand."""
     market = tables.market(spark, sf_dir)
     base = _forecasts(spark, sf_dir).select("series_id", "seq", "future_x2", F.col("f_chain").alias("base"), clip_low(F.col("vol") * F.col("vol") / 252, regimes.FLOOR).alias("ewma"))
-    multi = multiscale.variance(market).select("series_id", "seq", clip_low(F.col("f_multi"), regimes.FLOOR).alias("multi"))
+    multi = multiscale.combined_variance(multiscale.variance_losses(market) if scales is None else scales).select("series_id", "seq", clip_low(F.col("f_multi"), regimes.FLOOR).alias("multi"))
     har = multiscale.har(regimes.volatility(market)).select("series_id", "seq", F.col("f_har").alias("har"))
     both = base.join(multi, ["series_id", "seq"]).join(har, ["series_id", "seq"])
     return kept(both.select("series_id", "seq", *(scores.qlike(F.col("future_x2"), F.col(m)).alias(m) for m in MODELS)).dropna(), "losses")
@@ -99,8 +99,9 @@ def _sensitivity_sql() -> str:
 @query(_sensitivity_sql())
 def weight_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean QLIKE of the combined forecast for nine pairs of learning rate and discount, on the common days."""
-    each = multiscale.reweighted(multiscale.variance_losses(tables.market(spark, sf_dir)), RATES, DISCOUNTS)
+    scales = kept(multiscale.variance_losses(tables.market(spark, sf_dir)).select("series", "series_id", "scale", "seq", "dt", "f_chain", "future_x2", "loss"), "scales")
+    each = multiscale.reweighted(scales, RATES, DISCOUNTS)
     sums = each.groupBy("rate", "discount", F.col("series").alias("series_id"), "seq").agg(F.when(F.count("f_chain") == F.count(F.lit(1)), F.sum(F.col("f_chain") * F.col("weight"))).alias("f"), F.first("future_x2").alias("future_x2"))
-    common = _losses(spark, sf_dir).select("series_id", "seq")
+    common = _losses(spark, sf_dir, scales).select("series_id", "seq")
     loss = sums.join(common, ["series_id", "seq"]).withColumn("loss", scores.qlike(F.col("future_x2"), clip_low(F.col("f"), regimes.FLOOR)))
     return _out(loss.groupBy("rate", "discount").agg(F.count("loss").alias("n"), F.avg("loss").alias("qlike")), "rate", "discount", "n", "qlike")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linear import with_solution
 from ..functions.scans import with_ewm
-from ..functions.windows import by_series, clip_low, guarded, last_rows
+from ..functions.windows import by_series, clip_low, guarded, last_rows, running
 from . import regimes, scores
 
 #: Memories in days, the one whose stress is the common event, learning rate and discount.
@@ -30,27 +30,41 @@ def per_scale(returns: DataFrame, memories: tuple[int, ...] = MEMORIES, highs: t
     return regimes.transition_matrix(regimes.transition_counts(known))
 
 
+def _with_known(df: DataFrame, discount: float, horizon: int, name: str) -> DataFrame:
+    """Adds name: the discounted mean loss of each scale, as known `horizon` rows later."""
+    w = by_series()
+    late = with_ewm(df, "loss", discount, "mean").withColumn("late", F.lag("mean", horizon).over(w))
+    return late.withColumn(name, F.last("late", ignorenulls=True).over(running(w))).drop("mean", "late")
+
+
+def _with_weight(df: DataFrame, rate: Column, keys: tuple[str, ...]) -> DataFrame:
+    """Replaces known by weight: the softmax of minus rate times known over the scales of one day; keys name a day."""
+    day = Window.partitionBy(*keys)
+    filled = df.withColumn("filled", F.coalesce("known", F.avg("known").over(day)))
+    raised = filled.withColumn("e", F.exp(-rate * (F.col("filled") - F.min("filled").over(day))))
+    return raised.withColumn("weight", F.coalesce(F.col("e") / F.sum("e").over(day), 1 / F.count(F.lit(1)).over(day))).drop("known", "filled", "e")
+
+
 def adaptive_weights(df: DataFrame, horizon: int = regimes.HORIZON, rate: float = RATE, discount: float = DISCOUNT) -> DataFrame:
     """Adds weight from loss: softmax of minus the discounted mean loss, as known `horizon` rows later.
 
     A scale without a known loss gets the mean of the others; where none is known, weights are equal.
     """
-    w = by_series()
-    known = F.last(F.col("late"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    mean = with_ewm(df, "loss", discount, "mean").withColumn("late", F.lag("mean", horizon).over(w)).withColumn("known", known)
-    day = Window.partitionBy("series", "seq")
-    filled = mean.withColumn("filled", F.coalesce("known", F.avg("known").over(day)))
-    raised = filled.withColumn("e", F.exp(-rate * (F.col("filled") - F.min("filled").over(day))))
-    return raised.withColumn("weight", F.coalesce(F.col("e") / F.sum("e").over(day), 1 / F.count(F.lit(1)).over(day))).drop("mean", "late", "known", "filled", "e")
+    return _with_weight(_with_known(df, discount, horizon, "known"), F.lit(rate), ("series", "seq"))
 
 
 def reweighted(df: DataFrame, rates: tuple[float, ...], discounts: tuple[float, ...], horizon: int = regimes.HORIZON) -> DataFrame:
-    """adaptive_weights() for each pair of learning rate and discount: adds rate, discount and weight."""
-    parts = []
-    for discount in discounts:
-        for rate in rates:
-            parts.append(adaptive_weights(df, horizon, rate, discount).withColumns({"rate": F.lit(rate), "discount": F.lit(discount)}))
-    return functools.reduce(DataFrame.unionByName, parts)
+    """adaptive_weights() for each pair of learning rate and discount: adds rate, discount and weight.
+
+    One plan for all pairs: a discount is a column, a pair is rows. A union of one plan a pair would run all of them in one task, as
+    they are partitioned alike.
+    """
+    known = df
+    for i, discount in enumerate(discounts):
+        known = _with_known(known, discount, horizon, f"known {i}")
+    pairs = (F.struct(F.lit(rate).alias("rate"), F.lit(discount).alias("discount"), F.col(f"known {i}").alias("known")) for i, discount in enumerate(discounts) for rate in rates)
+    each = known.withColumn("pair", F.explode(F.array(*pairs))).select(*(F.col(f"`{c}`") for c in df.columns), "pair.*")
+    return _with_weight(each, F.col("rate"), ("series", "seq", "rate", "discount"))
 
 
 def _combined(weighted: DataFrame, value: str, name: str) -> DataFrame:
@@ -79,7 +93,12 @@ def variance_losses(returns: DataFrame, horizon: int = regimes.HORIZON, **option
 
 def variance(returns: DataFrame, horizon: int = regimes.HORIZON, **options) -> DataFrame:
     """(series_id, seq, dt, f_multi, w5, w15, w42): the scales' variance forecasts, weighted by their QLIKE losses."""
-    return _combined(adaptive_weights(variance_losses(returns, horizon, **options), horizon), "f_chain", "f_multi")
+    return combined_variance(variance_losses(returns, horizon, **options), horizon)
+
+
+def combined_variance(losses: DataFrame, horizon: int = regimes.HORIZON) -> DataFrame:
+    """variance() of variance_losses()."""
+    return _combined(adaptive_weights(losses, horizon), "f_chain", "f_multi")
 
 
 def har(vols: DataFrame, horizon: int = regimes.HORIZON, least: int = 250) -> DataFrame:

@@ -53,6 +53,39 @@ def test_adaptive_weights_equal_pandas(spark):
     assert np.allclose(got.to_numpy(), want.to_numpy(), atol=1e-12)
 
 
+def _losses_of_two_series(spark):
+    rng = np.random.default_rng(6)
+    known = rng.uniform(0, 1, (2, 30, 3))
+    known[0, :4, 1], known[1, 10:14, 2], known[1, 20] = np.nan, np.nan, np.nan
+    rows = [(f"{s}#{k}", s, k, i, None if np.isnan(known[j, i, k]) else float(known[j, i, k])) for j, s in enumerate("ab") for i in range(30) for k in range(3)]
+    return spark.createDataFrame(rows, "series_id string, series string, scale int, seq int, loss double")
+
+
+def test_pairs_of_rate_and_discount_weigh_as_each_alone(spark):
+    df, rates, discounts = _losses_of_two_series(spark), (5.0, 20.0), (0.9, 0.99)
+    got = multiscale.reweighted(df, rates, discounts, 3)
+    assert sorted(got.columns) == sorted([*df.columns, "rate", "discount", "weight"])
+    keys = ["series", "scale", "seq"]
+    for rate in rates:
+        for discount in discounts:
+            own = got.where((F.col("rate") == rate) & (F.col("discount") == discount)).toPandas().sort_values(keys)
+            alone = multiscale.adaptive_weights(df, 3, rate, discount).toPandas().sort_values(keys)
+            assert own[keys].to_numpy().tolist() == alone[keys].to_numpy().tolist()
+            assert np.allclose(own["weight"], alone["weight"], rtol=1e-12, atol=0)
+    assert got.count() == 4 * df.count()
+
+
+def test_further_rates_add_no_windows_and_no_pair_reads_the_losses_anew(spark):
+    df = _losses_of_two_series(spark)
+
+    def plan(rates, discounts):
+        return multiscale.reweighted(df, rates, discounts, 3)._jdf.queryExecution().optimizedPlan().toString()
+
+    one, four, all_nine = plan((5.0,), (0.9,)), plan((5.0, 10.0, 20.0, 40.0), (0.9,)), plan((5.0, 10.0, 20.0), (0.9, 0.95, 0.99))
+    assert four.count("Window [") == one.count("Window [")
+    assert all_nine.count("LogicalRDD") == one.count("LogicalRDD") == 1 and "Union" not in all_nine
+
+
 def test_logistic_sees_no_future(spark):
     rng = np.random.default_rng(5)
     r = np.concatenate([rng.normal(0, 0.02 if i % 3 == 2 else 0.006, 60) for i in range(9)])
